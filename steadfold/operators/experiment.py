@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_ratio
-from ..session import join_bounded
+from ..session import join_bounded, literal_table
 from .adapt import apply_temperature, fit_temperature, temperature_grid
 from .decide import HOLD, NO_ACTION, RECALIBRATE, RETRAIN, DecisionPolicy, decide
 from .reliability import METRIC_DIRECTION, degradation, metrics_long
@@ -90,7 +90,7 @@ def run_strategies(data: DataFrame, manifest: Sequence[Scenario], features: Sequ
 
     # verify: gate the adaptive strategy's candidates
     spark = data.sparkSession
-    chosen = spark.createDataFrame([(s, r["action"]) for s, r in decided.items()], "scenario string, chosen string")
+    chosen = literal_table(spark, [(s, r["action"]) for s, r in decided.items()], "scenario string, chosen string")
     version_of = F.when(F.col("chosen") == RECALIBRATE, "1.1").when(F.col("chosen") == RETRAIN, "2.0")
     candidate = join_bounded(measured, chosen, tags, rows=bound).where(F.col("model_version") == version_of).select(
         "scenario", F.col("chosen").alias("action"), "metric", "class", "value")
@@ -105,7 +105,7 @@ def run_strategies(data: DataFrame, manifest: Sequence[Scenario], features: Sequ
             (s, "always_retrain", RETRAIN if r["fired"] else NO_ACTION, "2.0" if r["fired"] else "1.0"),
             (s, "adaptive", r["action"], {RECALIBRATE: "1.1", RETRAIN: "2.0"}.get(r["action"], "1.0")),
         ]
-    plans = spark.createDataFrame(plan, "scenario string, strategy string, action string, wanted string")
+    plans = literal_table(spark, plan, "scenario string, strategy string, action string, wanted string")
     plans = join_bounded(plans, verdict, tags, "left", rows=bound)
     is_candidate = (F.col("strategy") == "adaptive") & F.col("action").isin(*INTERVENTIONS)
     plans = plans.select(

@@ -20,15 +20,14 @@ def curate(df: DataFrame, casts: Mapping[str, str], rules: Mapping[str, Column])
     which rules failed.
     """
     trimmed = df.withColumns({c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in casts})
-    typed = trimmed.withColumns({f"__t_{c}": F.col(c).try_cast(t) for c, t in casts.items()})
+    typed = trimmed.withColumns({f"__raw_{c}": F.col(c) for c in casts}).withColumns(
+        {c: F.col(c).try_cast(t) for c, t in casts.items()}
+    )
     failures = [
-        F.when(F.col(c).isNotNull() & F.col(f"__t_{c}").isNull(), F.lit(f"{c}: not {t}")) for c, t in casts.items()
+        F.when(F.col(f"__raw_{c}").isNotNull() & F.col(c).isNull(), F.lit(f"{c}: not {t}")) for c, t in casts.items()
     ]
-    values = typed.withColumns({f"__raw_{c}": F.col(c) for c in casts}).withColumns(
-        {c: F.col(f"__t_{c}") for c in casts}
-    )
     failures += [F.when(~F.coalesce(cond, F.lit(True)), F.lit(name)) for name, cond in rules.items()]
-    judged = values.withColumn("failed_rules", F.array_compact(F.array(*failures)))
+    judged = typed.withColumn("failed_rules", F.array_compact(F.array(*failures)))
     others = [c for c in df.columns if c not in casts]
     clean = judged.where(F.size("failed_rules") == 0).select(*df.columns)
     rejects = judged.where(F.size("failed_rules") > 0).select(

@@ -35,15 +35,12 @@ def label_crosstab(df: DataFrame, category: str = "category", categories: Sequen
     """
     cases = list(categories[1:])
     abnormal = reduce(or_, [F.coalesce(F.col(i), F.lit(False)) for i in indicators])
-    table = df.groupBy(*indicators).pivot(category, list(categories)).agg(F.count("*"))
-    filled = table.select(*indicators, *[F.coalesce(F.col(c), F.lit(0)).alias(f"n_{c}") for c in categories])
-    totals = df.groupBy(*indicators).agg(
+    # the pivot over a fixed class list, written as one aggregation so the row totals need no second pass
+    return df.groupBy(*indicators).agg(
+        *[F.count_if(F.col(category) == F.lit(c)).alias(f"n_{c}") for c in categories],
         F.count("*").alias("n"),
         F.count_if(abnormal & ~F.coalesce(F.col(category).isin(cases), F.lit(False))).alias("n_abnormal_not_case"),
     )
-    cond = reduce(lambda a, b: a & b, [F.col(i).eqNullSafe(F.col(f"__{i}")) for i in indicators])
-    right = totals.select(*[F.col(i).alias(f"__{i}") for i in indicators], "n", "n_abnormal_not_case")
-    return filled.join(right, cond).drop(*[f"__{i}" for i in indicators])
 
 
 def class_balance(df: DataFrame, label: str = "category", year: str = "snapshot_year") -> DataFrame:

@@ -272,17 +272,14 @@ def dq_indicators(df: DataFrame, record_id: Sequence[str], rules: Mapping[str, C
 def availability(df: DataFrame, expected: Sequence[str], window: str = "window_id") -> DataFrame:
     """Expected features that a window lacks: column absent, or NULL in every row."""
     present = [f for f in expected if f in df.columns]
-    spark = df.sparkSession
     counts = df.groupBy(window).agg(*[F.count(f).alias(f) for f in present], F.count("*").alias("__rows"))
     windows = counts.select(window, F.explode(F.array(*[F.lit(f) for f in expected])).alias("feature"))
     if not present:
         return windows.withColumn("reason", F.lit("column absent"))
     observed = counts.unpivot([window], present, "feature", "n").where(F.col("n") > 0).drop("n")
-    kinds = spark.createDataFrame(
-        [(f, "all null" if f in present else "column absent") for f in expected], "feature string, reason string"
-    )
-    return join_bounded(windows.join(observed, [window, "feature"], "left_anti"), kinds, ["feature"],
-                        rows=len(expected))
+    return windows.join(observed, [window, "feature"], "left_anti").select(
+        window, "feature",
+        F.when(F.col("feature").isin(present), "all null").otherwise("column absent").alias("reason"))
 
 
 # -------------------------------------------------------- predictions and outcomes

@@ -1 +1,100 @@
-"""To be filled."""
+"""Area burden queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import burden as m
+from ..operators.ingest import with_context
+from ..session import literal_table
+from .ingest import SQL_CONTEXT, context
+from .registry import query
+from .views import SQL_AREA, area_records, r
+
+AREAS = ["moh", "phm"]
+SQL_BURDEN = SQL_AREA + """,
+c AS (SELECT moh, phm, period, status, COUNT(*) AS cases FROM area_records GROUP BY ALL),
+burden AS (SELECT *, CAST(SUM(cases) OVER (PARTITION BY moh, phm, period) AS BIGINT) AS denominator FROM c)"""
+
+
+def table(t):
+    return m.burden(area_records(t), AREAS, "period", "status", "n")
+
+
+def series(t):
+    """Complete years only: the last year of the table is partial."""
+    return table(t).where("status = 'F' AND period < 2001")
+
+
+SQL_SERIES = SQL_BURDEN + ", series AS (SELECT * FROM burden WHERE status = 'F' AND period < 2001)"
+
+
+@query("fc1_burden", f"""
+WITH {SQL_BURDEN} SELECT moh, phm, period, status, cases, denominator, round(cases / CAST(denominator AS DOUBLE), 6) AS prevalence FROM burden""")
+def fc1(t):
+    return table(t).withColumn("prevalence", r("prevalence"))
+
+
+@query("fc2_area_rollup", f"""
+WITH {SQL_BURDEN} SELECT moh, phm, period, status, CAST(SUM(cases) AS BIGINT) AS cases, CAST(GROUPING(moh, phm) AS INTEGER) AS level
+FROM burden GROUP BY GROUPING SETS ((moh, phm, period, status), (moh, period, status), (period, status))""")
+def fc2(t):
+    return m.burden_rollup(table(t), AREAS, "period", "status")
+
+
+SQL_FORECAST = """
+fit AS (SELECT moh, phm, COUNT(*) AS n_periods, MAX(period) AS last_period, CAST(max_by(cases, period) AS DOUBLE) AS last_value,
+          regr_slope(cases, period) AS b, AVG(cases) AS my, AVG(period) AS mx FROM {src} GROUP BY ALL),
+fc AS (SELECT moh, phm, n_periods, CAST(last_period + h AS INTEGER) AS period, last_value,
+         CASE WHEN n_periods >= 3 THEN greatest(my + b * (last_period + h - mx), 0e0) END AS trend_value
+       FROM fit CROSS JOIN (SELECT unnest([{h}]) AS h))"""
+
+
+@query("fc3_forecast", f"""
+WITH {SQL_SERIES}, {SQL_FORECAST.format(src="series", h="1, 2")}
+SELECT moh, phm, n_periods, period, last_value, round(trend_value, 4) AS trend_value FROM fc""")
+def fc3(t):
+    return m.forecast(series(t), AREAS, "period", "cases", horizon=2).withColumn("trend_value", r("trend_value", 4))
+
+
+@query("fc4_rising_areas", f"""
+WITH {SQL_SERIES}, d AS (SELECT *, cases - lag(cases) OVER (PARTITION BY moh, phm ORDER BY period) AS change FROM series)
+SELECT moh, phm, period, cases, CAST(change AS BIGINT) AS change, CAST(rank() OVER (PARTITION BY period ORDER BY change DESC) AS INTEGER) AS rank
+FROM d WHERE change IS NOT NULL""")
+def fc4(t):
+    return m.rising(series(t), AREAS, "period", "cases").select("moh", "phm", "period", "cases", "change", "rank")
+
+
+RATES = [("supplement packs", "F", 3.5), ("clinic hours", "F", 0.25), ("clinic hours", "O", 0.1)]
+
+
+@query("fc5_resource_demand", f"""
+WITH {SQL_SERIES}, {SQL_FORECAST.format(src="series", h="1")},
+rates(resource, category, per_case) AS (VALUES {", ".join(f"('{a}', '{b}', {c}e0)" for a, b, c in RATES)})
+SELECT moh, phm, period, resource, round(trend_value * per_case, 4) AS demand FROM fc JOIN rates ON category = 'F'""")
+def fc5(t):
+    rates = literal_table(t.spark, RATES, "resource string, category string, per_case double")
+    ahead = m.forecast(series(t), AREAS, "period", "cases").withColumn("category", F.lit("F"))
+    return m.resource_demand(ahead, rates, "category", "trend_value", n_rates=len(RATES)).select(
+        "moh", "phm", "period", "resource", r("demand", 4))
+
+
+@query("fc6_context_lag", f"""
+WITH {SQL_SERIES}, {SQL_CONTEXT}
+SELECT s.moh, s.phm, s.period, s.cases, c.cpi AS cpi_lag1, c.food_price AS food_price_lag1
+FROM series s LEFT JOIN context c ON c.period = s.period - 1""")
+def fc6(t):
+    return with_context(series(t).select("moh", "phm", "period", "cases"), context(t), ["period"], lag_years=1,
+                        year="period", n_context=100)
+
+
+@query("fc7_holdout_error", f"""
+WITH {SQL_SERIES}, lastp AS (SELECT moh, phm, MAX(period) AS lp FROM series GROUP BY ALL),
+earlier AS (SELECT s.* FROM series s JOIN lastp USING (moh, phm) WHERE period < lp), {SQL_FORECAST.format(src="earlier", h="1")},
+act AS (SELECT s.moh, s.phm, s.period, s.cases AS actual FROM series s JOIN lastp l ON l.moh = s.moh AND l.phm = s.phm AND s.period = lp)
+SELECT a.moh, a.phm, a.period, a.actual, n_periods, last_value, round(trend_value, 4) AS trend_value,
+  abs(last_value - actual) AS last_value_error, round(abs(trend_value - actual), 4) AS trend_error
+FROM act a LEFT JOIN fc f ON f.moh = a.moh AND f.phm = a.phm AND f.period = a.period""")
+def fc7(t):
+    return m.holdout_error(series(t), AREAS, "period", "cases").select(
+        "moh", "phm", "period", "actual", "n_periods", "last_value", r("trend_value", 4), "last_value_error", r("trend_error", 4))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_mille
 from ..operators import shift as m
+from ..session import literal_table
 from .registry import query
 from .views import (
     CLASSES, FEATURES, PROBS, REF_YEAR, SQL_COHORTS, SQL_OVR, SQL_QUALITY, SQL_SCORED, YEARS, cohorts, quality, r,
@@ -149,7 +150,7 @@ SELECT snapshot_year AS year, feature, COUNT(*) AS n,
        round(AVG(CASE WHEN value < lo OR value > hi THEN 1e0 ELSE 0e0 END), 6) AS out_rate
 FROM long JOIN bounds USING (feature) WHERE value IS NOT NULL GROUP BY ALL""")
 def mon5(t):
-    bounds = t.spark.createDataFrame(BOUNDS, "feature string, lo double, hi double")
+    bounds = literal_table(t.spark, BOUNDS, "feature string, lo double, hi double")
     long = m.to_long(stressed(t), FEATURES, Y)
     return m.out_of_range(long, bounds, Y, n_bounds=len(BOUNDS)).select(
         F.col(Y).alias("year"), "feature", "n", "n_out", r("out_rate"))

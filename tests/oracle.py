@@ -98,7 +98,7 @@ def main():
                 n = len(fn(spark, sf_dir).collect())
                 problem = None if n else "no rows"
         except Exception as exc:  # noqa: BLE001
-            problem = f"{type(exc).__name__}: {str(exc)[:1500]}"
+            problem = f"{type(exc).__name__}: {str(exc).strip().splitlines()[0][:400]}"
         failed += problem is not None
         kind = "sql " if name in sqls else "rows"
         print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {time.time() - start:6.1f}s {name} {problem or ''}", flush=True)
