@@ -85,12 +85,7 @@ def join_bounded(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
 
 
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A policy or limit table given in code, as a JVM-side local relation.
-
-    Its size is known to the optimizer, and no Python worker is needed to read it.
-    """
-    names = [f.split()[0] for f in schema.split(",")]
-    types = [f.split(None, 1)[1].strip() for f in schema.split(",")]
-    row = "(" + ", ".join(f"CAST(? AS {t})" for t in types) + ")"
-    return spark.sql(f"SELECT * FROM VALUES {', '.join([row] * len(rows))} AS t({', '.join(f'`{n}`' for n in names)})",
-                     args=[v for r in rows for v in r])
+    """A policy or limit table given in code; no Python worker is needed to read it."""
+    fields = [f.split(None, 1) for f in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t.strip()).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
