@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import safe_ratio
-from ..session import join_bounded, literal_table
+from ..session import join_bounded, literal_table, materialize
 from .adapt import apply_temperature, fit_temperature, temperature_grid
 from .decide import HOLD, NO_ACTION, RECALIBRATE, RETRAIN, DecisionPolicy, decide
 from .reliability import METRIC_DIRECTION, degradation, metrics_long
@@ -42,9 +42,9 @@ def run_strategies(data: DataFrame, manifest: Sequence[Scenario], features: Sequ
     filled = lambda d: d.fillna(dict(fill))
     frozen = train(filled(reference), family, features, classes=classes)
 
-    stressed = apply_manifest(data.where("split in ('adapt', 'verify')"), manifest, record_id).persist()
+    stressed = materialize(apply_manifest(data.where("split in ('adapt', 'verify')"), manifest, record_id), "stressed")
     keep = [record_id, "label", "split", "scenario"]
-    scored = score(filled(stressed), frozen, "1.0", classes, keep).persist()
+    scored = materialize(score(filled(stressed), frozen, "1.0", classes, keep), "scored")
 
     # monitor: PSI and missingness of the unlabelled inputs against the reference split
     windows = reference.withColumn("scenario", F.lit("(reference)")).select("scenario", *features).unionByName(
@@ -57,13 +57,14 @@ def run_strategies(data: DataFrame, manifest: Sequence[Scenario], features: Sequ
         F.max("missing_change").alias("bad_rate"))
 
     # assess on the adapt split: loss against the unstressed baseline
-    seen = metrics_long(scored.where("split = 'adapt'"), classes, by=tags)
+    bound = len(manifest) + 2
+    seen = materialize(
+        metrics_long(scored.where("split = 'adapt'"), classes, by=tags, group_bound=len(classes) * bound), "seen")
     loss = degradation(seen, seen.where("scenario = 'none'")).groupBy("scenario").agg(
         F.max(F.when(F.col("metric") == "macro_f1", F.col("degradation"))).alias("perf_loss"),
         F.max(F.when(F.col("metric") == "ece", F.col("degradation"))).alias("calibration_loss"))
     labelled = scored.where("split = 'adapt'").groupBy("scenario", "label").agg(F.count("label").alias("n"))
     sizes = labelled.groupBy("scenario").agg(F.sum("n").alias("n_labels"), F.min("n").alias("min_class_labels"))
-    bound = len(manifest) + 2
     evidence = reduce(lambda a, b: join_bounded(a, b, tags, "left", rows=bound), [shift, bad, loss, sizes])
     decided = {r["scenario"]: r for r in decide(evidence, policy).select(
         "scenario", "action", "shift", F.coalesce(F.col("shift") > policy.shift_limit, F.lit(False)).alias("fired"),
@@ -86,7 +87,8 @@ def run_strategies(data: DataFrame, manifest: Sequence[Scenario], features: Sequ
         retrained = verify.limit(0).withColumn("model_version", F.lit("2.0"))
 
     by = [*tags, "model_version"]
-    measured = metrics_long(verify.unionByName(recalibrated).unionByName(retrained), classes, by=by).persist()
+    versions = materialize(verify.unionByName(recalibrated).unionByName(retrained), "versions")
+    measured = materialize(metrics_long(versions, classes, by=by, group_bound=3 * len(classes) * bound), "measured")
 
     # verify: gate the adaptive strategy's candidates
     spark = data.sparkSession

@@ -33,11 +33,14 @@ def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequ
                 n_buckets: int = 64, group_bound: int | None = None) -> DataFrame:
     """Add ``cum_m`` (running sum up to and including x), ``tot_m`` and ``next_x``.
 
-    ``counts`` holds one row per (groups, x), see :func:`distinct_counts`.
+    ``counts`` holds one row per (groups, x), see :func:`distinct_counts`.  It is read
+    three times below, each time with all its columns, so that the three readers share one
+    shuffle and the rows behind it are scanned once.
     """
     groups = list(groups)
     cuts = counts.groupBy(*groups).agg(
-        F.percentile_approx(x, [i / n_buckets for i in range(1, n_buckets)]).alias("__cuts")
+        F.percentile_approx(x, [i / n_buckets for i in range(1, n_buckets)]).alias("__cuts"),
+        *[F.sum(m).alias(f"tot_{m}") for m in measures],
     )
     keyed = join_bounded(counts, cuts, groups, rows=group_bound).withColumn(
         "__b", edge_rank(x, "__cuts", n_buckets - 1)
@@ -45,7 +48,6 @@ def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequ
 
     order = Window.partitionBy(*groups).orderBy("__b")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
     per_bucket = keyed.groupBy(*groups, "__b").agg(
         F.min(x).alias("__first"), *[F.sum(m).alias(f"__s_{m}") for m in measures]
     )
@@ -54,7 +56,6 @@ def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequ
         "__b",
         F.lead("__first").over(order).alias("__next_first"),
         *[F.coalesce(F.sum(f"__s_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
-        *[F.sum(f"__s_{m}").over(whole).alias(f"tot_{m}") for m in measures],
     )
     joined = join_bounded(keyed, offsets, [*groups, "__b"],
                           rows=None if group_bound is None else group_bound * n_buckets)

@@ -64,12 +64,12 @@ def class_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return join_bounded(per_class, macro, by)
 
 
-def _ranked(ovr: DataFrame, by: Sequence[str], n_buckets: int, group_bound: int | None) -> DataFrame:
-    counts = distinct_counts(
+def score_counts(ovr: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives per distinct score: all a ranking or calibration metric needs."""
+    return distinct_counts(
         ovr.where(F.col("y").isNotNull()), [*by, "class"], "score",
         {"pos": F.col("y"), "neg": F.lit(1) - F.col("y")},
     )
-    return prefix_sums(counts, [*by, "class"], "score", ["pos", "neg"], n_buckets, group_bound)
 
 
 def ranking_metrics(ovr: DataFrame, by: Sequence[str] = (), n_buckets: int = 64,
@@ -78,7 +78,12 @@ def ranking_metrics(ovr: DataFrame, by: Sequence[str] = (), n_buckets: int = 64,
 
     Both read one ranked table.  NULL when only one outcome is present.
     """
-    ranked = _ranked(ovr, by, n_buckets, group_bound)
+    return _ranking(score_counts(ovr, by), by, n_buckets, group_bound)
+
+
+def _ranking(counts: DataFrame, by: Sequence[str], n_buckets: int = 64,
+             group_bound: int | None = None) -> DataFrame:
+    ranked = prefix_sums(counts, [*by, "class"], "score", ["pos", "neg"], n_buckets, group_bound)
     below = F.col("cum_neg") - F.col("neg")
     win = F.col("pos") * (below + F.col("neg") / 2)
     # walking down from the highest score: everything at or above this value
@@ -139,24 +144,35 @@ def metrics_long(scored: DataFrame, classes: Sequence[str], bins: int = 10,
                  by: Sequence[str] = (), group_bound: int | None = None) -> DataFrame:
     """Every reliability metric as ``(by, metric, class, value)`` rows.
 
-    ``class`` is ``all`` for group-level metrics.
+    ``class`` is ``all`` for group-level metrics.  Rows are aggregated twice only, to the
+    confusion table and to counts per distinct score; ranking, calibration and Brier all
+    follow from the latter.
     """
-    ovr = one_vs_rest(scored, classes, by)
     per_class = class_metrics(scored, by)
-    rank = ranking_metrics(ovr, by, group_bound=group_bound)
+    counts = score_counts(one_vs_rest(scored, classes, by), by)
+    n = F.col("pos") + F.col("neg")
+    b = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")
+    squares = F.col("pos") * F.pow(F.col("score") - 1, F.lit(2)) + F.col("neg") * F.pow("score", F.lit(2))
+    table = counts.groupBy(*by, "class", b.alias("bin")).agg(
+        F.sum(n).alias("n"), F.sum(F.col("score") * n).alias("s"), F.sum("pos").alias("o"), F.sum("neg").alias("neg"),
+        F.sum(squares).alias("sq"))
+    calibration = table.groupBy(*by, "class").agg(
+        F.sum("n").alias("n"), F.sum("sq").alias("sq"),
+        safe_ratio(F.sum(F.abs(F.col("s") - F.col("o"))), F.sum("n")).alias("ece"))
+    rank = _ranking(counts, by, group_bound=group_bound)
+    whole = {"class": F.lit("all")}
     parts = [
         per_class.unpivot([*by, "class"], ["recall", "precision", "f1"], "metric", "value"),
-        per_class.groupBy(*by).agg(F.max("macro_f1").alias("value")).withColumns(
-            {"class": F.lit("all"), "metric": F.lit("macro_f1")}),
+        per_class.groupBy(*by).agg(F.max("macro_f1").alias("value")).withColumns({**whole, "metric": F.lit("macro_f1")}),
         rank.unpivot([*by, "class"], ["auroc", "auprc"], "metric", "value"),
-        ece(ovr, bins, by).select(*by, "class", F.lit("ece").alias("metric"), F.col("ece").alias("value")),
-        brier(scored, classes, by).select(*by, F.lit("all").alias("class"), F.lit("brier").alias("metric"),
-                                          F.col("brier").alias("value")),
+        calibration.select(*by, "class", F.lit("ece").alias("metric"), F.col("ece").alias("value")),
+        calibration.groupBy(*by).agg(safe_ratio(F.sum("sq"), F.max("n")).alias("value")).withColumns(
+            {**whole, "metric": F.lit("brier")}),
     ]
-    out = parts[0]
+    out = parts[0].select(*by, "metric", "class", "value")
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*by, "metric", "class", "value")
+        out = out.unionByName(p.select(*by, "metric", "class", "value"))
+    return out
 
 
 # ------------------------------------------------------------------- delayed labels

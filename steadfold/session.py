@@ -66,6 +66,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    Later plans start from a pruned parquet scan instead of the whole history, and nothing
+    has to be recomputed when an executor is lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_bounded(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
                  rows: int | None = None) -> DataFrame:
     """Null-safe equi-join on ``keys`` against a side of at most ``rows`` rows.
