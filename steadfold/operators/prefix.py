@@ -15,7 +15,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import edge_rank
 from ..session import join_bounded
 
 
@@ -29,33 +28,53 @@ def distinct_counts(df: DataFrame, groups: Sequence[str], x: str,
     )
 
 
+def place(df: DataFrame, x: str, cuts: str, n_buckets: int, out: str) -> DataFrame:
+    """Bucket of ``x`` among ``n_buckets - 1`` sorted cuts (``n_buckets`` a power of two).
+
+    A binary search unrolled into one small projection per step: the generated code stays
+    far below the size the JVM compiles, whatever the number of buckets.
+    """
+    step = n_buckets // 2
+    df = df.withColumn(out, F.lit(0))
+    while step:
+        df = df.withColumn(out, F.expr(f"`{out}` + IF(`{x}` > `{cuts}`[`{out}` + {step - 1}], {step}, 0)"))
+        step //= 2
+    return df
+
+
 def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequence[str],
                 n_buckets: int = 64, group_bound: int | None = None) -> DataFrame:
     """Add ``cum_m`` (running sum up to and including x), ``tot_m`` and ``next_x``.
 
     ``counts`` holds one row per (groups, x), see :func:`distinct_counts`.  It is read
-    three times below, each time with all its columns, so that the three readers share one
-    shuffle and the rows behind it are scanned once.
+    three times below.  The measures travel as one array, so that no reader is planned with
+    fewer of them than another: all three share one shuffle, and the rows behind it are
+    scanned once.  Raise ``n_buckets`` (a power of two) with the number of distinct values:
+    it is the parallelism inside one group.
     """
+    if n_buckets < 2 or n_buckets & (n_buckets - 1):
+        raise ValueError("n_buckets must be a power of two")
     groups = list(groups)
-    cuts = counts.groupBy(*groups).agg(
+    part = {m: F.col("__m")[i] for i, m in enumerate(measures)}
+    packed = counts.select(*groups, x, F.array(*measures).alias("__m"))
+    cuts = packed.groupBy(*groups).agg(
         F.percentile_approx(x, [i / n_buckets for i in range(1, n_buckets)]).alias("__cuts"),
-        *[F.sum(m).alias(f"tot_{m}") for m in measures],
+        *[F.sum(part[m]).alias(f"tot_{m}") for m in measures],
     )
-    keyed = join_bounded(counts, cuts, groups, rows=group_bound).withColumn(
-        "__b", edge_rank(x, "__cuts", n_buckets - 1)
-    ).drop("__cuts")
+    keyed = place(join_bounded(packed, cuts, groups, rows=group_bound), x, "__cuts", n_buckets, "__b").drop("__cuts")
 
     order = Window.partitionBy(*groups).orderBy("__b")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rest = order.rowsBetween(0, Window.unboundedFollowing)
     per_bucket = keyed.groupBy(*groups, "__b").agg(
-        F.min(x).alias("__first"), *[F.sum(m).alias(f"__s_{m}") for m in measures]
+        F.min(x).alias("__first"),
+        *[F.sum(part[m]).alias(f"__s_{m}") for m in measures],
+        *[F.max(f"tot_{m}").alias(f"__t_{m}") for m in measures],
     )
     offsets = per_bucket.select(
         *groups,
         "__b",
         F.lead("__first").over(order).alias("__next_first"),
-        *[F.coalesce(F.sum(f"__s_{m}").over(before), F.lit(0)).alias(f"__o_{m}") for m in measures],
+        *[(F.col(f"__t_{m}") - F.sum(f"__s_{m}").over(rest)).alias(f"__o_{m}") for m in measures],
     )
     joined = join_bounded(keyed, offsets, [*groups, "__b"],
                           rows=None if group_bound is None else group_bound * n_buckets)
@@ -64,8 +83,8 @@ def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequ
     return joined.select(
         *groups,
         x,
-        *measures,
-        *[(F.sum(m).over(upto) + F.col(f"__o_{m}")).alias(f"cum_{m}") for m in measures],
+        *[part[m].alias(m) for m in measures],
+        *[(F.sum(part[m]).over(upto) + F.col(f"__o_{m}")).alias(f"cum_{m}") for m in measures],
         *[f"tot_{m}" for m in measures],
         F.coalesce(F.lead(x).over(inside), F.col("__next_first")).alias("next_x"),
     )

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import edge_rank, psi_term, safe_ratio
@@ -21,20 +21,31 @@ MISSING = "(missing)"
 
 
 def to_long(df: DataFrame, features: Sequence[str], window: str, by: Sequence[str] = (),
-            keep: Sequence[str] = ()) -> DataFrame:
-    """Unpivot numeric features: one row per (row, feature)."""
-    ids = [window, *by, *keep]
-    return df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
-        ids, list(features), "feature", "value"
-    )
+            windows: Sequence | None = None) -> DataFrame:
+    """Unpivot numeric features: one row per (row, feature).
+
+    ``windows`` keeps only the windows named; filtering here, before the rows fan out, is
+    what lets the filter reach the scan.
+    """
+    ids = [window, *by]
+    if windows is not None:
+        df = df.where(F.col(window).isin(list(windows)))
+    return unpivot(df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]), ids, features)
+
+
+def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """``DataFrame.unpivot`` with re-aliased id columns.
+
+    With plain id columns the expanded rows carry their input's attributes, and two readers
+    of the same long table are then planned as different scans instead of one shared one.
+    """
+    return df.unpivot([F.col(i).alias(i) for i in ids], list(features), "feature", "value")
 
 
 def to_long_categorical(df: DataFrame, features: Sequence[str], window: str,
                         by: Sequence[str] = ()) -> DataFrame:
     ids = [window, *by]
-    return df.select(*ids, *[F.col(f).cast("string").alias(f) for f in features]).unpivot(
-        ids, list(features), "feature", "value"
-    )
+    return unpivot(df.select(*ids, *[F.col(f).cast("string").alias(f) for f in features]), ids, features)
 
 
 # --------------------------------------------------------------------------- PSI
@@ -65,7 +76,7 @@ def fit_edges(long: DataFrame, groups: Sequence[str] = ("feature",), n_bins: int
 
 def histogram(long: DataFrame, edges: DataFrame, keys: Sequence[str], edge_keys: Sequence[str],
               n_bins: int = 10, group_bound: int | None = None) -> DataFrame:
-    """``(keys, n_rows, n_missing, h0..h{n_bins-1})``: NULLs counted apart.
+    """``(keys, n_rows, n_missing, h0..h{n_bins-1}, n_binned)``: NULLs counted apart.
 
     Rows are combined map-side on (keys, bin) before the shuffle, so what crosses the
     network is bins, not rows.
@@ -85,19 +96,17 @@ def histogram(long: DataFrame, edges: DataFrame, keys: Sequence[str], edge_keys:
             F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).alias(f"h{i}")
             for i in range(n_bins)
         ],
+        F.coalesce(F.sum(F.when(F.col("bin") >= 0, F.col("n"))), F.lit(0)).alias("n_binned"),
     )
 
 
 def _hist_psi(n_bins: int, ref_prefix: str, cur_prefix: str, eps: float) -> Column:
     def share(prefix: str, i: int) -> Column:
-        total = reduce(add, [F.col(f"{prefix}h{j}") for j in range(n_bins)])
-        return safe_ratio(F.col(f"{prefix}h{i}"), total)
+        return safe_ratio(F.col(f"{prefix}h{i}"), F.col(f"{prefix}n_binned"))
 
-    terms = []
-    for i in range(n_bins):
-        p, q = share(ref_prefix, i), share(cur_prefix, i)
-        terms.append(F.when(p.isNotNull() & q.isNotNull(), psi_term(p, q, eps)))
-    return reduce(add, terms)
+    # without the guard an empty side would read as "every bin at eps"
+    known = (F.col(f"{ref_prefix}n_binned") > 0) & (F.col(f"{cur_prefix}n_binned") > 0)
+    return F.when(known, reduce(add, [psi_term(share(ref_prefix, i), share(cur_prefix, i), eps) for i in range(n_bins)]))
 
 
 def psi(long: DataFrame, edges: DataFrame, ref, window: str = "window_id", by: Sequence[str] = (),
@@ -109,10 +118,10 @@ def psi(long: DataFrame, edges: DataFrame, ref, window: str = "window_id", by: S
     """
     groups = ["feature", *by]
     hist = histogram(long, edges, [window, *groups], groups, n_bins, group_bound)
-    prefixed = [F.col(c).alias(f"r_{c}") for c in ["n_rows", "n_missing", *[f"h{i}" for i in range(n_bins)]]]
-    base = hist.where(F.col(window) == F.lit(ref)).select(*groups, *prefixed)
     miss = safe_ratio(F.col("n_missing"), F.col("n_rows"))
-    return join_bounded(hist.where(F.col(window) != F.lit(ref)), base, groups, "left", rows=group_bound).select(
+    return with_reference(hist, window, ref, groups, ["n_rows", "n_missing", "n_binned", *[f"h{i}" for i in range(n_bins)]]).where(
+        F.col(window) != F.lit(ref)
+    ).select(
         window,
         *groups,
         F.col("n_rows").alias("n"),
@@ -122,6 +131,17 @@ def psi(long: DataFrame, edges: DataFrame, ref, window: str = "window_id", by: S
     )
 
 
+def with_reference(table: DataFrame, window: str, ref, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Put the reference window's ``columns`` (as ``r_...``) next to every window's own.
+
+    ``table`` is an aggregate, one row per (window, groups).  A window function rather than
+    a self-join: joining would send the two filters down to two scans of the data.
+    """
+    own = Window.partitionBy(*groups)
+    base = F.max(F.when(F.col(window) == F.lit(ref), F.struct(*columns))).over(own)
+    return table.withColumn("__r", base).select("*", *[F.col("__r")[c].alias(f"r_{c}") for c in columns]).drop("__r")
+
+
 def psi_categorical(long: DataFrame, windows: Sequence, ref, window: str = "window_id",
                     by: Sequence[str] = (), eps: float = 1e-4) -> DataFrame:
     """PSI over the union of the categories seen in either window; NULL is a category.
@@ -177,9 +197,8 @@ def cdf_distance(long: DataFrame, windows: Sequence, ref, window: str = "window_
     groups = ["feature", *by]
     names = [f"w{i}" for i in range(len(windows))]
     counts = distinct_counts(
-        long.where(F.col(window).isin(list(windows))), groups, "value",
-        {n: (F.col(window) == F.lit(w)).cast("int") for n, w in zip(names, windows)},
-    )
+        long, groups, "value", {n: (F.col(window) == F.lit(w)).cast("int") for n, w in zip(names, windows)},
+    ).where(F.greatest(*names) > 0)
     cdf = prefix_sums(counts, groups, "value", names, n_buckets, group_bound)
     r = names[list(windows).index(ref)]
     step = F.coalesce(F.col("next_x") - F.col("value"), F.lit(0.0))
@@ -222,10 +241,9 @@ def missingness(df: DataFrame, features: Sequence[str], ref, window: str = "wind
     table = wide.unpivot([*keys, "n"], list(features), "feature", "n_missing").withColumn(
         "missing_rate", safe_ratio(F.col("n_missing"), F.col("n"))
     )
-    base = table.where(F.col(window) == F.lit(ref)).select(*by, "feature", F.col("missing_rate").alias("ref_rate"))
-    return join_bounded(table, base, [*by, "feature"], "left").select(
+    return with_reference(table, window, ref, [*by, "feature"], ["missing_rate"]).select(
         *keys, "feature", "n", "n_missing", "missing_rate",
-        (F.col("missing_rate") - F.col("ref_rate")).alias("missing_change"),
+        (F.col("missing_rate") - F.col("r_missing_rate")).alias("missing_change"),
     )
 
 
@@ -348,12 +366,12 @@ def concept_evidence(scored: DataFrame, ref, score: str = "score", y: str = "y",
     rates = scored.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(window, bins.alias("bin")).agg(
         F.count("*").alias("n"), F.sum(F.col(y).cast("bigint")).alias("pos")
     )
-    base = rates.where(F.col(window) == F.lit(ref)).select("bin", safe_ratio(F.col("pos"), F.col("n")).alias("ref_rate"))
-    gap = F.abs(safe_ratio(F.col("pos"), F.col("n")) - F.col("ref_rate"))
-    return join_bounded(rates.where(F.col(window) != F.lit(ref)), base, ["bin"], "left", rows=n_bins).groupBy(window).agg(
+    gap = F.abs(safe_ratio(F.col("pos"), F.col("n")) - safe_ratio(F.col("r_pos"), F.col("r_n")))
+    comparable = F.when(F.col("r_n").isNotNull(), F.col("n"))
+    return with_reference(rates, window, ref, ["bin"], ["n", "pos"]).where(F.col(window) != F.lit(ref)).groupBy(window).agg(
         F.sum("n").alias("n_labelled"),
-        F.coalesce(F.sum(F.when(F.col("ref_rate").isNotNull(), F.col("n"))), F.lit(0)).alias("n_comparable"),
-        safe_ratio(F.sum(gap * F.col("n")), F.sum(F.when(F.col("ref_rate").isNotNull(), F.col("n")))).alias("concept_gap"),
+        F.coalesce(F.sum(comparable), F.lit(0)).alias("n_comparable"),
+        safe_ratio(F.sum(gap * F.col("n")), F.sum(comparable)).alias("concept_gap"),
     )
 
 
@@ -404,12 +422,13 @@ def annual_shift(df: DataFrame, features: Sequence[str], year: str = "snapshot_y
     )
     hist = histogram(both, edges, ["feature", "edge_year", "side"], ["feature", "edge_year"], n_bins,
                      group_bound=len(features) * year_bound)
-    cols = ["n_rows", "n_missing", *[f"h{i}" for i in range(n_bins)]]
-    base = hist.where("side = 'base'").select("feature", "edge_year", *[F.col(c).alias(f"r_{c}") for c in cols])
+    cols = ["n_rows", "n_missing", "n_binned", *[f"h{i}" for i in range(n_bins)]]
+    side = lambda v: F.max(F.when(F.col("side") == v, F.struct(*cols)))
+    pairs = hist.groupBy("feature", "edge_year").agg(side("base").alias("b"), side("cur").alias("c")).select(
+        "feature", "edge_year", "c.*", *[F.col("b")[c].alias(f"r_{c}") for c in cols])
     # comparable only where both years hold observed values
     return (
-        join_bounded(hist.where("side = 'cur'"), base, ["feature", "edge_year"])
-        .where((F.col("n_rows") > F.col("n_missing")) & (F.col("r_n_rows") > F.col("r_n_missing")))
+        pairs.where((F.col("n_rows") > F.col("n_missing")) & (F.col("r_n_rows") > F.col("r_n_missing")))
         .select(
             "feature",
             F.col("edge_year").alias("prev_year"),

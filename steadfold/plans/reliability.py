@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_mille
 from ..operators import reliability as m
+from ..session import materialize
 from .registry import query
 from .views import (
     CLASSES, REF_YEAR, SQL_OVR, SQL_QUALITY, SQL_SCORED, quality, r, scored, sql_hash,
@@ -181,7 +182,8 @@ dg AS (SELECT c.snapshot_year, metric, class, c.value, b.value AS base_value,
 
 
 def yearly_degradation(t):
-    long = m.metrics_long(scored(t), CLASSES, by=[Y], group_bound=YEAR_CLASSES)
+    # the metrics are stored once: the frozen baseline and the current side read the same table
+    long = materialize(m.metrics_long(scored(t), CLASSES, by=[Y], group_bound=YEAR_CLASSES), "metrics")
     return m.degradation(long.where(F.col(Y) != REF_YEAR), long.where(F.col(Y) == REF_YEAR))
 
 

@@ -115,14 +115,14 @@ def drifted(t):
 
 @query("mon2_ks", SQL_CDF_DRIFT + " SELECT w AS year, feature, n_ref, n_cur, round(ks, 6) AS ks FROM dist")
 def mon2(t):
-    long = m.to_long(drifted(t), FEATURES, Y)
+    long = m.to_long(drifted(t), FEATURES, Y, windows=YEARS)
     return m.ks(long, YEARS, REF_YEAR, window=Y, group_bound=len(FEATURES)).select(
         F.col(Y).alias("year"), "feature", "n_ref", "n_cur", r("ks"))
 
 
 @query("mon3_wasserstein", SQL_CDF_DRIFT + " SELECT w AS year, feature, n_ref, n_cur, round(w1, 5) AS w1 FROM dist")
 def mon3(t):
-    long = m.to_long(drifted(t), FEATURES, Y)
+    long = m.to_long(drifted(t), FEATURES, Y, windows=YEARS)
     return m.wasserstein1(long, YEARS, REF_YEAR, window=Y, group_bound=len(FEATURES)).select(
         F.col(Y).alias("year"), "feature", "n_ref", "n_cur", r("w1", 5))
 

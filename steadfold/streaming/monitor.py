@@ -30,10 +30,11 @@ def monitor_windows(stream: DataFrame, edges: DataFrame, ts: str, width: str, de
         .agg(
             F.count("*").alias("n_rows"),
             F.count_if(F.col("__bin") == -1).alias("n_missing"),
+            F.count_if(F.col("__bin") >= 0).alias("n_binned"),
             *[F.count_if(F.col("__bin") == i).alias(f"h{i}") for i in range(n_bins)],
         )
         .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                *groups, "n_rows", "n_missing", *[f"h{i}" for i in range(n_bins)])
+                *groups, "n_rows", "n_missing", "n_binned", *[f"h{i}" for i in range(n_bins)])
     )
 
 
@@ -46,7 +47,7 @@ def run_monitor(windows: DataFrame, baseline: DataFrame, out: str, checkpoint: s
     its own output and nothing is counted twice.  Returns the StreamingQuery.
     """
     groups = ["feature", *by]
-    base = baseline.select(*groups, *[F.col(f"h{i}").alias(f"r_h{i}") for i in range(n_bins)])
+    base = baseline.select(*groups, F.col("n_binned").alias("r_n_binned"), *[F.col(f"h{i}").alias(f"r_h{i}") for i in range(n_bins)])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         join_bounded(batch, base, groups, "left").select(
