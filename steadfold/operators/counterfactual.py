@@ -89,19 +89,14 @@ def counterfactuals(records: DataFrame, features: Sequence[str], policy: DataFra
 def top_recommendations(found: DataFrame, k: int, record_id: str = "record_id") -> DataFrame:
     """The ``k`` cheapest counterfactuals per record, at most one per set of changed features.
 
-    One shuffle on the record id serves both rankings; a record's candidates are bounded by
-    the policy.
+    The best of each set is an aggregate, combined map-side, so even a record id shared by
+    many rows reaches the ranking with one row per set of features.
     """
-    per_set = Window.partitionBy(record_id, "changed_set").orderBy("cost", "new_score", "changes")
-    per_record = Window.partitionBy(record_id).orderBy("cost", "new_score", "changes")
-    return (
-        found.repartition(record_id)
-        .withColumn("__s", F.row_number().over(per_set))
-        .where("__s = 1")
-        .withColumn("rank", F.row_number().over(per_record))
-        .where(F.col("rank") <= k)
-        .drop("__s")
-    )
+    fields = ["cost", "new_score", "changes", "n_changes", "score"]
+    best = found.groupBy(record_id, "changed_set").agg(F.min(F.struct(*fields)).alias("b"))
+    per_record = Window.partitionBy(record_id).orderBy("b.cost", "b.new_score", "b.changes")
+    return best.withColumn("rank", F.row_number().over(per_record)).where(F.col("rank") <= k).select(
+        record_id, "b.score", "b.new_score", "b.cost", "b.n_changes", "changed_set", "b.changes", "rank")
 
 
 def attach_review(recommendations: DataFrame, reviews: DataFrame, keys: Sequence[str]) -> DataFrame:

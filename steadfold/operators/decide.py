@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .reliability import PENDING_WORDING
@@ -76,18 +76,16 @@ def decide(evidence: DataFrame, policy: DecisionPolicy = DecisionPolicy()) -> Da
 def least_invasive(candidates: DataFrame, tau: float, key: Sequence[str] = ("window_id",)) -> DataFrame:
     """Cheapest action per window whose reliability reaches ``tau``; HOLD when none does.
 
-    Candidates: ``(key, action, cost, reliability)``; the candidate set of a window is the
-    fixed action list, so the ranking window stays small.
+    Candidates: ``(key, action, cost, reliability)``.  Among equal costs the first action
+    name wins.
     """
-    order = Window.partitionBy(*key).orderBy(F.col("ok").desc(), "cost", "action")
-    ranked = candidates.withColumn("ok", F.coalesce(F.col("reliability") >= tau, F.lit(False))).withColumn(
-        "__rn", F.row_number().over(order)
-    )
-    return ranked.where("__rn = 1").select(
+    ok = F.coalesce(F.col("reliability") >= tau, F.lit(False))
+    best = F.min(F.when(ok, F.struct("cost", "action", "reliability")))
+    return candidates.groupBy(*key).agg(best.alias("b")).select(
         *key,
-        F.when(F.col("ok"), F.col("action")).otherwise(HOLD).alias("action"),
-        F.when(F.col("ok"), F.col("cost")).alias("cost"),
-        F.when(F.col("ok"), F.col("reliability")).alias("reliability"),
+        F.coalesce("b.action", F.lit(HOLD)).alias("action"),
+        F.col("b.cost").alias("cost"),
+        F.col("b.reliability").alias("reliability"),
     )
 
 

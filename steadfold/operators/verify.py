@@ -20,8 +20,8 @@ ACTIVATING = ("PROMOTED", "ROLLBACK")
 
 def assert_disjoint(adapt: DataFrame, verify: DataFrame, record_id: str = "record_id") -> DataFrame:
     """One row ``(n_overlap, isolated)``: ids present on both sides of a split."""
-    shared = adapt.select(record_id).join(verify.select(record_id), record_id, "left_semi")
-    return shared.agg(F.count_distinct(record_id).alias("n_overlap")).withColumn(
+    shared = adapt.select(record_id).distinct().join(verify.select(record_id).distinct(), record_id, "left_semi")
+    return shared.agg(F.count("*").alias("n_overlap")).withColumn(
         "isolated", F.col("n_overlap") == 0
     )
 

@@ -144,7 +144,7 @@ def lab9(t):
         "record_id", "model_version", "predicted", F.round(F.col("probs")["1"], 6).alias("p1"))
 
 
-@query("lab7_three_class_boosting")
+@query("lab7_three_class_model")
 def lab7_three(t):
     data = cohorts(t).withColumnRenamed("l_returnflag", "label")
     features = ["l_discount", "l_tax", "l_quantity"]

@@ -115,14 +115,12 @@ def adp1_brier(t):
 
 @query("adp2_platt")
 def adp2(t):
-    data = text_data(t)
     ovr = assign_split(quality(t), "record_id", {"reference": 600, "adapt": 200, "verify": 200}, "frozen").where(
         "y is not null").select("record_id", "split", F.lit("1").alias("class"), "score", "y")
     a, b = adapt.fit_platt(ovr.where("split <> 'verify'"))
     held = ovr.where("split = 'verify'")
     after = adapt.apply_platt(held, a, b).withColumn("score", F.col("calibrated"))
     tag = lambda d, phase: d.select(F.lit(phase).alias("phase"), "n", r("ece"))
-    del data
     return tag(ece(held), "before").unionByName(tag(ece(after), "after"))
 
 
