@@ -88,15 +88,17 @@ def histogram(long: DataFrame, edges: DataFrame, keys: Sequence[str], edge_keys:
         .otherwise(edge_rank("value", "edges", n_bins - 1))
         .alias("bin"),
     )
-    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    return _spread(binned.groupBy(*keys, "bin").agg(F.count("*").alias("n")), keys, n_bins)
+
+
+def _spread(counts: DataFrame, keys: Sequence[str], n_bins: int) -> DataFrame:
+    """Bin counts (-1 missing, -2 no edges) to one row per key."""
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     return counts.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("bin") == -1, F.col("n"))), F.lit(0)).alias("n_missing"),
-        *[
-            F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)).alias(f"h{i}")
-            for i in range(n_bins)
-        ],
-        F.coalesce(F.sum(F.when(F.col("bin") >= 0, F.col("n"))), F.lit(0)).alias("n_binned"),
+        total(F.col("bin") == -1).alias("n_missing"),
+        *[total(F.col("bin") == i).alias(f"h{i}") for i in range(n_bins)],
+        total(F.col("bin") >= 0).alias("n_binned"),
     )
 
 
@@ -407,21 +409,30 @@ def annual_shift(df: DataFrame, features: Sequence[str], year: str = "snapshot_y
                  year_bound: int = 100) -> DataFrame:
     """PSI of each year against the year before it, on features observed in both.
 
-    A row is binned twice: by its own year's edges (as the base of the next year) and by
-    the previous year's edges (as the current side).
+    A row is binned twice, by its own year's edges (as the base of the next year) and by the
+    previous year's edges (as the current side); rows are counted per pair of bins, so the
+    two histograms come from one pass.
     """
+    bound = len(features) * year_bound
     long = to_long(df, features, year)
-    edges = fit_edges(long, ["feature", year], n_bins, edge_method,
-                      group_bound=len(features) * year_bound).withColumnRenamed(year, "edge_year")
-    both = long.select(
-        "feature", "value",
-        F.inline(F.array(
-            F.struct(F.col(year).alias("edge_year"), F.lit("base").alias("side")),
-            F.struct((F.col(year) - 1).alias("edge_year"), F.lit("cur").alias("side")),
-        )),
-    )
-    hist = histogram(both, edges, ["feature", "edge_year", "side"], ["feature", "edge_year"], n_bins,
-                     group_bound=len(features) * year_bound)
+    fitted = fit_edges(long, ["feature", year], n_bins, edge_method, group_bound=bound)
+    role = lambda v: F.max(F.when(F.col("role") == v, F.col("edges")))
+    pair = fitted.select("feature", "edges", F.inline(F.array(
+        F.struct(F.col(year).alias("edge_year"), F.lit("own").alias("role")),
+        F.struct((F.col(year) + 1).alias("edge_year"), F.lit("prev").alias("role")),
+    ))).groupBy("feature", F.col("edge_year").alias(year)).agg(role("own").alias("own"), role("prev").alias("prev"))
+
+    def bin_by(edges: str) -> Column:
+        return F.when(F.col("value").isNull(), -1).when(F.col(edges).isNull(), -2).otherwise(
+            edge_rank("value", edges, n_bins - 1))
+
+    counts = join_bounded(long, pair, ["feature", year], "left", rows=bound).groupBy(
+        "feature", year, bin_by("own").alias("b"), bin_by("prev").alias("c")).agg(F.count("*").alias("n"))
+    sides = counts.select("feature", "n", F.inline(F.array(
+        F.struct(F.col(year).alias("edge_year"), F.lit("base").alias("side"), F.col("b").alias("bin")),
+        F.struct((F.col(year) - 1).alias("edge_year"), F.lit("cur").alias("side"), F.col("c").alias("bin")),
+    )))
+    hist = _spread(sides, ["feature", "edge_year", "side"], n_bins)
     cols = ["n_rows", "n_missing", "n_binned", *[f"h{i}" for i in range(n_bins)]]
     side = lambda v: F.max(F.when(F.col("side") == v, F.struct(*cols)))
     pairs = hist.groupBy("feature", "edge_year").agg(side("base").alias("b"), side("cur").alias("c")).select(

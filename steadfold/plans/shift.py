@@ -28,6 +28,11 @@ def stressed(t):
     })
 
 
+def reference(df, by=()):
+    """Long form of the reference year only; the filter comes first and reaches the scan."""
+    return m.to_long(df, FEATURES, Y, by, windows=[REF_YEAR])
+
+
 SQL_STRESSED = SQL_COHORTS + f""",
 stressed AS (
   SELECT record_id, snapshot_year, l_returnflag, l_linestatus,
@@ -68,7 +73,7 @@ SELECT snapshot_year AS year, feature, n, round(n_missing / CAST(n AS DOUBLE), 6
 FROM psi_all WHERE snapshot_year <> {REF_YEAR}""")
 def mon1(t):
     long = m.to_long(cohorts(t), FEATURES, Y)
-    edges = m.fit_edges(long.where(F.col(Y) == REF_YEAR), group_bound=len(FEATURES))
+    edges = m.fit_edges(reference(cohorts(t)), group_bound=len(FEATURES))
     out = m.psi(long, edges, REF_YEAR, Y, group_bound=len(FEATURES))
     return out.select(F.col(Y).alias("year"), "feature", "n", r("missing_rate"), r("psi"))
 
@@ -81,7 +86,7 @@ SELECT snapshot_year AS year, feature, n, round(n_missing / CAST(n AS DOUBLE), 6
 FROM psi_all JOIN ref USING (feature) WHERE snapshot_year <> {REF_YEAR}""")
 def mon1_faults(t):
     long = m.to_long(stressed(t), FEATURES, Y)
-    edges = m.fit_edges(long.where(F.col(Y) == REF_YEAR), group_bound=len(FEATURES))
+    edges = m.fit_edges(reference(stressed(t)), group_bound=len(FEATURES))
     out = m.psi(long, edges, REF_YEAR, Y, group_bound=len(FEATURES))
     return out.select(F.col(Y).alias("year"), "feature", "n", r("missing_rate"), r("missing_change"), r("psi"))
 
@@ -283,7 +288,7 @@ SELECT year, cov AS covariate_shift, lab AS label_shift, con AS concept_shift,
 FROM fl""")
 def mon12(t):
     long = m.to_long(cohorts(t), FEATURES, Y)
-    edges = m.fit_edges(long.where(F.col(Y) == REF_YEAR), group_bound=len(FEATURES))
+    edges = m.fit_edges(reference(cohorts(t)), group_bound=len(FEATURES))
     inputs = m.psi(long, edges, REF_YEAR, Y, group_bound=len(FEATURES)).groupBy(Y).agg(F.max("psi").alias("max_psi"))
     labels = m.label_shift(cohorts(t), YEARS, REF_YEAR, "l_returnflag", Y).select(Y, F.col("psi").alias("label_psi"))
     one = scored(t).select(Y, F.col("probs")["A"].alias("score"), (F.col("label") == "A").cast("int").alias("y"))
@@ -318,7 +323,7 @@ FROM psi_all WHERE snapshot_year <> {REF_YEAR}""")
 def mon14(t):
     bound = len(FEATURES) * len(CLASSES)
     long = m.to_long(cohorts(t), FEATURES, Y, by=["l_returnflag"])
-    edges = m.fit_edges(long.where(F.col(Y) == REF_YEAR), ["feature", "l_returnflag"], group_bound=bound)
+    edges = m.fit_edges(reference(cohorts(t), ["l_returnflag"]), ["feature", "l_returnflag"], group_bound=bound)
     return m.psi(long, edges, REF_YEAR, Y, by=["l_returnflag"], group_bound=bound).select(
         F.col(Y).alias("year"), "feature", F.col("l_returnflag").alias("subgroup"), "n", r("psi"))
 
@@ -337,3 +342,12 @@ def mon14_ks(t):
     long = m.to_long(quality(t), ["word_ratio"], "lang", by=["source"])
     return m.ks(long, langs, "en", window="lang", by=["source"]).where(F.col("ks").isNotNull()).select(
         "lang", "source", r("ks"))
+
+
+@query("mon1_psi_sketch_edges")
+def mon1_sketch(t):
+    """The same report with sketched edges: values are never shuffled, only sketches and bins."""
+    long = m.to_long(cohorts(t), FEATURES, Y)
+    edges = m.fit_edges(reference(cohorts(t)), method="approx", group_bound=len(FEATURES))
+    out = m.psi(long, edges, REF_YEAR, Y, group_bound=len(FEATURES))
+    return out.select(F.col(Y).alias("year"), "feature", "n", r("missing_rate"), r("psi"))

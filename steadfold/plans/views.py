@@ -30,6 +30,11 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c), digits).alias(c) if isinstance(c, str) else F.round(c, digits)
 
 
+def six(c: Column) -> Column:
+    """Six decimals in plain arithmetic, for columns of every row (``round`` goes through BigDecimal)."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
 # ------------------------------------------------------------------ annual cohorts
 
 
@@ -65,7 +70,7 @@ def scored(t: Tables) -> DataFrame:
                              *[x.alias(f"e_{c}") for c, x in e.items()])
     total = F.col("e_A") + F.col("e_N") + F.col("e_R")
     p = base.select("record_id", "snapshot_year", "l_linestatus", F.col("l_returnflag").alias("label"),
-                    *[F.round(F.col(f"e_{c}") / total, 6).alias(f"p_{c}") for c in CLASSES])
+                    *[six(F.col(f"e_{c}") / total).alias(f"p_{c}") for c in CLASSES])
     top = F.greatest(*[F.col(f"p_{c}") for c in CLASSES])
     return p.select(
         "record_id", "snapshot_year", "l_linestatus", "label",
@@ -81,7 +86,8 @@ expd AS (
   FROM cohorts),
 prob AS (
   SELECT record_id, snapshot_year, l_linestatus, label,
-         round(ea / (ea + en + er), 6) AS pa, round(en / (ea + en + er), 6) AS pn, round(er / (ea + en + er), 6) AS pr
+         floor(ea / (ea + en + er) * 1e6 + 0.5e0) / 1e6 AS pa, floor(en / (ea + en + er) * 1e6 + 0.5e0) / 1e6 AS pn,
+         floor(er / (ea + en + er) * 1e6 + 0.5e0) / 1e6 AS pr
   FROM expd),
 scored AS (
   SELECT *, CASE WHEN pa = greatest(pa, pn, pr) THEN 'A' WHEN pn = greatest(pa, pn, pr) THEN 'N' ELSE 'R' END AS predicted
