@@ -55,10 +55,11 @@ def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequ
     if n_buckets < 2 or n_buckets & (n_buckets - 1):
         raise ValueError("n_buckets must be a power of two")
     groups = list(groups)
+    levels = ", ".join(f"{i / n_buckets!r}D" for i in range(1, n_buckets))
     part = {m: F.col("__m")[i] for i, m in enumerate(measures)}
     packed = counts.select(*groups, x, F.array(*measures).alias("__m"))
     cuts = packed.groupBy(*groups).agg(
-        F.percentile_approx(x, [i / n_buckets for i in range(1, n_buckets)]).alias("__cuts"),
+        F.expr(f"percentile_approx(`{x}`, array({levels}))").alias("__cuts"),
         *[F.sum(part[m]).alias(f"tot_{m}") for m in measures],
     )
     keyed = place(join_bounded(packed, cuts, groups, rows=group_bound), x, "__cuts", n_buckets, "__b").drop("__cuts")
@@ -100,7 +101,7 @@ def exact_quantiles(counts: DataFrame, groups: Sequence[str], x: str, weight: st
     """
     groups = list(groups)
     ranked = prefix_sums(counts, groups, x, [weight], group_bound=group_bound)
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    grid = F.expr("array(" + ", ".join(f"named_struct('i', {i}, 'p', {float(p)!r}D)" for i, p in enumerate(probs)) + ")")
     pos = F.col("p") * (F.col("n") - 1)
     hits = (
         ranked.select(*groups, F.col(x).alias("v"), (F.col(f"cum_{weight}") - F.col(weight)).alias("start"),

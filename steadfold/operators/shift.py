@@ -7,9 +7,6 @@ job covers all features and all windows; the reference window fixes the bin edge
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,22 +90,24 @@ def histogram(long: DataFrame, edges: DataFrame, keys: Sequence[str], edge_keys:
 
 def _spread(counts: DataFrame, keys: Sequence[str], n_bins: int) -> DataFrame:
     """Bin counts (-1 missing, -2 no edges) to one row per key."""
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    def total(cond: str, name: str) -> Column:
+        return F.expr(f"coalesce(sum(CASE WHEN bin {cond} THEN n END), 0) AS {name}")
+
     return counts.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"),
-        total(F.col("bin") == -1).alias("n_missing"),
-        *[total(F.col("bin") == i).alias(f"h{i}") for i in range(n_bins)],
-        total(F.col("bin") >= 0).alias("n_binned"),
+        total("= -1", "n_missing"),
+        *[total(f"= {i}", f"h{i}") for i in range(n_bins)],
+        total(">= 0", "n_binned"),
     )
 
 
 def _hist_psi(n_bins: int, ref_prefix: str, cur_prefix: str, eps: float) -> Column:
-    def share(prefix: str, i: int) -> Column:
-        return safe_ratio(F.col(f"{prefix}h{i}"), F.col(f"{prefix}n_binned"))
-
-    # without the guard an empty side would read as "every bin at eps"
-    known = (F.col(f"{ref_prefix}n_binned") > 0) & (F.col(f"{cur_prefix}n_binned") > 0)
-    return F.when(known, reduce(add, [psi_term(share(ref_prefix, i), share(cur_prefix, i), eps) for i in range(n_bins)]))
+    """PSI of two histograms lying side by side in one row; NULL when either is empty."""
+    base, cur = f"{ref_prefix}n_binned", f"{cur_prefix}n_binned"
+    share = lambda prefix, i, total: f"greatest({prefix}h{i} / {total}, {float(eps)!r}D)"
+    terms = [(share(ref_prefix, i, base), share(cur_prefix, i, cur)) for i in range(n_bins)]
+    body = " + ".join(f"({q} - {p}) * ln({q} / {p})" for p, q in terms)
+    return F.expr(f"CASE WHEN {base} > 0 AND {cur} > 0 THEN {body} END")
 
 
 def psi(long: DataFrame, edges: DataFrame, ref, window: str = "window_id", by: Sequence[str] = (),
@@ -141,7 +140,7 @@ def with_reference(table: DataFrame, window: str, ref, groups: Sequence[str], co
     """
     own = Window.partitionBy(*groups)
     base = F.max(F.when(F.col(window) == F.lit(ref), F.struct(*columns))).over(own)
-    return table.withColumn("__r", base).select("*", *[F.col("__r")[c].alias(f"r_{c}") for c in columns]).drop("__r")
+    return table.withColumn("__r", base).selectExpr("*", *[f"__r.{c} AS r_{c}" for c in columns]).drop("__r")
 
 
 def psi_categorical(long: DataFrame, windows: Sequence, ref, window: str = "window_id",
