@@ -42,16 +42,25 @@ def place(df: DataFrame, x: str, cuts: str, n_buckets: int, out: str) -> DataFra
     return df
 
 
+def default_buckets(df: DataFrame) -> int:
+    """Power of two covering the shuffle partitions, between 64 and 4096."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << min(max(wanted - 1, 63).bit_length(), 12)
+
+
 def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequence[str],
-                n_buckets: int = 64, group_bound: int | None = None) -> DataFrame:
+                n_buckets: int | None = None, group_bound: int | None = None) -> DataFrame:
     """Add ``cum_m`` (running sum up to and including x), ``tot_m`` and ``next_x``.
 
     ``counts`` holds one row per (groups, x), see :func:`distinct_counts`.  It is read
     three times below.  The measures travel as one array, so that no reader is planned with
     fewer of them than another: all three share one shuffle, and the rows behind it are
-    scanned once.  Raise ``n_buckets`` (a power of two) with the number of distinct values:
-    it is the parallelism inside one group.
+    scanned once.  ``n_buckets`` (a power of two) is the parallelism inside one group; by
+    default it follows the session's shuffle partitions, so that a large cluster gets small
+    buckets.
     """
+    if n_buckets is None:
+        n_buckets = default_buckets(counts)
     if n_buckets < 2 or n_buckets & (n_buckets - 1):
         raise ValueError("n_buckets must be a power of two")
     groups = list(groups)

@@ -72,7 +72,7 @@ def score_counts(ovr: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def ranking_metrics(ovr: DataFrame, by: Sequence[str] = (), n_buckets: int = 64,
+def ranking_metrics(ovr: DataFrame, by: Sequence[str] = (), n_buckets: int | None = None,
                     group_bound: int | None = None) -> DataFrame:
     """AUROC (ties at half) and AUPRC (average precision) per (by, class).
 
@@ -81,7 +81,7 @@ def ranking_metrics(ovr: DataFrame, by: Sequence[str] = (), n_buckets: int = 64,
     return _ranking(score_counts(ovr, by), by, n_buckets, group_bound)
 
 
-def _ranking(counts: DataFrame, by: Sequence[str], n_buckets: int = 64,
+def _ranking(counts: DataFrame, by: Sequence[str], n_buckets: int | None = None,
              group_bound: int | None = None) -> DataFrame:
     ranked = prefix_sums(counts, [*by, "class"], "score", ["pos", "neg"], n_buckets, group_bound)
     below = F.col("cum_neg") - F.col("neg")

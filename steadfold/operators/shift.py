@@ -39,6 +39,18 @@ def unpivot(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataF
     return df.unpivot([F.col(i).alias(i) for i in ids], list(features), "feature", "value")
 
 
+def window_values(df: DataFrame, window: str, most: int = 1000) -> list:
+    """The windows present, for operators that need their list.
+
+    Windows are years, scenarios or model versions; a column with more than ``most`` values
+    is not a window column, and that is an error rather than a longer list.
+    """
+    found = [r[0] for r in df.select(window).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{window} has more than {most} values")
+    return sorted(found)
+
+
 def to_long_categorical(df: DataFrame, features: Sequence[str], window: str,
                         by: Sequence[str] = ()) -> DataFrame:
     ids = [window, *by]
@@ -188,7 +200,7 @@ def psi_categorical(long: DataFrame, windows: Sequence, ref, window: str = "wind
 
 
 def cdf_distance(long: DataFrame, windows: Sequence, ref, window: str = "window_id",
-                 by: Sequence[str] = (), n_buckets: int = 64,
+                 by: Sequence[str] = (), n_buckets: int | None = None,
                  group_bound: int | None = None) -> DataFrame:
     """Two-sample KS statistic and Wasserstein-1 distance of every window to the reference.
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import experiment as m
+from ..operators import training
 from ..operators.decide import DecisionPolicy
 from ..operators.labels import fit_impute
-from ..operators.scenarios import Scenario
-from ..session import literal_table
+from ..operators.loop import maintenance_round
+from ..operators.reliability import metrics_long
+from ..operators.scenarios import Scenario, apply_scenario
+from ..session import literal_table, materialize
 from .labels import MODEL_FEATURES, text_data
 from .registry import query
 from .views import r
@@ -148,3 +151,20 @@ SELECT strategy, round(mean_recovery, 4) AS mean_recovery, n_interventions, CAST
 def exp7_ranking(t):
     _, ranking = m.strategy_comparison(m.recovery(results(t)), actions(t), "macro_f1")
     return ranking.withColumn("mean_recovery", r("mean_recovery", 4))
+
+
+@query("loop_maintenance_round")
+def loop_round(t):
+    """One closed loop on the labelled documents after a change of the outcome rule."""
+    data = text_data(t).select("record_id", "lang", "label", "split", *MODEL_FEATURES)
+    reference = data.where("split = 'reference'")
+    model = training.train(reference, "logistic", MODEL_FEATURES, classes=["0", "1"])
+    held = training.score(data.where("split = 'verify'"), model, "1.0", ["0", "1"])
+    baseline = materialize(metrics_long(held, ["0", "1"]), "baseline")
+    window = apply_scenario(data.where("split <> 'reference'"), SCENARIOS[-1], "record_id")
+    registry = literal_table(t.spark, [("m", 1, "1.0", None, "PROMOTED", "2024-01-01")],
+                             "model_id string, seq bigint, version string, parent string, event string, ts date")
+    criteria = literal_table(t.spark, CRITERIA, "action string, metric string, class string, kind string, limit double")
+    done = maintenance_round(model, "m", registry, baseline, reference, window, MODEL_FEATURES, ["0", "1"], criteria,
+                             F.lit("2024-06-01").cast("date"), POLICY)
+    return done.registry.withColumns({"action": F.lit(done.action), "promoted": F.lit(done.promoted)})

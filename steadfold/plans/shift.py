@@ -338,7 +338,7 @@ cdf AS (SELECT w, feature, SUM(a) OVER o AS ca, SUM(b) OVER o AS cb, SUM(a) OVER
 SELECT w AS lang, feature AS source, round(MAX(abs(cb / CAST(nb AS DOUBLE) - ca / CAST(na AS DOUBLE))), 6) AS ks
 FROM cdf WHERE na > 0 AND nb > 0 GROUP BY ALL""")
 def mon14_ks(t):
-    langs = sorted(x["lang"] for x in t("documents").select("lang").distinct().collect())
+    langs = m.window_values(t("documents"), "lang")
     long = m.to_long(quality(t), ["word_ratio"], "lang", by=["source"])
     return m.ks(long, langs, "en", window="lang", by=["source"]).where(F.col("ks").isNotNull()).select(
         "lang", "source", r("ks"))

@@ -40,13 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
+        return configured.rstrip("/")
     sc = spark.sparkContext
+    existing = sc.getCheckpointDir()  # <what was set>/<a folder of this application>
+    if existing:
+        return os.path.dirname(existing).removeprefix("file:")
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    existing = sc.getCheckpointDir()
-    if existing:
-        return os.path.dirname(existing.removeprefix("file:"))
     path = tempfile.mkdtemp(prefix="steadfold-")
     sc.setCheckpointDir(path)
     return path

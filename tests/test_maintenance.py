@@ -156,3 +156,62 @@ def test_strategies_end_to_end(spark, sf_dir):
         if phase == "after" and (strategy == "static" or by[scenario, strategy]["gate"] == "FAIL" or by[scenario, strategy]["action"] in ("NO_ACTION", "HOLD")):
             assert v == value[scenario, strategy, "degraded", metric, cls]
     assert all(r["gate"] in ("PASS", "FAIL") for r in rows if r["strategy"] == "adaptive" and r["action"] in experiment.INTERVENTIONS)
+
+
+def loop_data(spark, flip=False, n=1500):
+    """y follows x; with ``flip`` the outcome rule is reversed."""
+    u = lambda s: (F.abs(F.hash(F.col("id"), F.lit(s))) % 10000) / 10000.0
+    y = (u(1) + 0.3 * u(2) > 0.65).cast("int")
+    return spark.range(n).select(
+        F.concat(F.lit("r"), F.col("id")).alias("record_id"), u(1).alias("x"), u(3).alias("z"),
+        F.when(F.lit(flip), 1 - y).otherwise(y).cast("string").alias("label"),
+        F.when(F.col("id") % 2 == 0, "adapt").otherwise("verify").alias("split"))
+
+
+@pytest.mark.parametrize("kind, action, promoted, versions", [
+    ("same", "NO_ACTION", False, ["1.0"]),
+    ("unlabelled", "HOLD", False, ["1.0"]),
+    ("flipped", "RETRAIN", True, ["1.0", "2.0"]),
+    ("impossible gate", "RETRAIN", False, ["1.0", "2.0"]),
+])
+def test_maintenance_round(spark, kind, action, promoted, versions):
+    from steadfold.operators.loop import maintenance_round
+    from steadfold.operators.reliability import metrics_long
+    from steadfold.operators.training import score, train
+
+    base = loop_data(spark)
+    model = train(base, "logistic", ["x", "z"], classes=["0", "1"])
+    baseline = metrics_long(score(base, model, "1.0", ["0", "1"]), ["0", "1"])
+    window = loop_data(spark, flip=kind in ("flipped", "impossible gate"))
+    if kind == "unlabelled":
+        window = window.withColumn("label", F.lit(None).cast("string")).withColumn("x", F.col("x") + 5)
+    limit = 1.1 if kind == "impossible gate" else 0.7
+    gates = spark.createDataFrame([("RETRAIN", "macro_f1", "all", "absolute", limit)], GATE_CRITERIA)
+    reg = registry(spark, ("1.0", "PROMOTED"))
+    done = maintenance_round(model, "m", reg, baseline, base, window, ["x", "z"], ["0", "1"], gates, 77, P)
+    assert (done.action, done.promoted) == (action, promoted)
+    events = done.registry.orderBy("seq").collect()
+    assert [e["version"] for e in events] == versions
+    want = "2.0" if promoted else "1.0"
+    assert verify.active_version(done.registry).first()["active_version"] == want
+    if kind == "unlabelled":
+        assert done.decision.first()["reason"] == PENDING_WORDING
+
+
+def test_three_class_boosting_scores(spark):
+    from steadfold.operators.training import load_version, save_version, score, train
+    from steadfold.session import scratch_path
+
+    df = loop_data(spark, n=300).withColumn("label", F.when(F.col("x") < 0.3, "a").when(F.col("x") < 0.6, "b").otherwise("c"))
+    model = train(df, "boosted", ["x", "z"], classes=["a", "b", "c"])
+    out = score(df, model, "1.0", ["a", "b", "c"])
+    assert out.where("label = predicted").count() > 280
+    total = out.select((F.col("probs")["a"] + F.col("probs")["b"] + F.col("probs")["c"]).alias("s")).agg(F.min("s"), F.max("s")).first()
+    assert total[0] == pytest.approx(1) and total[1] == pytest.approx(1)
+    logistic = train(df, "logistic", ["x", "z"], classes=["a", "b", "c"])
+    root = scratch_path(spark, "models")
+    save_version(logistic, root, "m", "1.0")
+    again = score(df, load_version(root, "m", "1.0"), "1.0", ["a", "b", "c"])
+    assert again.where("label = predicted").count() == score(df, logistic, "1.0", ["a", "b", "c"]).where("label = predicted").count()
+    with pytest.raises(Exception):
+        save_version(logistic, root, "m", "1.0")  # a version is written once
