@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, join_bounded
+from ..session import BROADCAST_ROW_BOUND, cut_lineage, join_bounded
 
 
 def feasible_moves(records: DataFrame, features: Sequence[str], policy: DataFrame,
@@ -61,7 +61,7 @@ def counterfactuals(records: DataFrame, features: Sequence[str], policy: DataFra
             F.collect_list(F.struct(
                 F.col("to_value").alias("to"), F.col("cost").alias("c"),
                 (weight(f, F.col("to_value")) - weight(f, F.col("from_value"))).alias("d"))).alias("__opts"))
-        if n_policy is not None and n_policy <= 100_000:
+        if n_policy is not None and n_policy <= BROADCAST_ROW_BOUND:
             options = F.broadcast(options)
         stay = F.array(F.struct(F.lit(None).cast("string").alias("to"), F.lit(0.0).alias("c"), F.lit(0.0).alias("d")))
         moved = F.col("__m.to").isNotNull()

@@ -283,18 +283,21 @@ def duplicate_ids(df: DataFrame, record_id: Sequence[str], window: str = "window
 
 def dq_indicators(df: DataFrame, record_id: Sequence[str], rules: Mapping[str, Column],
                   window: str = "window_id") -> DataFrame:
-    """Duplicate ids plus one violation rate per named rule (a rule is TRUE when violated)."""
-    checks = df.groupBy(window).agg(
+    """Duplicate ids plus one violation rate per named rule (a rule is TRUE when violated).
+
+    Rule counts travel with the per-id counts, so rows are read once.
+    """
+    per_id = df.groupBy(window, *record_id).agg(
         F.count("*").alias("n"),
         *[F.count_if(F.coalesce(r, F.lit(False))).alias(f"rule_{k}") for k, r in rules.items()],
     )
-    dups = duplicate_ids(df, record_id, window).select(window, "n_surplus_rows")
-    wide = join_bounded(checks, dups, [window])
+    wide = per_id.groupBy(window).agg(
+        F.sum(F.col("n") - 1).alias("surplus"), F.sum("n").alias("n"), *[F.sum(f"rule_{k}").alias(f"rule_{k}") for k in rules])
     return wide.select(
         window,
         "n",
         F.inline(F.array(
-            F.struct(F.lit("duplicate_id").alias("indicator"), F.col("n_surplus_rows").alias("n_bad")),
+            F.struct(F.lit("duplicate_id").alias("indicator"), F.col("surplus").alias("n_bad")),
             *[F.struct(F.lit(k).alias("indicator"), F.col(f"rule_{k}").alias("n_bad")) for k in rules],
         )),
     ).withColumn("bad_rate", safe_ratio(F.col("n_bad"), F.col("n")))
@@ -426,7 +429,16 @@ def annual_shift(df: DataFrame, features: Sequence[str], year: str = "snapshot_y
     """
     bound = len(features) * year_bound
     long = to_long(df, features, year)
-    fitted = fit_edges(long, ["feature", year], n_bins, edge_method, group_bound=bound)
+    if edge_method == "exact":
+        # exact edges need the distinct values anyway: the histograms read the same counts.
+        # The guard looks at n so that it stays above the aggregate and both readers share it.
+        rows = long.groupBy("feature", year, "value").agg(F.count("*").alias("n"))
+        known = rows.where(F.when(F.col("value").isNull(), F.lit(0)).otherwise(F.col("n")) > 0)
+        fitted = exact_quantiles(known, ["feature", year], "value", "n", [i / n_bins for i in range(1, n_bins)],
+                                 group_bound=bound)
+    else:
+        rows = long.withColumn("n", F.lit(1).cast("bigint"))
+        fitted = fit_edges(long, ["feature", year], n_bins, edge_method, group_bound=bound)
     role = lambda v: F.max(F.when(F.col("role") == v, F.col("edges")))
     pair = fitted.select("feature", "edges", F.inline(F.array(
         F.struct(F.col(year).alias("edge_year"), F.lit("own").alias("role")),
@@ -437,8 +449,8 @@ def annual_shift(df: DataFrame, features: Sequence[str], year: str = "snapshot_y
         return F.when(F.col("value").isNull(), -1).when(F.col(edges).isNull(), -2).otherwise(
             edge_rank("value", edges, n_bins - 1))
 
-    counts = join_bounded(long, pair, ["feature", year], "left", rows=bound).groupBy(
-        "feature", year, bin_by("own").alias("b"), bin_by("prev").alias("c")).agg(F.count("*").alias("n"))
+    counts = join_bounded(rows, pair, ["feature", year], "left", rows=bound).groupBy(
+        "feature", year, bin_by("own").alias("b"), bin_by("prev").alias("c")).agg(F.sum("n").alias("n"))
     sides = counts.select("feature", "n", F.inline(F.array(
         F.struct(F.col(year).alias("edge_year"), F.lit("base").alias("side"), F.col("b").alias("bin")),
         F.struct((F.col(year) - 1).alias("edge_year"), F.lit("cur").alias("side"), F.col("c").alias("bin")),

@@ -10,6 +10,7 @@ from ..operators import labels as m
 from ..operators import training
 from ..operators.ingest import assign_split
 from ..operators.reliability import class_metrics, metrics_long, one_vs_rest, ranking_metrics
+from ..session import materialize
 from .registry import query
 from .reliability import AUROC, SQL_RANK
 from .shift import SQL_STRESSED, stressed
@@ -109,7 +110,7 @@ def text_data(t):
 
 @query("lab7_train_families")
 def lab7(t):
-    data = text_data(t).persist()
+    data = materialize(text_data(t), "text")
     parts = []
     for family in training.FAMILIES:
         model = training.train(data.where("split = 'reference'"), family, MODEL_FEATURES, classes=["0", "1"])

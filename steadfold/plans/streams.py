@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_mille
 from ..operators import shift
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import late_rows, match_outcomes, monitor_windows, run_monitor
 from .registry import Tables, query
 from .shift import EDGE_LIST
@@ -41,8 +41,8 @@ def _monitor(t: Tables) -> tuple[DataFrame, DataFrame]:
     batch = monitored(t("events"))
     base = batch.where(F.col("ts") < instant(F.lit("2024-01-11").cast("timestamp_ntz")))
     groups = ["feature", "event_type"]
-    edges = shift.fit_edges(base, groups).persist()
-    hist = shift.histogram(base, edges, groups, groups)
+    edges = materialize(shift.fit_edges(base, groups), "edges")
+    hist = materialize(shift.histogram(base, edges, groups, groups), "baseline")
     windows = monitor_windows(monitored(stream(t)), edges, "ts", WIDTH, DELAY, by=["event_type"])
     out = scratch_path(t.spark, "monitor")
     q = run_monitor(windows, hist, out, scratch_path(t.spark, "monitor-state"), by=["event_type"])

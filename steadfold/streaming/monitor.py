@@ -43,7 +43,8 @@ def run_monitor(windows: DataFrame, baseline: DataFrame, out: str, checkpoint: s
                 trigger: dict | None = None):
     """Start the query: PSI of each closed window against the static baseline histogram.
 
-    A micro-batch owns the folder of its batch id, so a replay after a failure overwrites
+    ``baseline`` is read in every micro-batch: pass a stored table, not a query over the raw
+    reference rows.  A micro-batch owns the folder of its batch id, so a replay after a failure overwrites
     its own output and nothing is counted twice.  Returns the StreamingQuery.
     """
     groups = ["feature", *by]

@@ -139,11 +139,13 @@ def test_input_drift_alone_is_never_concept_shift(spark):
     assert [got[w]["verdict"] for w in "bcdef"] == ["concept", "covariate", "undetermined", "none", "label"]
 
 
-def test_annual_shift_skips_years_that_cannot_be_compared(spark):
+@pytest.mark.parametrize("method", ["exact", "approx"])
+def test_annual_shift_skips_years_that_cannot_be_compared(spark, method):
     rows = [(2022, float(i)) for i in range(50)] + [(2023, None)] * 20 + [(2024, float(i)) for i in range(50)] + [(2025, float(i)) for i in range(25, 75)]
-    got = shift.annual_shift(spark.createDataFrame(rows, "snapshot_year int, x double"), ["x"]).collect()
+    got = shift.annual_shift(spark.createDataFrame(rows, "snapshot_year int, x double"), ["x"], edge_method=method).collect()
     assert [(r["prev_year"], r["year"]) for r in got] == [(2024, 2025)]
     assert got[0]["psi"] > 0.5
+    assert (got[0]["n_prev"], got[0]["n"]) == (50, 50)
 
 
 def test_concept_evidence_sees_a_changed_outcome_at_equal_scores(spark):
