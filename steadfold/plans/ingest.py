@@ -11,7 +11,7 @@ from ..session import scratch_path
 from ..sources import SnapshotSource, align, append_report, read_report, read_snapshots
 from .registry import query
 from .shift import SQL_STRESSED, stressed
-from .views import FEATURES, SQL_AREA, YEARS, area_records, r, sql_hash, sql_long
+from .views import FEATURES, SQL_AREA, area_records, r, sql_hash, sql_long
 
 Y = "snapshot_year"
 

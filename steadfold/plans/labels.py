@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import labels as m
 from ..operators import training
 from ..operators.ingest import assign_split
-from ..operators.reliability import class_metrics, metrics_long, one_vs_rest, ranking_metrics
+from ..operators.reliability import class_metrics, metrics_long, ranking_metrics
 from ..session import materialize
 from .registry import query
 from .reliability import AUROC, SQL_RANK

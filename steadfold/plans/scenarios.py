@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scenarios import WORDING, Scenario, apply_manifest, apply_scenario
 from .registry import query
-from .views import CLASSES, SQL_COHORTS, cohorts, sql_hash
+from .views import SQL_COHORTS, cohorts, sql_hash
 
 Y = "snapshot_year"
 
@@ -111,5 +111,3 @@ def inj10(t):
         F.count("*").alias("n"), F.count("l_quantity").alias("n_quantity"), F.count("l_discount").alias("n_discount"),
         F.round(F.avg("l_quantity"), 6).alias("mean_quantity"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"))
 
-
-__all__ = ["BY_NAME", "CLASSES", "MANIFEST"]

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hash32
 from .registry import Tables
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -175,5 +174,3 @@ quality AS (
          round(1 / (1 + exp(-(word_ratio * 6e0 - 3e0))), 6) AS score
   FROM shapes s LEFT JOIN labels l ON l.doc_id = s.record_id)"""
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["hash32"]
