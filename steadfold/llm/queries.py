@@ -5,12 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import n_words
+    from .mixing import systematic_mix, tie
+
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "source", n_words(F.col("text")).alias("words"), tie("doc_id", "text").alias("digest"))
+    mixed = systematic_mix(docs, size_col="words", tie_col="digest")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS tie
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS w,
+         2.0::DOUBLE * source_size AS cap FROM s),
+l AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER ()
+              - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+         sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_lft
+  FROM w),
+v AS (SELECT lft / w_lft AS level FROM l WHERE cap > w * lft / w_lft ORDER BY cap / w, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(cap, w * (SELECT level FROM v)), cap) AS target FROM l),
+r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN round(target / source_size * 16777216.0)::BIGINT ELSE 0 END AS rate,
+         ('0x' || substr(md5('mix|' || coalesce('s:' || source, 'null')), 1, 6))::BIGINT AS off
+  FROM t),
+p AS (
+  SELECT d.doc_id, d.size, r.source_size, r.target, r.rate, r.off,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.tie) - 1 AS place
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+c AS (SELECT *, ((off + (place + 1) * rate) // 16777216 - (off + place * rate) // 16777216)::BIGINT AS copies FROM p)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
+"""
+
+
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_components
 
@@ -18,8 +71,8 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_near_dedup,)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op5_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix": OP1_SQL}
