@@ -70,8 +70,27 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), similarity=(85, 100))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, learn
+
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"))
+    learned = learn(docs.where(~F.col("held_out")))
+    return identify(docs, learned, keep=["doc_id", "held_out"])
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import count_tokens
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op5_near_dedup)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op5_near_dedup, op8_language, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
