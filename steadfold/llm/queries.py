@@ -89,9 +89,48 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan(docs).drop("text")
+
+
+def _op10_sql() -> str:
+    """The same places and labels by plain comparison of every run of words."""
+    from .licenses import BASE, NOTICES, WORD
+
+    def text(words: str) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words.split()) + "]"
+
+    rows = ",\n  ".join(f"('{t.label}', {text(t.words)}, {text(t.key)}, {t.key_at}, {str(t.base).lower()})" for t in (*BASE, *NOTICES))
+    return rf"""
+WITH t(label, words, key, key_at, base) AS (VALUES
+  {rows}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+p AS (
+  SELECT doc_id, label, base, words, key_at, w,
+         unnest(list_filter(range(len(w)), lambda i: w[i + 1] = key[1] AND w[i + 1 : i + len(key)] = key)) AS pos
+  FROM d CROSS JOIN t WHERE list_contains(w, key[1])),
+s AS (
+  SELECT doc_id, label, base, pos,
+         len(list_filter(range(len(words)), lambda j: pos - key_at + j >= 0 AND w[pos - key_at + j + 1] = words[j + 1])) / len(words)::DOUBLE AS share
+  FROM p),
+g AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op5_near_dedup, op8_language, op9_token_counts)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op5_near_dedup, op8_language, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL}
+    return {"op1_mix": OP1_SQL, "op10_license_scan": _op10_sql()}
