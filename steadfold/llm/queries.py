@@ -64,6 +64,35 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    clean = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_chunks", "n_removed", "removed_lines",
+                        F.octet_length("clean_text").cast("long").alias("clean_bytes"), F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+h AS (SELECT *, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM d),
+e AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR ((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 31 + h[i]) % 3 = 0) AS ends FROM h),
+c AS (SELECT *, list_transform(range(1, len(ends) + 1), lambda j: array_to_string(l[(CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] + 1 END) : ends[j]], chr(10))) AS chunks FROM e),
+p AS (SELECT doc_id, unnest(chunks) AS chunk, unnest(range(len(chunks))) AS no FROM c),
+q AS (
+  SELECT *, contains(chunk, chr(10)) AND regexp_matches(chunk, '[^\x20\x09-\x0D]')
+            AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, no) > 1 AS gone
+  FROM p),
+g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(sum(len(string_split(chunk, chr(10)))) FILTER (gone), 0) AS removed_lines,
+         coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') AS clean
+  FROM q GROUP BY doc_id)
+SELECT c.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(chunks), 0)::BIGINT AS n_chunks,
+       coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_lines, 0)::BIGINT AS removed_lines,
+       strlen(clean)::BIGINT AS clean_bytes, md5(clean) AS clean_md5
+FROM c LEFT JOIN g ON c.doc_id = g.doc_id
+"""
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_components
 
@@ -129,8 +158,8 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op5_near_dedup, op8_language, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_line_dedup, op5_near_dedup, op8_language, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op10_license_scan": _op10_sql()}
+    return {"op1_mix": OP1_SQL, "op4_line_dedup": OP4_SQL, "op10_license_scan": _op10_sql()}
