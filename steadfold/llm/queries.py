@@ -99,6 +99,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), similarity=(85, 100))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_pages
+
+    text = F.col("text")
+    return extract_pages(_table(spark, sf_dir, "pages").select("page_id", "html")).select(
+        "page_id", F.octet_length("html").cast("long").alias("html_bytes"), F.octet_length(text).cast("long").alias("text_bytes"),
+        F.when(text.isNotNull(), F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"), text)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify, learn
 
@@ -158,7 +167,7 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_line_dedup, op5_near_dedup, op8_language, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_line_dedup, op5_near_dedup, op7_html_text, op8_language, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
