@@ -99,6 +99,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"), similarity=(85, 100))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), similarity=0.93)
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract_pages
 
@@ -167,7 +173,7 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_line_dedup, op5_near_dedup, op7_html_text, op8_language, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_line_dedup, op5_near_dedup, op6_near_vectors, op7_html_text, op8_language, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
