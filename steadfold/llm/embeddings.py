@@ -48,8 +48,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "unit"])
 
 
-def robust_graph(x: np.ndarray, degree: int = 16, near: int = 24, far: int = 16, alpha: float = 1.2) -> np.ndarray:
-    """Adjacency lists (-1 fills up): robust-pruned candidates and the lists that point back, united."""
+def robust_graph(x: np.ndarray, degree: int = 16, near: int = 24, far: int = 16, alpha: float = 1.2) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency lists, as starts and ends: robust-pruned candidates and the lists that point back, united."""
     n = len(x)
     near, far = min(near, n - 1), min(far, n - 1)
     picks = np.random.default_rng(n).integers(0, n, (n, far)) if n > 1 else np.zeros((n, 0), int)
@@ -73,15 +73,12 @@ def robust_graph(x: np.ndarray, degree: int = 16, near: int = 24, far: int = 16,
             alive &= ~(take[:, None] & (alpha * between[:, j] <= away))
     edges = np.concatenate(kept_edges) if kept_edges else np.zeros((0, 2), int)
     edges = np.unique(np.concatenate([edges, edges[:, ::-1]]), axis=0)
-    counts = np.bincount(edges[:, 0], minlength=n)
-    lists = np.full((n, max(int(counts.max(initial=0)), 1)), -1)
-    place = np.arange(len(edges)) - np.repeat(np.cumsum(counts) - counts, counts)
-    lists[edges[:, 0], place] = edges[:, 1]
-    return lists
+    return np.searchsorted(edges[:, 0], np.arange(n + 1)), edges[:, 1]
 
 
-def range_search(queries: np.ndarray, x: np.ndarray, lists: np.ndarray, least: float, beam: int = 16) -> Iterator[tuple[int, np.ndarray]]:
+def range_search(queries: np.ndarray, x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], least: float, beam: int = 16) -> Iterator[tuple[int, np.ndarray]]:
     """For blocks of queries: place of the first, and the similarities of what was visited (-inf elsewhere)."""
+    starts, ends = graph
     medoid = int(np.argmax(x @ x.mean(axis=0)))
     for lo in range(0, len(queries), 128):
         q = queries[lo : lo + 128]
@@ -95,9 +92,9 @@ def range_search(queries: np.ndarray, x: np.ndarray, lists: np.ndarray, least: f
                 break
             done[who, node] = True
             fresh = np.zeros(score.shape, bool)
-            for column in lists[node].T:
-                has = column >= 0
-                fresh[who[has], column[has]] = True
+            degree = starts[node + 1] - starts[node]
+            place = np.arange(degree.sum()) + np.repeat(starts[node] - np.cumsum(degree) + degree, degree)
+            fresh[np.repeat(who, degree), ends[place]] = True
             who, node = np.nonzero(fresh & ~np.isfinite(score))
             for a in range(0, len(who), 1 << 16):
                 w, v = who[a : a + (1 << 16)], node[a : a + (1 << 16)]
@@ -199,8 +196,8 @@ def _split(rows: DataFrame, shard_rows: int, pivots: int, slack: float, rounds:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-                 similarity: float = 0.93, margin: float = 0.05, beam: int = 16, shard_rows: int = 1024, pivots: int = 16,
-                 slack: float = 0.12, rounds: int = 12) -> DataFrame:
+                 similarity: float = 0.93, margin: float = 0.05, beam: int = 16, shard_rows: int = 2048, pivots: int = 16,
+                 slack: float = 0.08, rounds: int = 12) -> DataFrame:
     """One row per vector: ``id_col``, ``n_links``, ``component_id``, ``kept``.
 
     Two vectors are linked when their labels are equal and not null, their lengths are equal, and
