@@ -269,7 +269,7 @@ def render(node: Node | str, page: Page, kept: bool, number: int | None = None)
             else:
                 render(child, page, kept or tag in ("pre", "listing"))
     if tag in BLOCKS:
-        page.end()
+        page.end(kept=tag in ("pre", "listing") and bool("".join(page.now)))
     if tag in SPACED:
         page.gap = True
 
