@@ -36,7 +36,7 @@ def train(df: DataFrame, family: str, features: Sequence[str], label: str = "lab
     elif family == "forest":
         clf = RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **common, **weights)
     elif family == "boosted":
-        gbt = GBTClassifier(maxIter=8, maxDepth=3, seed=seed, **common)
+        gbt = GBTClassifier(maxIter=8, maxDepth=3, seed=seed, **common, **weights)
         clf = gbt if len(classes) == 2 else OneVsRest(classifier=gbt, **common, **weights)
     else:
         raise ValueError(f"unknown family {family!r}")

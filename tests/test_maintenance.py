@@ -215,3 +215,15 @@ def test_three_class_boosting_scores(spark):
     assert again.where("label = predicted").count() == score(df, logistic, "1.0", ["a", "b", "c"]).where("label = predicted").count()
     with pytest.raises(Exception):
         save_version(logistic, root, "m", "1.0")  # a version is written once
+
+
+def test_weights_reach_boosting(spark):
+    from steadfold.operators.training import train
+
+    rows = [(float(i % 10), "a" if i % 3 else "b", 0.01 if i % 3 else 100.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "x double, label string, w double")
+    predicted = {}
+    for weight in (None, "w"):
+        model = train(df, "boosted", ["x"], classes=["a", "b"], weight_col=weight)
+        predicted[weight] = {r.prediction for r in model.transform(df).select("prediction").distinct().collect()}
+    assert predicted == {None: {0.0}, "w": {1.0}}
