@@ -51,7 +51,7 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: Compression, MinHash and jump hashing have no counterpart in SQL; tests/llm hold the rows against brute force.
+#: Compression, MinHash and jump hashing have no counterpart in SQL; tests/llm check properties of the rows by brute force.
 ORACLE_SQL = None
 
 
