@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from steadfold.session import materialize
 
 FLUSH = 200_000
+HEAD_BYTES = 64  # longer pre-tokens are never part of the head
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -91,7 +92,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     vocab = materialize(vocabulary(docs, tokenizer, text_col), "vocabulary")
-    known = {r["word"]: r["pieces"] for r in vocab.orderBy(F.desc("n"), "word").limit(head).select("word", "pieces").collect()}
+    short = vocab.where(F.octet_length("word") <= HEAD_BYTES)
+    known = {r["word"]: r["pieces"] for r in short.orderBy(F.desc("n"), "word").limit(head).select("word", "pieces").collect()}
     sent = spark.sparkContext.broadcast(known)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
