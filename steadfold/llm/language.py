@@ -19,17 +19,16 @@ UNKNOWN = "und"
 MOST_LANGUAGES = 1000
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          texts_per_language: int = 300, chars_per_text: int = 1024) -> list[tuple[str, bytes]]:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts_per_language: int = 300, chars_per_text: int = 1024) -> list[tuple[str, bytes]]:
     """Languages with the content of their dictionaries, the language with the most texts first.
 
     Bounded sample (the two parameters): of each language the ``texts_per_language`` texts with the
-    smallest digests of id and text, and of each its first ``chars_per_text`` characters.  Which
-    texts these are does not depend on how rows are spread; equal rows count once.  Rows without
+    smallest digests, and of each its first ``chars_per_text`` characters.  Which texts these are
+    does not depend on how rows are spread; equal texts count once.  Rows without
     text or language teach nothing; more than 1,000 languages are an error, not a silent cut.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("digest"),
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"),
         F.col(text_col).cast("string").alias("text"))
     first = Window.partitionBy("lang").orderBy("digest")
     ranked = rows.select("lang", "digest").distinct().withColumn("rank", F.row_number().over(first))
