@@ -13,32 +13,30 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("least"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether only stars are left: no node has two smaller neighbours, or both a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger")))
+    ends = ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return ends.where("smaller > 1 or smaller = 1 and larger = 1").isEmpty()
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, root)`` for every node of an undirected edge table; the root is the smallest node.
 
-    Alternates large-star and small-star steps until the edges no longer change, so the number of
-    rounds grows with the logarithm of the component size.  Each round is written to the shared
+    Alternates large-star and small-star steps until only stars are left, so the number of rounds
+    grows with the logarithm of the component size.  Each round is written to the shared
     folder.  Null ends and loops are ignored; an empty table has no components.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = materialize(edges, "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         star = both.join(_least(both), "u").where("v > u").select(
-            F.col("v").alias("u"), F.least("u", "least").alias("v"))
-        star = star.where("u <> v").distinct()
+            F.col("v").alias("u"), F.least("u", "least").alias("v")).where("u <> v")
         low = star.join(_least(star), "u")
         star = low.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(
             low.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
         edges = materialize(star, "edges")
-        before, state = state, _state(edges)
-        if state == before:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
