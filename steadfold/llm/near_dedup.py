@@ -6,8 +6,10 @@
 3. ``rows`` consecutive bins make a bucket key.  A bucket proposes a star: its centre with every
    member, never all pairs.  Proposals are confirmed on the full sets.
 4. Buckets whose members ended in several components are worked on again: once with other centres,
-   then with every remaining pair of different components whose sizes allow a link.  Nothing that
-   shares a bucket is left untested unless it is already connected.
+   then with every remaining pair of different components that may be a link.  Elements that no other
+   remaining set has cannot be shared, so they bound the intersection: a set with too many of its own
+   (a near copy just beyond the similarity) meets nobody.  Nothing that shares a bucket is left
+   untested unless it is already connected or this bound rules the link out.
 """
 
 from __future__ import annotations
@@ -104,6 +106,23 @@ def _linked(num: int, den: int):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per element of a set."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            part = [np.frombuffer(b.as_buffer(), np.int64) for b in batch.column(1).slice(lo, 64)]
+            ids = np.repeat(batch.column(0).slice(lo, 64).to_numpy(), [len(p) for p in part])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(part))], names=["id", "item"])
+
+
+def own_elements(sets: DataFrame) -> DataFrame:
+    """``(rep, own)``: how many elements of a set are in no other; ids with several sets are left out."""
+    alone = sets.groupBy(F.col("id").alias("rep")).count().where("count = 1")
+    held = sets.mapInArrow(_elements, "id long, item long").groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
+    own = held.where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return own.join(alone, "rep", "left_semi")
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     similarity: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 5) -> DataFrame:
     """One row per input row: ``id_col``, ``n_shingles`` (set size), ``component_id``, ``kept``.
@@ -159,13 +178,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.where(fits)
         else:
             left = materialize(now.join(split.select("key"), "key", "left_semi"), "remaining")
-            other = left.select("key", F.col("rep").alias("a"), F.col("n").alias("n_centre"), F.col("root").alias("root_a"))
-            pairs = left.withColumnRenamed("rep", "b").join(other, "key").where("root_a < root").where(fits)
+            own = own_elements(sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+            left = left.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+            smallest = left.groupBy("key").agg(F.min("n").alias("n_least"))
+            able = F.lit(num + den) * F.col("most") >= F.lit(num) * (F.col("n") + F.col("n_least"))
+            left = materialize(left.join(smallest, "key").where(able).drop("own", "n_least"), "remaining")
+            other = left.select("key", F.col("rep").alias("a"), F.col("n").alias("n_centre"),
+                                F.col("root").alias("root_a"), F.col("most").alias("most_a"))
+            enough = F.lit(num + den) * F.least("most", "most_a") >= F.lit(num) * (F.col("n") + F.col("n_centre"))
+            pairs = left.withColumnRenamed("rep", "b").join(other, "key").where("root_a < root").where(fits & enough)
         more = materialize(confirmed(pairs), "links")
         if more.isEmpty():
             continue
-        links = links.unionByName(more)
-        roots = components(links, "a", "b")
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars: fewer rounds than from the links
+        roots = components(known.unionByName(more), "a", "b")
 
     out = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "id", "n", F.coalesce("root", "rep", "id").alias("component"))

@@ -65,6 +65,24 @@ def test_near_dedup_is_brute_force(spark, sf_dir):
         i: (len(sets[i]), root[i], root[i] == i) for i in sets}
 
 
+def test_near_copies_around_the_similarity(spark):
+    """A group of copies with changed words, no original among them: some pairs link, most do not."""
+    base, rng, texts = text_of(11, 120).split(), np.random.default_rng(12), {}
+    for i in range(80):
+        own = list(base)
+        for at in rng.choice(120, 1 + i % 3, replace=False):
+            own[at] = f"edit{i if i % 4 else i // 8}"
+        texts[i] = " ".join(own)
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 84 * len(sets[a] | sets[b]):
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {i: new if r == old else r for i, r in root.items()}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_components(rows, similarity=(84, 100)).collect()}
+    assert got == root and 1 < len(set(root.values())) < 80
+
+
 def test_near_dedup_rows(docs, nothing):
     got = {r.doc_id: r.component_id for r in near_dedup.near_components(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9, 10: 10, None: None}
