@@ -150,7 +150,8 @@ def reweight(ref: DataFrame, current: DataFrame, strata: Sequence[str], weight:
 def next_version(registry: DataFrame, actions: DataFrame, key: Sequence[str] = ("model_id",)) -> DataFrame:
     """Version number of each requested candidate: minor step for RECALIBRATE, major for RETRAIN.
 
-    Numbers already used by rejected candidates are not reused.
+    Numbers already used by rejected candidates are not reused.  An action that cannot be numbered
+    stays, without a version and with a ``reason``.
     """
     parts = registry.select(
         *key,
@@ -158,19 +159,19 @@ def next_version(registry: DataFrame, actions: DataFrame, key: Sequence[str] = (
         F.split_part("version", F.lit("."), F.lit(2)).cast("int").alias("minor"),
         "version", "event", "seq",
     )
-    state = parts.groupBy(*key).agg(
-        F.max("major").alias("top_major"),
-        F.max_by(F.struct("major", "version"), F.when(F.col("event").isin("PROMOTED", "ROLLBACK"), F.col("seq"))).alias("act"),
-        F.collect_set(F.struct("major", "minor")).alias("__used"),
-    )
-    used_minor = F.array_max(F.transform(
-        F.filter("__used", lambda v: v["major"] == F.col("act.major")), lambda v: v["minor"]))
-    numbered = join_bounded(actions, state, key)
+    by_major = parts.groupBy(*key, "major").agg(
+        F.max("minor").alias("minor"),
+        F.max(F.when(F.col("event").isin("PROMOTED", "ROLLBACK"), F.struct("seq", "major", "version"))).alias("act"))
+    state = by_major.groupBy(*key).agg(
+        F.max("major").alias("top_major"), F.max("act").alias("act"), F.max_by("minor", F.col("act.seq")).alias("used_minor"))
+    numbered = join_bounded(actions, state, key, "left")
     return numbered.select(
         *key,
         "action",
         F.col("act.version").alias("parent"),
-        F.when(F.col("action") == "RECALIBRATE", F.concat_ws(".", F.col("act.major"), used_minor + 1))
-        .when(F.col("action") == "RETRAIN", F.concat_ws(".", F.col("top_major") + 1, F.lit(0)))
+        F.when(F.col("action") == "RECALIBRATE", F.concat(F.col("act.major"), F.lit("."), F.col("used_minor") + 1))
+        .when(F.col("action") == "RETRAIN", F.concat(F.col("top_major") + 1, F.lit(".0")))
         .alias("version"),
+        F.when(F.col("top_major").isNull(), "unknown model")
+        .when((F.col("action") == "RECALIBRATE") & F.col("act").isNull(), "no active version").alias("reason"),
     )

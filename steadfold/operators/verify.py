@@ -94,14 +94,17 @@ def active_version(registry: DataFrame, as_of=None, key: Sequence[str] = ("model
 def rollback(registry: DataFrame, ts, key: Sequence[str] = ("model_id",)) -> DataFrame:
     """ROLLBACK events that restore the version promoted before the active one.
 
-    A version that was itself rolled back is never restored, and models without an earlier
-    version get no event.
+    A rollback takes back the promotions of a version before it, not those after it: a version
+    promoted again counts again.  Models without another standing version get no event.
     """
     order = Window.partitionBy(*key).orderBy("seq")
-    withdrawn = registry.where(F.col("event") == "ROLLBACK").select(*key, F.col("parent").alias("version")).distinct()
+    withdrawn = registry.where(F.col("event") == "ROLLBACK").groupBy(
+        *key, F.col("parent").alias("version")).agg(F.max("seq").alias("__gone"))
     standing = (
         registry.where(F.col("event") == "PROMOTED")
-        .join(withdrawn, [*key, "version"], "left_anti")
+        .groupBy(*key, "version").agg(F.max("seq").alias("seq"))
+        .join(withdrawn, [*key, "version"], "left")
+        .where(F.col("__gone").isNull() | (F.col("seq") > F.col("__gone")))
         .withColumn("__prev", F.lag("version").over(order))
     )
     current = standing.groupBy(*key).agg(F.max(F.struct("seq", "version", "__prev")).alias("a"))

@@ -199,7 +199,7 @@ def candidates(t, reg):
 
 @query("adp6_next_version", f"WITH {SQL_REGISTRY} SELECT model_id, action, parent, version FROM nv")
 def adp6(t):
-    return candidates(t, registry(t)).drop("n0")
+    return candidates(t, registry(t)).drop("n0", "reason")
 
 
 @query("ver1_split_isolation", f"""

@@ -14,6 +14,8 @@ from .shift import EDGE_LIST
 from .views import r, sql_hash
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+MONITORED = "window_start TIMESTAMP, window_end TIMESTAMP, feature STRING, event_type STRING, n_rows BIGINT, n_missing BIGINT, psi DOUBLE"
+MATCHED = "record_id BIGINT, scored_at TIMESTAMP, label_ts TIMESTAMP, label STRING"
 WIDTH, DELAY = "1 day", "2 hours"
 
 
@@ -29,7 +31,8 @@ def utc_text(ts: Column) -> Column:
 
 
 def stream(t: Tables) -> DataFrame:
-    return t.spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    """The table as a stream; the pattern takes a single file as well as a folder of part files."""
+    return t.spark.readStream.schema(EVENTS).parquet(f"{t.dir}/events.parque[t]")
 
 
 def monitored(df: DataFrame) -> DataFrame:
@@ -47,7 +50,9 @@ def _monitor(t: Tables) -> tuple[DataFrame, DataFrame]:
     out = scratch_path(t.spark, "monitor")
     q = run_monitor(windows, hist, out, scratch_path(t.spark, "monitor-state"), by=["event_type"])
     q.awaitTermination()
-    return t.spark.read.parquet(out), batch
+    # an empty source has a result, too
+    t.spark.createDataFrame([], MONITORED).write.parquet(f"{out}/batch=-1")
+    return t.spark.read.schema(MONITORED).parquet(out), batch
 
 
 SQL_WINDOWS = f"""ev AS (SELECT date_trunc('day', ts) AS w, ts, event_type, value FROM events),
@@ -76,7 +81,7 @@ def str1(t):
 WITH {SQL_WINDOWS} SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n AS n_arrived, n AS n_rows, CAST(0 AS BIGINT) AS n_late FROM win""")
 def str1_late(t):
     out, batch = _monitor(t)
-    return late_rows(out, batch, "ts", WIDTH, ["event_type"]).select(
+    return late_rows(out, batch, "ts", WIDTH, ["event_type"], DELAY).select(
         utc_text(F.col("window_start")).alias("window_start"), "event_type", "n_arrived", "n_rows", "n_late")
 
 
@@ -103,7 +108,7 @@ def str2(t):
     q.awaitTermination()
     # predictions whose horizon had not closed when the source ended are still open
     last = t("events").agg(F.max("ts").alias("m")).select((F.col("m") - F.expr("INTERVAL 12 HOURS")).alias("m"))
-    done = t.spark.read.parquet(out).withColumn("one", F.lit(1)).join(
+    done = t.spark.read.schema(MATCHED).parquet(out).withColumn("one", F.lit(1)).join(
         F.broadcast(last.select(instant(F.col("m")).alias("m"), F.lit(1).alias("one"))), "one").where(F.col("scored_at") <= F.col("m"))
     return done.groupBy(F.coalesce("label", F.lit("(none)")).alias("label")).agg(
         F.count("*").alias("n"), F.sum("record_id").alias("id_sum"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 REPORT_TABLES = ("shift_flags", "decisions", "version_history", "recommendations", "burden", "demand")
 
@@ -14,19 +14,14 @@ def append_report(df: DataFrame, root: str, table: str, run_id: str,
                   partition_by: Sequence[str] = ()) -> str:
     """Write one run of a report under ``root/table/run_id=...``.
 
-    A run owns its partition: repeating it after a lost executor or a failed driver
-    replaces the same run instead of doubling it, other runs are never touched.
+    A run owns its folder: repeating it after a lost executor or a failed driver replaces the
+    run with all its partitions instead of doubling it, other runs are never touched.
     """
     if table not in REPORT_TABLES:
         raise ValueError(f"unknown report {table!r}")
     path = f"{root}/{table}"
-    (
-        df.withColumn("run_id", F.lit(run_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id", *partition_by)
-        .parquet(path)
-    )
+    own = df.drop("run_id").write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (own.partitionBy(*partition_by) if partition_by else own).parquet(f"{path}/run_id={quote(run_id, safe='')}")
     return path
 
 

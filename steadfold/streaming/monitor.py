@@ -64,13 +64,18 @@ def run_monitor(windows: DataFrame, baseline: DataFrame, out: str, checkpoint: s
     )
 
 
-def late_rows(monitored: DataFrame, source: DataFrame, ts: str, width: str, by: Sequence[str] = ()) -> DataFrame:
+def late_rows(monitored: DataFrame, source: DataFrame, ts: str, width: str, by: Sequence[str] = (),
+              delay: str = "0 seconds") -> DataFrame:
     """Rows that came after their window had closed, per window: source count minus counted.
 
-    ``source`` is the batch view of everything that arrived.
+    ``source`` is the batch view of everything that arrived, ``delay`` the monitor's.  Every closed
+    window is reported, also one whose rows of a group were all late (``n_rows`` is 0 then).
     """
     groups = ["feature", *by]
-    arrived = source.groupBy(F.window(ts, width).alias("w"), *groups).agg(F.count("*").alias("n_arrived")).select(
+    arrived = source.groupBy(F.window(ts, width).alias("w"), *groups).agg(F.count("*").alias("n_arrived"))
+    last = source.agg(F.max(ts)).scalar()
+    arrived = arrived.where(F.col("w.end") <= last - F.expr(f"INTERVAL {delay}")).select(
         F.col("w.start").alias("window_start"), *groups, "n_arrived")
-    return join_bounded(monitored.select("window_start", *groups, "n_rows"), arrived, ["window_start", *groups]).select(
-        "window_start", *groups, "n_arrived", "n_rows", (F.col("n_arrived") - F.col("n_rows")).alias("n_late"))
+    counted = F.coalesce("n_rows", F.lit(0))
+    return join_bounded(arrived, monitored.select("window_start", *groups, "n_rows"), ["window_start", *groups], "left").select(
+        "window_start", *groups, "n_arrived", counted.alias("n_rows"), (F.col("n_arrived") - counted).alias("n_late"))

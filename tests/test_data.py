@@ -84,6 +84,9 @@ def test_report_runs_replace_themselves_only(spark):
     append_report(df(2), root, "burden", "r2", ["phm"])
     append_report(df(4), root, "burden", "r1", ["phm"])
     assert {r["run_id"]: r["count"] for r in read_report(spark, root, "burden").groupBy("run_id").count().collect()} == {"r1": 4, "r2": 2}
+    append_report(spark.range(1).withColumn("phm", F.lit("q")), root, "burden", "r1", ["phm"])
+    left = read_report(spark, root, "burden").where("run_id = 'r1'").collect()
+    assert [r["phm"] for r in left] == ["q"]  # the partition "p" of the run is gone
     with pytest.raises(ValueError):
         append_report(df(1), root, "unknown", "r1")
 

@@ -66,6 +66,21 @@ def test_versions_step_and_never_repeat(spark):
     assert got == {"RECALIBRATE": ("1.0", "1.2"), "RETRAIN": ("1.0", "3.0")}
 
 
+def test_actions_without_a_version_stay_with_a_reason(spark):
+    reg = registry(spark, ("1.0", "CANDIDATE"), ("1.0", "REJECTED"))
+    ask = spark.createDataFrame([("m", "RECALIBRATE"), ("m", "RETRAIN"), ("other", "RETRAIN")], "model_id string, action string")
+    got = {(r["model_id"], r["action"]): (r["version"], r["reason"]) for r in adapt.next_version(reg, ask).collect()}
+    assert got == {("m", "RECALIBRATE"): (None, "no active version"), ("m", "RETRAIN"): ("2.0", None),
+                   ("other", "RETRAIN"): (None, "unknown model")}
+
+
+def test_a_version_promoted_again_can_be_rolled_back_again(spark):
+    events = [(1, "1.0", None, "PROMOTED"), (2, "1.1", "1.0", "PROMOTED"), (3, "1.0", "1.1", "ROLLBACK"), (4, "1.1", "1.0", "PROMOTED")]
+    reg = spark.createDataFrame([("m", n, v, p, e, n) for n, v, p, e in events], REG)
+    back = verify.rollback(reg, 99).first()
+    assert (back["seq"], back["version"], back["parent"]) == (5, "1.0", "1.1")
+
+
 def criteria(spark):
     return spark.createDataFrame([
         ("RECALIBRATE", "ece", "1", "absolute", 0.1), ("RETRAIN", "ece", "1", "absolute", 0.1),

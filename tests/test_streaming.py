@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from steadfold import plans
 from steadfold.operators import shift
 from steadfold.session import scratch_path
 from steadfold.streaming import late_rows, match_outcomes, monitor_windows, run_monitor
@@ -26,7 +27,7 @@ def test_monitor_equals_batch_and_counts_late_rows(spark):
     on_time = [(at(h / 4), "v", float(h % 17)) for h in range(0, 24 * 4 * 3)]
     write(spark, src, on_time, schema, 1)
     write(spark, src, [(at(100), "v", 1.0)], schema, 2)
-    late = [(at(5), "v", 3.0), (at(6), "v", 3.0)]
+    late = [(at(5), "v", 3.0), (at(6), "v", 3.0), (at(7), "w", 3.0)]  # of "w" nothing was in time
     write(spark, src, late, schema, 3)
     write(spark, src, [(at(200), "v", 1.0)], schema, 4)
 
@@ -49,8 +50,21 @@ def test_monitor_equals_batch_and_counts_late_rows(spark):
             assert abs(r["psi"] - want[key]) < 1e-9
     assert closed.count() == 3
     arrived = spark.read.schema(schema).parquet(src)
-    counted = {r["window_start"]: r["n_late"] for r in late_rows(closed, arrived, "ts", "1 day").collect()}
-    assert sorted(counted.values()) == [0, 0, 2]
+    counted = {(r["feature"], r["window_start"]): (r["n_rows"], r["n_late"])
+               for r in late_rows(got, arrived, "ts", "1 day", delay="1 hour").collect()}
+    assert sorted(v for (f, _), v in counted.items() if f == "v") == [(1, 0), (96, 0), (96, 0), (96, 2)]
+    assert [v for (f, _), v in counted.items() if f == "w"] == [(0, 1)]
+
+
+def test_registered_streams_read_a_folder_of_parts(spark, sf_dir):
+    folder = scratch_path(spark, "tables")
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{folder}/events.parquet")
+    for name in ("str1_stream_monitor", "str1_late_rows", "str2_delayed_labels"):
+        file, parts = (sorted(map(str, plans.queries()[name](spark, d).collect())) for d in (sf_dir, folder))
+        assert file == parts and file
+    empty = scratch_path(spark, "tables")
+    spark.read.parquet(f"{sf_dir}/events.parquet").limit(0).write.parquet(f"{empty}/events.parquet")
+    assert plans.queries()["str1_stream_monitor"](spark, empty).count() == 0
 
 
 def test_labels_arrive_later_or_never(spark):
