@@ -94,7 +94,7 @@ def maintenance_round(model, model_id: str, registry: DataFrame, baseline: DataF
     promoted = bool(verdict.first()["passed"])
 
     wanted = decision.select(KEY, F.lit(action).alias("action"))
-    numbered = next_version(registry, wanted).select(KEY, "version", "parent")
+    numbered = next_version(registry, wanted).where("version is not null").select(KEY, "version", "parent")
     judged_version = join_bounded(numbered, verdict.select(KEY, "passed"), [KEY], rows=1).withColumn(
         "ts", ts if hasattr(ts, "cast") else F.lit(ts))
     events = apply_gate(registry, judged_version)
