@@ -262,13 +262,19 @@ def missingness(df: DataFrame, features: Sequence[str], ref, window: str = "wind
 
 def out_of_range(long: DataFrame, bounds: DataFrame, window: str = "window_id",
                  by: Sequence[str] = (), n_bounds: int | None = None) -> DataFrame:
-    """Share of observed values outside ``[lo, hi]`` per window and feature."""
-    joined = join_bounded(long.where(F.col("value").isNotNull()), bounds, ["feature"], rows=n_bounds)
+    """Share of observed values outside ``[lo, hi]`` per window and feature.
+
+    A feature never observed in a window has ``n`` 0 and no rate; one without bounds has
+    ``no_bounds`` and neither ``n_out`` nor a rate.
+    """
+    joined = join_bounded(long, bounds.withColumn("__bounded", F.lit(True)), ["feature"], "left", rows=n_bounds)
     outside = ~F.col("value").between(F.col("lo"), F.col("hi"))
     return joined.groupBy(window, *by, "feature").agg(
-        F.count("*").alias("n"),
+        F.count("value").alias("n"),
+        F.max("__bounded").isNull().alias("no_bounds"),
         F.count_if(outside).alias("n_out"),
-    ).withColumn("out_rate", safe_ratio(F.col("n_out"), F.col("n")))
+    ).withColumn("n_out", F.when(~F.col("no_bounds"), F.col("n_out"))).withColumn(
+        "out_rate", safe_ratio(F.col("n_out"), F.col("n")))
 
 
 def duplicate_ids(df: DataFrame, record_id: Sequence[str], window: str = "window_id") -> DataFrame:

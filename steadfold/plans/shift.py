@@ -150,10 +150,10 @@ BOUNDS = [("l_quantity", 1.0, 50.0), ("l_extendedprice", 0.0, 105000.0), ("l_dis
 @query("mon5_out_of_range", f"""
 WITH {SQL_STRESSED}, long AS ({sql_long("stressed", FEATURES, Y)}),
 bounds(feature, lo, hi) AS (VALUES {", ".join(f"('{f}', {lo}e0, {hi}e0)" for f, lo, hi in BOUNDS)})
-SELECT snapshot_year AS year, feature, COUNT(*) AS n,
+SELECT snapshot_year AS year, feature, COUNT(value) AS n,
        CAST(SUM(CASE WHEN value < lo OR value > hi THEN 1 ELSE 0 END) AS BIGINT) AS n_out,
-       round(AVG(CASE WHEN value < lo OR value > hi THEN 1e0 ELSE 0e0 END), 6) AS out_rate
-FROM long JOIN bounds USING (feature) WHERE value IS NOT NULL GROUP BY ALL""")
+       round(AVG(CASE WHEN value < lo OR value > hi THEN 1e0 WHEN value IS NOT NULL THEN 0e0 END), 6) AS out_rate
+FROM long LEFT JOIN bounds USING (feature) GROUP BY ALL""")
 def mon5(t):
     bounds = literal_table(t.spark, BOUNDS, "feature string, lo double, hi double")
     long = m.to_long(stressed(t), FEATURES, Y)

@@ -153,3 +153,12 @@ def test_concept_evidence_sees_a_changed_outcome_at_equal_scores(spark):
     row = shift.concept_evidence(spark.createDataFrame(rows, "window_id string, score double, y int"), "ref").first()
     assert (row["n_labelled"], row["n_comparable"]) == (40, 40)
     assert row["concept_gap"] == pytest.approx(0.5)
+
+
+def test_range_check_keeps_unobserved_and_unbounded_features(spark):
+    long = spark.createDataFrame(
+        [(1, "a", 5.0), (1, "a", 99.0), (2, "a", None), (1, "b", 1.0)], "window_id int, feature string, value double")
+    bounds = spark.createDataFrame([("a", 0.0, 10.0)], "feature string, lo double, hi double")
+    got = {(r["window_id"], r["feature"]): (r["n"], r["n_out"], r["out_rate"], r["no_bounds"])
+           for r in shift.out_of_range(long, bounds).collect()}
+    assert got == {(1, "a"): (2, 1, 0.5, False), (2, "a"): (0, 0, None, False), (1, "b"): (1, None, None, True)}
