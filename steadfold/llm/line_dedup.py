@@ -1,12 +1,17 @@
 """Line dedup with content-defined chunks, in Spark's own expressions.
 
-1. A text is cut into lines.  A rolling hash runs over the hashes of ``window`` lines; a chunk ends
-   where it is divisible by ``divisor``.  Boundaries depend on the nearby lines alone, so the same
-   passage is cut in the same way wherever it stands, whatever was put before it.
-2. Chunks of two or more lines with at least one word are looked for in the whole corpus by their
-   64-bit digest.  Only ids and digests are shuffled for that, and counts are summed up first.
+1. A text is cut into lines, and the lines into chunks by many boundary laws at once.  A law is one
+   bit of a line's hash: before a line with 0 and after a line with 1 there is a boundary, so a
+   passage's own lines alone decide how it is cut.  Each bit and its complement is a law, and their
+   union of multi-line chunks is every two neighbouring lines that differ: some law tells any two
+   lines apart.  So the lines are compared and no law is computed.  A run of equal lines, which no
+   law cuts out, is one more chunk.
+2. Chunks with at least one word are looked for in the whole corpus by their 64-bit digest.  Only ids,
+   places and digests are shuffled for that, and counts are summed up first.
 3. Of a repeated chunk the first (smallest id, then digest of the text, then place) stays.  The others
-   are compared with its bytes in their own document and removed if they are equal.
+   are compared with its bytes in their own document, and the lines of the equal ones are removed.
+
+Chunks overlap.  Each line that goes has an equal one at an earlier place, and the first of those stays.
 
 A chunk that stands in a third of all documents is one row after the partial sums; the joins that
 bring it back to its documents are plain equi-joins, which Spark splits when a key is skewed.
@@ -22,78 +27,86 @@ from steadfold.session import materialize
 from .common import without
 
 
-def chunks_of(text: Column, window: int = 2, divisor: int = 3) -> Column:
-    """The chunks of a text; joined by line feeds they are the text again.  None for null."""
-    lines = F.split(text, "\n", -1)
+def _with(value: Column, then) -> Column:
+    """``then`` of a lambda variable bound to ``value``, so that it is evaluated once per row."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
 
-    def rolled(values: Column, i: Column) -> Column:
-        total = F.lit(0).cast("long")
-        for back in range(window):
-            total = total * 31 + F.when(i > window - 1 - back, F.get(values, F.greatest(i - window + back, F.lit(0)))).otherwise(0)
-        return total
+def _joined(lines: Column, chunk: Column) -> Column:
+    return F.array_join(F.slice(lines, chunk["no"] + 1, chunk["size"]), "\n")
 
-    def cut(pair: Column) -> Column:
-        """Numbers of lines after which a chunk ends, the last line always among them."""
-        n = F.size(pair["l"])
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolled(pair["h"], i) % divisor == 0))
 
-    def sliced(state: Column) -> Column:
-        return F.transform(state["ends"], lambda end, j: F.array_join(
-            F.slice(state["l"], F.when(j == 0, 1).otherwise(F.get(state["ends"], F.greatest(j - 1, F.lit(0))) + 1),
-                    end - F.when(j == 0, 0).otherwise(F.get(state["ends"], F.greatest(j - 1, F.lit(0))))), "\n"))
+def _cut(lines: Column) -> Column:
+    """Place and number of lines of every chunk."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | (F.get(lines, i - 1) != F.get(lines, i - 2)))
 
-    # Each step is bound to a lambda variable, so it is evaluated once per text.
-    bound = F.transform(F.array(F.struct(lines.alias("l"))), lambda s: F.struct(s["l"].alias("l"), F.transform(
-        s["l"], lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 7), 16, 10).cast("long")).alias("h")))
-    bound = F.transform(bound, lambda s: F.struct(s["l"].alias("l"), cut(s).alias("ends")))
-    return F.when(text.isNotNull(), F.get(F.transform(bound, sliced), 0))
+    def chunks(at: Column) -> Column:
+        pairs = F.transform(F.filter(at, lambda i: i > 1), lambda i: F.struct((i - 2).alias("no"), F.lit(2).alias("size")))
+        runs = F.transform(at, lambda i, j: F.struct((i - 1).alias("no"), (F.coalesce(F.get(at, j + 1), F.size(lines) + 1) - i).alias("size")))
+        return F.concat(pairs, F.filter(runs, lambda c: c["size"] > 1))
 
+    return _with(starts, chunks)
 
-def _counts(chunk: Column) -> Column:
-    """Does the chunk have several lines and a word?"""
-    return chunk.contains("\n") & chunk.rlike(r"[^\x20\x09-\x0D]")
 
+def chunks_of(text: Column) -> Column:
+    """``(no, size, digest)`` of the chunks of a text that hold a word.  None for null."""
+    def word(line: Column) -> Column:
+        return line.rlike(r"[^\x20\x09-\x0D]")
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, divisor: int = 3) -> DataFrame:
+    def named(s: Column) -> Column:
+        worded = F.filter(s["c"], lambda c: word(F.get(s["l"], c["no"])) | word(F.get(s["l"], c["no"] + 1)))
+        return F.transform(worded, lambda c: F.struct(
+            c["no"].alias("no"), c["size"].alias("size"), F.xxhash64(_joined(s["l"], c)).alias("digest")))
+
+    return _with(_with(_lines(text), lambda l: F.struct(l.alias("l"), _cut(l).alias("c"))), named)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``clean_text``, ``n_lines``, ``n_chunks``, ``n_removed`` (chunks) and ``removed_lines``.
 
-    ``clean_text`` is the text without the multi-line chunks of which an earlier one has the same
-    bytes, in this document or another.  A null text stays null with no lines; an empty text is one
-    empty line; a text of one line is never touched; rows equal in id and text are one document and
-    get the same result; a null id comes after all others; an empty table gives an empty result;
-    columns of the input called like a result are replaced.
+    ``clean_text`` is the text without the lines of the multi-line chunks of which an earlier one has
+    the same bytes, in this document or another.  A null text stays null with no lines; an empty text is
+    one empty line; a text of one line has no chunk and is never touched; rows equal in id and text are
+    one document and get the same result; a null id comes after all others; an empty table gives an
+    empty result; columns of the input called like a result are replaced.
     """
     made = ["clean_text", "n_lines", "n_chunks", "n_removed", "removed_lines"]
     text = F.col(text_col).cast("string")
     docs = docs.withColumn("__id", F.col(id_col)).withColumn("__h", F.xxhash64(text))
-    docs = docs.withColumn("__chunks", chunks_of(text, window, divisor))
     whole = [c for c in made if c in (id_col, text_col)]
     if whole:
         raise ValueError(f"{whole} are names of results")
     docs = without(docs, made)
-    cut = docs.select("__id", "__h", F.posexplode("__chunks").alias("no", "chunk")).where(_counts(F.col("chunk")))
-    places = materialize(cut.select("__id", "__h", "no", F.xxhash64("chunk").alias("digest")).distinct(), "chunks")
-    first = F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__h", "no")).alias("f")
+    places = materialize(docs.select("__id", "__h", F.inline(chunks_of(text))).distinct(), "chunks")
+    first = F.min(F.struct(F.col("__id").isNull().alias("z"), "__id", "__h", "no", "size")).alias("f")
     groups = materialize(places.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1"), "groups")
 
     # The bytes of the first chunk of each group, from the document that holds it.
     heads = groups.groupBy(F.col("f.__id").alias("i"), F.col("f.__h").alias("h")).agg(
-        F.collect_list(F.struct("digest", F.col("f.no").alias("no"))).alias("wanted"))
-    texts = docs.select("__id", "__h", "__chunks").join(heads, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h")))
-    texts = texts.select("__chunks", F.inline("wanted")).select("digest", F.get("__chunks", F.col("no")).alias("chunk")).dropDuplicates(["digest"])
+        F.collect_list(F.struct("digest", F.col("f.no").alias("no"), F.col("f.size").alias("size"))).alias("wanted"))
+    texts = docs.select("__id", "__h", text.alias("__text")).join(heads, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h")))
+    texts = texts.select(F.inline(_with(F.struct(_lines(F.col("__text")).alias("l"), F.col("wanted").alias("w")), lambda s: F.transform(
+        s["w"], lambda w: F.struct(w["digest"].alias("digest"), _joined(s["l"], w).alias("chunk")))))).dropDuplicates(["digest"])
     others = places.join(groups.drop("n"), "digest").where(
-        ~(F.col("__id").eqNullSafe(F.col("f.__id")) & (F.col("__h") == F.col("f.__h")) & (F.col("no") == F.col("f.no"))))
+        ~(F.col("__id").eqNullSafe(F.col("f.__id")) & (F.col("__h") == F.col("f.__h")) & (F.col("no") == F.col("f.no")) & (F.col("size") == F.col("f.size"))))
     marks = others.drop("f").join(materialize(texts, "firsts"), "digest").groupBy(F.col("__id").alias("i"), F.col("__h").alias("h")).agg(
-        F.collect_list(F.struct("no", "chunk")).alias("marks"))
+        F.collect_list(F.struct("no", "size", "chunk")).alias("marks"))
+
+    def cleaned(s: Column) -> Column:
+        same = F.filter(F.coalesce(s["m"], F.array().cast("array<struct<no:int,size:int,chunk:string>>")), lambda m: _joined(s["l"], m) == m["chunk"])
+        gone = _with(same, lambda d: F.struct(F.size(d).alias("n"), F.array_distinct(F.flatten(F.transform(
+            d, lambda m: F.sequence(m["no"], m["no"] + m["size"] - 1)))).alias("g")))
+        return _with(gone, lambda d: F.struct(
+            F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["l"]) - 1), d["g"]), lambda i: F.get(s["l"], i)), "\n").alias("text"),
+            F.size(s["l"]).alias("lines"), F.size(_cut(s["l"])).alias("chunks"), d["n"].alias("n"), F.size(d["g"]).alias("gone")))
 
     rows = docs.join(marks, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h")), "left")
-    same = F.filter("marks", lambda m: F.get(F.col("__chunks"), m["no"]) == m["chunk"])
-    rows = rows.withColumn("__gone", F.coalesce(F.transform(same, lambda m: m["no"]), F.array().cast("array<int>")))
-    lines = F.aggregate("__gone", F.lit(0).cast("long"), lambda n, i: n + F.size(F.split(F.get(F.col("__chunks"), i), "\n", -1)))
-    return rows.withColumns({
-        "clean_text": F.array_join(F.filter("__chunks", lambda c, i: ~F.array_contains(F.col("__gone"), i)), "\n"),
-        "n_lines": F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long"),
-        "n_chunks": F.coalesce(F.size("__chunks"), F.lit(0)).cast("long"),
-        "n_removed": F.size("__gone").cast("long"),
-        "removed_lines": lines,
-    }).drop("__id", "__h", "__chunks", "__gone", "i", "h", "marks")
+    rows = rows.withColumn("__r", F.when(text.isNotNull(), _with(F.struct(_lines(text).alias("l"), F.col("marks").alias("m")), cleaned)))
+    counts = {"n_lines": "lines", "n_chunks": "chunks", "n_removed": "n", "removed_lines": "gone"}
+    return rows.withColumns({"clean_text": F.col("__r.text")} | {
+        name: F.coalesce(F.col(f"__r.{part}"), F.lit(0)).cast("long") for name, part in counts.items()
+    }).drop("__id", "__h", "__r", "i", "h", "marks")
