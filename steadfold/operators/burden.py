@@ -36,6 +36,19 @@ def burden_rollup(burden_table: DataFrame, area_levels: Sequence[str], period: s
     return burden_table.groupingSets(sets, *levels, *keys).agg(F.sum("cases").alias("cases"), gid.alias("level"))
 
 
+def partial_last(records: DataFrame, date: str) -> DataFrame:
+    """One row with ``partial_period``: the last year, if the records stop before its end, else NULL.
+
+    They stop before it when the days from the last one to the next year are more than the widest
+    step between two days with records.  Days are distinct first, so the window holds a calendar.
+    """
+    days = records.select(F.to_date(date).alias("d")).where(F.col("d").isNotNull()).distinct()
+    step = F.datediff("d", F.lag("d").over(Window.orderBy("d")))
+    ends = days.withColumn("step", step).agg(F.max("d").alias("last"), F.coalesce(F.max("step"), F.lit(1)).alias("widest"))
+    left = F.datediff(F.make_date(F.year("last") + 1, F.lit(1), F.lit(1)), F.col("last"))
+    return ends.select(F.when(left > F.col("widest"), F.year("last")).alias("partial_period"))
+
+
 def forecast(series: DataFrame, keys: Sequence[str], period: str, value: str, horizon: int = 1,
              min_periods: int = 3) -> DataFrame:
     """Next periods per area by last value and by linear trend.
@@ -60,10 +73,10 @@ def forecast(series: DataFrame, keys: Sequence[str], period: str, value: str, ho
     )
 
 
-def rising(series: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:
-    """Change to the previous period and the rank of the areas within each period."""
+def rising(series: DataFrame, keys: Sequence[str], period: str, value: str, within: Sequence[str] = ()) -> DataFrame:
+    """Change to the previous period and the rank of the areas within each period (and ``within``)."""
     change = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(period))
-    by_period = Window.partitionBy(period).orderBy(F.col("change").desc_nulls_last())
+    by_period = Window.partitionBy(period, *within).orderBy(F.col("change").desc_nulls_last())
     return series.withColumn("change", change).where(F.col("change").isNotNull()).withColumn(
         "rank", F.rank().over(by_period))
 

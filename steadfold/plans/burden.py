@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import burden as m
 from ..operators.ingest import with_context
-from ..session import literal_table
+from ..session import join_bounded, literal_table
 from .ingest import SQL_CONTEXT, context
 from .registry import query
 from .views import SQL_AREA, area_records, r
@@ -21,9 +21,19 @@ def table(t):
     return m.burden(area_records(t), AREAS, "period", "status", "n")
 
 
+KEYS = [*AREAS, "status", "partial_period"]
+
+
 def series(t):
-    """Complete years only: the last year of the table is partial."""
-    return table(t).where("status = 'F' AND period < 2001")
+    """Every status and period; ``partial`` marks a last period that the records do not fill."""
+    last = m.partial_last(t("orders"), "o_orderdate").withColumn("__one", F.lit(1))
+    return join_bounded(table(t).withColumn("__one", F.lit(1)), last, ["__one"], rows=1).drop("__one").withColumn(
+        "partial", F.coalesce(F.col("period") == F.col("partial_period"), F.lit(False)))
+
+
+def complete(t):
+    """What forecasts are fitted to; ``partial_period`` names what is left out, if anything."""
+    return series(t).where(~F.col("partial"))
 
 
 SQL_SERIES = SQL_BURDEN + ", series AS (SELECT * FROM burden WHERE status = 'F' AND period < 2001)"
@@ -54,7 +64,7 @@ fc AS (SELECT moh, phm, n_periods, CAST(last_period + h AS INTEGER) AS period, l
 WITH {SQL_SERIES}, {SQL_FORECAST.format(src="series", h="1, 2")}
 SELECT moh, phm, n_periods, period, last_value, round(trend_value, 4) AS trend_value FROM fc""")
 def fc3(t):
-    return m.forecast(series(t), AREAS, "period", "cases", horizon=2).withColumn("trend_value", r("trend_value", 4))
+    return m.forecast(complete(t), KEYS, "period", "cases", horizon=2).withColumn("trend_value", r("trend_value", 4))
 
 
 @query("fc4_rising_areas", f"""
@@ -62,7 +72,8 @@ WITH {SQL_SERIES}, d AS (SELECT *, cases - lag(cases) OVER (PARTITION BY moh, ph
 SELECT moh, phm, period, cases, CAST(change AS BIGINT) AS change, CAST(rank() OVER (PARTITION BY period ORDER BY change DESC) AS INTEGER) AS rank
 FROM d WHERE change IS NOT NULL""")
 def fc4(t):
-    return m.rising(series(t), AREAS, "period", "cases").select("moh", "phm", "period", "cases", "change", "rank")
+    return m.rising(series(t), [*AREAS, "status"], "period", "cases", ["status"]).select(
+        "moh", "phm", "status", "period", "cases", "change", "rank", "partial")
 
 
 RATES = [("supplement packs", "F", 3.5), ("clinic hours", "F", 0.25), ("clinic hours", "O", 0.1)]
@@ -74,9 +85,9 @@ rates(resource, category, per_case) AS (VALUES {", ".join(f"('{a}', '{b}', {c}e0
 SELECT moh, phm, period, resource, round(trend_value * per_case, 4) AS demand FROM fc JOIN rates ON category = 'F'""")
 def fc5(t):
     rates = literal_table(t.spark, RATES, "resource string, category string, per_case double")
-    ahead = m.forecast(series(t), AREAS, "period", "cases").withColumn("category", F.lit("F"))
-    return m.resource_demand(ahead, rates, "category", "trend_value", n_rates=len(RATES)).select(
-        "moh", "phm", "period", "resource", r("demand", 4))
+    ahead = m.forecast(complete(t), KEYS, "period", "cases")
+    return m.resource_demand(ahead, rates, "status", "trend_value", n_rates=len(RATES)).select(
+        *KEYS, "period", "resource", r("demand", 4))
 
 
 @query("fc6_context_lag", f"""
@@ -84,7 +95,7 @@ WITH {SQL_SERIES}, {SQL_CONTEXT}
 SELECT s.moh, s.phm, s.period, s.cases, c.cpi AS cpi_lag1, c.food_price AS food_price_lag1
 FROM series s LEFT JOIN context c ON c.period = s.period - 1""")
 def fc6(t):
-    return with_context(series(t).select("moh", "phm", "period", "cases"), context(t), ["period"], lag_years=1,
+    return with_context(series(t).select("moh", "phm", "status", "period", "cases", "partial"), context(t), ["period"], lag_years=1,
                         year="period", n_context=100)
 
 
@@ -96,5 +107,5 @@ SELECT a.moh, a.phm, a.period, a.actual, n_periods, last_value, round(trend_valu
   abs(last_value - actual) AS last_value_error, round(abs(trend_value - actual), 4) AS trend_error
 FROM act a LEFT JOIN fc f ON f.moh = a.moh AND f.phm = a.phm AND f.period = a.period""")
 def fc7(t):
-    return m.holdout_error(series(t), AREAS, "period", "cases").select(
-        "moh", "phm", "period", "actual", "n_periods", "last_value", r("trend_value", 4), "last_value_error", r("trend_error", 4))
+    return m.holdout_error(complete(t), KEYS, "period", "cases").select(
+        *KEYS, "period", "actual", "n_periods", "last_value", r("trend_value", 4), "last_value_error", r("trend_error", 4))
