@@ -150,7 +150,7 @@ WITH {SQL_PATHS}
 SELECT {_KEY}, n, goal, c.share >= {MIN_SHARE}e0 AS dense, round(d.cost, 6) AS path_cost
 FROM cells c LEFT JOIN d{MAX_STEPS} d USING ({_KEY})""")
 def cf3(t):
-    paths = m.feasible_paths(path_cells(t), MOVES, COST, MAX_STEPS)
+    paths = m.feasible_paths(path_cells(t), MOVES, COST)
     return paths.select(*[f"c_{f}" for f in STEPS], "n", "goal", "dense", r("path_cost"))
 
 
@@ -158,7 +158,7 @@ def cf3(t):
 WITH {SQL_PATHS}
 SELECT round(d.cost, 6) AS path_cost, COUNT(*) AS n_records FROM placed LEFT JOIN d{MAX_STEPS} d USING ({_KEY}) GROUP BY ALL""")
 def cf3_records(t):
-    paths = m.feasible_paths(path_cells(t), MOVES, COST, MAX_STEPS)
+    paths = m.feasible_paths(path_cells(t), MOVES, COST)
     return m.record_paths(cohorts(t), STEPS, paths).groupBy(r("path_cost")).agg(F.count("*").alias("n_records"))
 
 
