@@ -28,6 +28,11 @@ def stressed(t):
     })
 
 
+def years(t):
+    """The years in the table and the reference year; a row without a date is in none."""
+    return sorted({REF_YEAR, *m.window_values(cohorts(t).where(F.col(Y).isNotNull()), Y)})
+
+
 def reference(df, by=()):
     """Long form of the reference year only; the filter comes first and reaches the scan."""
     return m.to_long(df, FEATURES, Y, by, windows=[REF_YEAR])
@@ -120,15 +125,17 @@ def drifted(t):
 
 @query("mon2_ks", SQL_CDF_DRIFT + " SELECT w AS year, feature, n_ref, n_cur, round(ks, 6) AS ks FROM dist")
 def mon2(t):
-    long = m.to_long(drifted(t), FEATURES, Y, windows=YEARS)
-    return m.ks(long, YEARS, REF_YEAR, window=Y, group_bound=len(FEATURES)).select(
+    found = years(t)
+    long = m.to_long(drifted(t), FEATURES, Y, windows=found)
+    return m.ks(long, found, REF_YEAR, window=Y, group_bound=len(FEATURES)).select(
         F.col(Y).alias("year"), "feature", "n_ref", "n_cur", r("ks"))
 
 
 @query("mon3_wasserstein", SQL_CDF_DRIFT + " SELECT w AS year, feature, n_ref, n_cur, round(w1, 5) AS w1 FROM dist")
 def mon3(t):
-    long = m.to_long(drifted(t), FEATURES, Y, windows=YEARS)
-    return m.wasserstein1(long, YEARS, REF_YEAR, window=Y, group_bound=len(FEATURES)).select(
+    found = years(t)
+    long = m.to_long(drifted(t), FEATURES, Y, windows=found)
+    return m.wasserstein1(long, found, REF_YEAR, window=Y, group_bound=len(FEATURES)).select(
         F.col(Y).alias("year"), "feature", "n_ref", "n_cur", r("w1", 5))
 
 
@@ -182,7 +189,7 @@ SELECT snapshot_year AS year, 'score' AS signal, round(psi, 6) AS psi FROM psi_a
 UNION ALL SELECT snapshot_year, 'predicted_class', round(psi, 6) FROM ls""")
 def mon6(t):
     preds = scored(t).withColumn("score", F.col("probs")["A"])
-    return m.prediction_shift(preds, YEARS, REF_YEAR, window=Y).select(F.col(Y).alias("year"), "signal", r("psi"))
+    return m.prediction_shift(preds, years(t), REF_YEAR, window=Y).select(F.col(Y).alias("year"), "signal", r("psi"))
 
 
 @query("mon7_psi_categorical", f"""
@@ -200,7 +207,7 @@ def mon7(t):
     rec = cohorts(t).withColumn(
         "l_returnflag", F.when(~((F.col(Y) >= 2000) & (F.col("l_returnflag") == "A")), F.col("l_returnflag")))
     long = m.to_long_categorical(rec, ["l_returnflag", "l_linestatus"], Y)
-    return m.psi_categorical(long, YEARS, REF_YEAR, Y).select(F.col(Y).alias("year"), "feature", "n_categories", r("psi"))
+    return m.psi_categorical(long, years(t), REF_YEAR, Y).select(F.col(Y).alias("year"), "feature", "n_categories", r("psi"))
 
 
 @query("mon8_data_quality", f"""
@@ -243,7 +250,7 @@ SELECT snapshot_year AS year, n_labels, round(max_share_change, 6) AS max_share_
 def mon10(t):
     gone = (F.col(Y) == 1999) & (F.col("l_returnflag") == "R") & (hash_mille("s1", "drop", F.col("record_id")) < 700)
     rec = cohorts(t).where(~gone).withColumnRenamed("l_returnflag", "label")
-    return m.label_shift(rec, YEARS, REF_YEAR, window=Y).select(
+    return m.label_shift(rec, years(t), REF_YEAR, window=Y).select(
         F.col(Y).alias("year"), "n_labels", r("max_share_change"), r("psi"))
 
 
@@ -252,7 +259,7 @@ WITH {SQL_COHORTS}, cs AS ({sql_class_shares("cohorts", "l_returnflag")})
 SELECT q.snapshot_year AS year, q.class, q.c AS n, round(q.share, 6) AS share, round(q.share - p.share, 6) AS share_change
 FROM cs q JOIN cs p ON p.class = q.class AND p.snapshot_year = {REF_YEAR} WHERE q.snapshot_year <> {REF_YEAR}""")
 def mon10_shares(t):
-    return m.class_share(cohorts(t), "l_returnflag", YEARS, REF_YEAR, Y).select(
+    return m.class_share(cohorts(t), "l_returnflag", years(t), REF_YEAR, Y).select(
         F.col(Y).alias("year"), "class", "n", r("share"), r("share_change"))
 
 
@@ -290,7 +297,7 @@ def mon12(t):
     long = m.to_long(cohorts(t), FEATURES, Y)
     edges = m.fit_edges(reference(cohorts(t)), group_bound=len(FEATURES))
     inputs = m.psi(long, edges, REF_YEAR, Y, group_bound=len(FEATURES)).groupBy(Y).agg(F.max("psi").alias("max_psi"))
-    labels = m.label_shift(cohorts(t), YEARS, REF_YEAR, "l_returnflag", Y).select(Y, F.col("psi").alias("label_psi"))
+    labels = m.label_shift(cohorts(t), years(t), REF_YEAR, "l_returnflag", Y).select(Y, F.col("psi").alias("label_psi"))
     one = scored(t).select(Y, F.col("probs")["A"].alias("score"), (F.col("label") == "A").cast("int").alias("y"))
     evidence = inputs.join(labels, Y).join(m.concept_evidence(one, REF_YEAR, window=Y), Y)
     return m.classify_shift(evidence, 0.004, 0.0005, 0.02, 100).select(
