@@ -5,6 +5,12 @@ The standard library's tokenizer feeds a tree builder that closes and opens what
 are left out.  The rest is laid out as text: blocks on lines of their own with blank lines around
 paragraphs and headings, list markers with indents, preformatted text as it is, and table cells in
 aligned columns.  All visible text comes out; nothing is judged to be boilerplate.
+
+Of a ``select`` every option comes out on a line of its own, under the label of its group, for a reader
+can open the list; a ``textarea`` gives the text it starts with, as it is; ``math`` and ``svg`` give the text
+of their elements (also of ``defs``, which a ``use`` may show), but not annotations, titles, descriptions,
+metadata, styles and scripts.  ``noscript`` is hidden:
+pages are taken as a browser with scripts shows them.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -20,9 +27,15 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas svg math select textarea".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe object audio video canvas".split())
+# Elements of svg and math have names with the vocabulary before them, as they mean other things there.
+HIDDEN |= frozenset("svg:title svg:desc svg:metadata svg:style svg:script math:annotation math:annotation-xml".split())
+FOREIGN = ("svg", "math")
+HTML_IN = frozenset("svg:foreignobject svg:desc svg:title math:mi math:mo math:mn math:ms math:mtext math:annotation-xml".split())
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+                   "ruby s small span strong strike sub sup table tt u ul var".split())  # these end svg and math
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-                   "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
+                   "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul svg:text svg:foreignobject math:mtr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 ENDS_P = BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "legend", "optgroup", "option"}
 # An opening tag closes these open elements, looking no further up than the listed borders.
@@ -30,10 +43,12 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
+    "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "optgroup": ({"optgroup", "option"}, {"select"}),
 }
 SPACE = re.compile(r"[ \t\n\r\f]+")
 CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+RAW = "textarea" not in getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ())  # later tokenizers know it
 DEEPEST = 400  # deeper elements are siblings in the deepest one, as in browsers; their text stays
 
 
@@ -63,7 +78,18 @@ class Tree(HTMLParser):
         if found is not None:
             del self.open[found:]
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def _foreign(self) -> str | None:
+        """svg or math, if the place in work is in one of them."""
+        here = self.open[-1].tag
+        return here.split(":")[0] if here not in HTML_IN and here.split(":")[0] in FOREIGN else None
+
+    def handle_starttag(self, tag: str, attrs: list, ended: bool = False) -> None:
+        if self._foreign():
+            if tag not in LEAVES:
+                self._push(Node(f"{self._foreign()}:{tag}", {k: v or "" for k, v in attrs}), not ended)
+                return
+            while self._foreign():
+                self.open.pop()
         if tag in ("html", "body"):
             self.root.attrs.update({k: v or "" for k, v in attrs})
             self._close({"head"}, set())
@@ -76,7 +102,9 @@ class Tree(HTMLParser):
             self._close(*CLOSES[tag])
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._push(Node("tr", {}))
-        self._push(Node(tag, {k: v or "" for k, v in attrs}), tag not in VOID)
+        self._push(Node(tag, {k: v or "" for k, v in attrs}), tag not in VOID and not (ended and tag in FOREIGN))
+        if tag == "textarea" and RAW:
+            self.set_cdata_mode(tag)  # tags in it are text
 
     def _push(self, node: Node, stays: bool = True) -> None:
         self.open[-1].children.append(node)
@@ -84,12 +112,12 @@ class Tree(HTMLParser):
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+        self.handle_starttag(tag, attrs, True)  # the slash means nothing in HTML, but ends elements of svg and math
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             here = self.open[i].tag
-            if here == tag:
+            if here in (tag, f"svg:{tag}", f"math:{tag}"):
                 del self.open[i:]
                 return
             if here in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
@@ -100,7 +128,14 @@ class Tree(HTMLParser):
             self._push(Node("br", {}), False)
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        self.open[-1].children.append(unescape(data) if RAW and self.open[-1].tag == "textarea" else data)
+
+    def close(self) -> None:
+        if RAW and self.cdata_elem == "textarea":  # it never ends
+            rest, self.rawdata = self.rawdata, ""
+            self.clear_cdata_mode()
+            self.handle_data(rest)
+        super().close()
 
 
 def concealed(node: Node) -> bool:
@@ -238,10 +273,19 @@ def render(node: Node | str, page: Page, kept: bool, number: int | None = None)
         if node.attrs.get("type", "text").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
             page.text(node.attrs["value"], False)
         return
+    if tag == "textarea":
+        page.end()
+        emit(page, "".join(c for c in node.children if isinstance(c, str)).replace("\r\n", "\n").removeprefix("\n").rstrip("\n").split("\n"))
+        return
     if tag in BLOCKS:
         page.end()
     if tag in SPACED:
         page.gap = True
+    if tag in ("option", "optgroup") and node.attrs.get("label"):
+        page.text(node.attrs["label"], False)
+        page.end()
+        if tag == "option":
+            return
     if tag == "table":
         captions, rows, loose = rows_of(node)
         for child in [*loose, *captions]:
@@ -268,6 +312,8 @@ def render(node: Node | str, page: Page, kept: bool, number: int | None = None)
                 continue
             else:
                 render(child, page, kept or tag in ("pre", "listing"))
+    if tag == "math:mtd":
+        page.text(" ", False)
     if tag in BLOCKS:
         page.end(kept=tag in ("pre", "listing") and bool("".join(page.now)))
     if tag in SPACED:
