@@ -3,6 +3,8 @@
 Every language's raw-content zstandard dictionary is a bounded sample of its labelled texts.  A text
 is lower-cased and cut into chunks, each chunk is compressed on its own with each dictionary, and the
 sizes are summed: the whole text counts, and a long text does not drown the dictionary in its own past.
+Sizes are whole bytes and tiny texts are stored as they are, so dictionaries often tie on a short text.
+Then it is compressed behind pieces of each dictionary, at two levels, and what it adds is summed.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 MOST_LANGUAGES = 1000
+# For ties: the second level, and number and bytes of the pieces that a text is put behind.
+FINE_LEVEL, CONTEXTS, CONTEXT_BYTES = 19, 16, 64
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts_per_language: int = 300, chars_per_text: int = 1024) -> list[tuple[str, bytes]]:
@@ -50,28 +54,51 @@ class Model:
     def __init__(self, learned: list[tuple[str, bytes]], level: int, chunk_bytes: int):
         self.langs = [lang for lang, _ in learned]
         self.chunk = chunk_bytes
-        self.compressors = []
-        for _, content in learned:
-            if len(content) >= 8:
-                words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                words.precompute_compress(level=level)
-            else:
-                words = None  # zstandard takes no dictionary of under 8 bytes
-            self.compressors.append(zstandard.ZstdCompressor(
-                level=level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.level = level
+        self.contents = [content for _, content in learned]
+        self.compressors = [self._compressor(content, level) for content in self.contents]
+        self.fine: list | None = None
+
+    @staticmethod
+    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        words = None  # zstandard takes no dictionary of under 8 bytes
+        if len(content) >= 8:
+            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, text: str) -> list[int]:
         raw = text.lower().encode()
         parts = [raw[i : i + self.chunk] for i in range(0, len(raw), self.chunk)]
         return [sum(len(c.compress(p)) for p in parts) for c in self.compressors]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score: the share of the second smallest size that the smallest one saves."""
+    def finer(self, text: str) -> list[int]:
+        """What the text adds behind pieces of each dictionary, over all pieces and both levels."""
+        if self.fine is None:  # built at the first tie
+            self.fine = []
+            for content, usual in zip(self.contents, self.compressors):
+                step = max(1, len(content) // CONTEXTS)
+                before = [content[i : i + CONTEXT_BYTES] + b"\n" for i in [step * k for k in range(CONTEXTS)]]
+                both = (usual, self._compressor(content, FINE_LEVEL))
+                self.fine.append((both, before, sum(len(c.compress(b)) for c in both for b in before)))
+        raw = text.lower().encode() + b"\n"
+        parts = [raw[i : i + self.chunk] for i in range(0, len(raw), self.chunk)]
+        return [sum(len(c.compress(b + p)) for p in parts for c in both for b in before) - alone * len(parts)
+                for both, before, alone in self.fine]
+
+    def predict(self, text: str | None, least_score: float = 0.0) -> tuple[str, float]:
+        """Language and score: the share of the second smallest size that the smallest one saves.
+
+        If that is below ``least_score``, the finer sizes decide in place of the sizes.
+        """
         if text is None or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         if len(self.langs) == 1:
             return self.langs[0], 1.0
         sizes = np.array(self.sizes(text), float)
+        first, second = np.sort(sizes)[:2]
+        if second - first < least_score * second:
+            sizes = np.maximum(np.array(self.finer(text), float), 1)
         order = np.argsort(sizes, kind="stable")  # a tie goes to the language with more labelled texts
         best, second = sizes[order[:2]]
         return self.langs[order[0]], float((second - best) / second)
@@ -83,7 +110,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str =
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text is null, has no letter,
     or nothing was learned.  A row is rejected if it is ``und`` or its score is below
-    ``least_score``: no dictionary was better than another.  Columns of the input called like a
+    ``least_score`` by the finer sizes too: no dictionary was better than another.  Columns of the input called like a
     result are replaced; an empty table gives an empty result.
     """
     made = ["lang_pred", "score", "rejected"]
@@ -95,7 +122,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(sent.value, level, chunk_bytes)
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [model.predict(t.as_py(), least_score) for t in batch.column(batch.num_columns - 1)]
             langs, scores = [x for x, _ in found], [s for _, s in found]
             rejected = [x == UNKNOWN or s < least_score for x, s in found]
             yield pa.RecordBatch.from_arrays(
