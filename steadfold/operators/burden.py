@@ -39,14 +39,21 @@ def burden_rollup(burden_table: DataFrame, area_levels: Sequence[str], period: s
 def partial_last(records: DataFrame, date: str) -> DataFrame:
     """One row with ``partial_period``: the last year, if the records stop before its end, else NULL.
 
-    They stop before it when the days from the last one to the next year are more than the widest
-    step between two days with records.  Days are distinct first, so the window holds a calendar.
+    They stop before it when the days from the last record to the next year are more than at the end
+    of any earlier year, and more than the widest step between two days inside the last year (one
+    day at least), so that neither sparse records nor an old gap decide.  The answer is one for the
+    whole table: where a delivery ends is no property of an area.  Days are distinct first, so the
+    windows hold a calendar.  Without any date the result is NULL.
     """
-    days = records.select(F.to_date(date).alias("d")).where(F.col("d").isNotNull()).distinct()
-    step = F.datediff("d", F.lag("d").over(Window.orderBy("d")))
-    ends = days.withColumn("step", step).agg(F.max("d").alias("last"), F.coalesce(F.max("step"), F.lit(1)).alias("widest"))
-    left = F.datediff(F.make_date(F.year("last") + 1, F.lit(1), F.lit(1)), F.col("last"))
-    return ends.select(F.when(left > F.col("widest"), F.year("last")).alias("partial_period"))
+    days = records.select(F.to_date(date).alias("d")).where(F.col("d").isNotNull()).distinct().withColumn("y", F.year("d"))
+    days = days.withColumn("step", F.datediff("d", F.lag("d").over(Window.partitionBy("y").orderBy("d"))))
+    tails = days.groupBy("y").agg(
+        F.datediff(F.make_date(F.col("y") + 1, F.lit(1), F.lit(1)), F.max("d")).alias("tail"), F.max("step").alias("step"))
+    last = F.max(F.struct("y", "tail", "step"))
+    ends = tails.agg(last.alias("last"), F.sort_array(F.collect_list(F.struct("y", "tail"))).alias("all"))
+    earlier = F.array_max(F.transform(F.slice("all", 1, F.greatest(F.size("all") - 1, F.lit(0))), lambda t: t["tail"]))
+    widest = F.greatest(F.lit(1), earlier, F.col("last.step"))
+    return ends.select(F.when(F.col("last.tail") > widest, F.col("last.y")).alias("partial_period"))
 
 
 def forecast(series: DataFrame, keys: Sequence[str], period: str, value: str, horizon: int = 1,

@@ -43,9 +43,9 @@ def window_values(df: DataFrame, window: str, most: int = 1000) -> list:
     """The windows present, for operators that need their list.
 
     Windows are years, scenarios or model versions; a column with more than ``most`` values
-    is not a window column, and that is an error rather than a longer list.
+    is not a window column, and that is an error rather than a longer list.  NULL is no window.
     """
-    found = [r[0] for r in df.select(window).distinct().limit(most + 1).collect()]
+    found = [r[0] for r in df.where(F.col(window).isNotNull()).select(window).distinct().limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"{window} has more than {most} values")
     return sorted(found)

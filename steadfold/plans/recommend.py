@@ -114,7 +114,7 @@ def cf5(t):
 STEPS = {"l_quantity": 5.0, "l_discount": 0.02, "l_tax": 0.02}
 MOVES = {"l_quantity": [-1], "l_discount": [-1, 1], "l_tax": [-1]}
 COST = {"l_quantity": 1.0, "l_discount": 0.5, "l_tax": 0.75}
-PATH_THRESHOLD, MIN_SHARE, MAX_STEPS = 0.9, 0.001, 6
+PATH_THRESHOLD, MIN_SHARE = 0.9, 0.001
 
 
 def path_cells(t):
@@ -132,23 +132,25 @@ def _sql_steps() -> str:
 
 
 _KEY = "c_l_quantity, c_l_discount, c_l_tax"
-SQL_PATHS = f"""placed AS (SELECT CAST(floor(l_quantity / 5e0) AS INTEGER) AS c_l_quantity, CAST(floor(l_discount / 0.02e0) AS INTEGER) AS c_l_discount,
+#: Cheapest cost with exactly k steps, for every k up to the number of cells.
+SQL_PATHS = f"""RECURSIVE placed AS (SELECT CAST(floor(l_quantity / 5e0) AS INTEGER) AS c_l_quantity, CAST(floor(l_discount / 0.02e0) AS INTEGER) AS c_l_discount,
   CAST(floor(l_tax / 0.02e0) AS INTEGER) AS c_l_tax FROM lineitem),
 cnt AS (SELECT {_KEY}, COUNT(*) AS n FROM placed GROUP BY ALL),
 cells AS (SELECT *, n / CAST(SUM(n) OVER () AS DOUBLE) AS share, (c_l_quantity + 0.5e0) * 5e0 / 50 + (c_l_tax + 0.5e0) * 0.02e0 * 5
    + abs((c_l_discount + 0.5e0) * 0.02e0 - 0.05e0) * 8 < {PATH_THRESHOLD}e0 AS goal FROM cnt),
 edges AS (SELECT s.*, unit * -ln(t.share) AS w FROM ({_sql_steps()}) s
   JOIN cells t ON t.c_l_quantity = n_l_quantity AND t.c_l_discount = n_l_discount AND t.c_l_tax = n_l_tax AND t.share >= {MIN_SHARE}e0),
-d0 AS (SELECT {_KEY}, 0e0 AS cost FROM cells WHERE goal AND share >= {MIN_SHARE}e0)""" + "".join(f""",
-d{i + 1} AS (SELECT {_KEY}, MIN(cost) AS cost FROM (SELECT * FROM d{i} UNION ALL
-  SELECT e.c_l_quantity, e.c_l_discount, e.c_l_tax, d.cost + e.w FROM edges e JOIN d{i} d
-  ON d.c_l_quantity = n_l_quantity AND d.c_l_discount = n_l_discount AND d.c_l_tax = n_l_tax) GROUP BY ALL)""" for i in range(MAX_STEPS))
+walk AS (SELECT {_KEY}, 0e0 AS cost, 0 AS steps FROM cells WHERE goal AND share >= {MIN_SHARE}e0
+  UNION ALL SELECT e.c_l_quantity, e.c_l_discount, e.c_l_tax, MIN(d.cost + e.w), steps + 1 FROM edges e JOIN walk d
+  ON d.c_l_quantity = n_l_quantity AND d.c_l_discount = n_l_discount AND d.c_l_tax = n_l_tax
+  WHERE steps < (SELECT COUNT(*) FROM cells) GROUP BY e.c_l_quantity, e.c_l_discount, e.c_l_tax, steps),
+best AS (SELECT {_KEY}, MIN(cost) AS cost FROM walk GROUP BY ALL)"""
 
 
 @query("cf3_feasible_paths", f"""
 WITH {SQL_PATHS}
 SELECT {_KEY}, n, goal, c.share >= {MIN_SHARE}e0 AS dense, round(d.cost, 6) AS path_cost
-FROM cells c LEFT JOIN d{MAX_STEPS} d USING ({_KEY})""")
+FROM cells c LEFT JOIN best d USING ({_KEY})""")
 def cf3(t):
     paths = m.feasible_paths(path_cells(t), MOVES, COST)
     return paths.select(*[f"c_{f}" for f in STEPS], "n", "goal", "dense", r("path_cost"))
@@ -156,7 +158,7 @@ def cf3(t):
 
 @query("cf3_record_paths", f"""
 WITH {SQL_PATHS}
-SELECT round(d.cost, 6) AS path_cost, COUNT(*) AS n_records FROM placed LEFT JOIN d{MAX_STEPS} d USING ({_KEY}) GROUP BY ALL""")
+SELECT round(d.cost, 6) AS path_cost, COUNT(*) AS n_records FROM placed LEFT JOIN best d USING ({_KEY}) GROUP BY ALL""")
 def cf3_records(t):
     paths = m.feasible_paths(path_cells(t), MOVES, COST)
     return m.record_paths(cohorts(t), STEPS, paths).groupBy(r("path_cost")).agg(F.count("*").alias("n_records"))

@@ -9,7 +9,7 @@ from ..operators import shift as m
 from ..session import literal_table
 from .registry import query
 from .views import (
-    CLASSES, FEATURES, PROBS, REF_YEAR, SQL_COHORTS, SQL_OVR, SQL_QUALITY, SQL_SCORED, YEARS, cohorts, quality, r,
+    CLASSES, FEATURES, PROBS, REF_YEAR, SQL_COHORTS, SQL_OVR, SQL_QUALITY, SQL_SCORED, cohorts, quality, r,
     scored, sql_hash, sql_long,
 )
 
@@ -97,9 +97,8 @@ def mon1_faults(t):
 
 
 def sql_cdf() -> str:
-    others = ", ".join(f"({y})" for y in YEARS if y != REF_YEAR)
     return f""",
-windows(w) AS (VALUES {others}),
+windows AS (SELECT DISTINCT snapshot_year AS w FROM long WHERE snapshot_year <> {REF_YEAR}),
 pairs AS (SELECT w, feature, value, SUM(CASE WHEN snapshot_year = {REF_YEAR} THEN 1 ELSE 0 END) AS a,
             SUM(CASE WHEN snapshot_year = w THEN 1 ELSE 0 END) AS b
           FROM long JOIN windows ON snapshot_year IN ({REF_YEAR}, w) WHERE value IS NOT NULL GROUP BY ALL),
