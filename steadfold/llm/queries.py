@@ -203,9 +203,17 @@ FROM o
 """
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    made = whiten(_table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long")).select(
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_line_dedup, op5_near_dedup, op6_near_vectors, op7_html_text, op8_language, op9_token_counts, op10_license_scan,
-                                    op11_fill_in_middle)}
+                                    op11_fill_in_middle, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
