@@ -203,6 +203,13 @@ FROM o
 """
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_texts(_table(spark, sf_dir, "documents"), held_out)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whiten
 
@@ -213,7 +220,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_line_dedup, op5_near_dedup, op6_near_vectors, op7_html_text, op8_language, op9_token_counts, op10_license_scan,
-                                    op11_fill_in_middle, op13_whitening)}
+                                    op11_fill_in_middle, op12_lm_score, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
