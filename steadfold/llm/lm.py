@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from .vocabulary import frequent, word_counts
 
 ENDINGS = 1024  # codes of words outside the vocabulary, by a hash of their last two bytes; only context
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 10  # hashed feature rows of the two factors
-CHUNK = 8192  # tokens of one gradient step
+CHUNK = 16384  # tokens of one gradient step
+SPAN = 1 << 16  # tokens scored at once
+TASK_TOKENS = 3_000_000  # a task of a round takes about so many, so changes sent are few beside the texts
 RATE = 0.08
 MIXES = np.array([[1, 0, 0], [1, 3, 0], [0, 1, 0], [0, 0, 1]], np.uint32)  # which words before make a feature
 WORD_FEATURES = (0, 2)
@@ -76,22 +79,17 @@ def untrained(head: Sequence[tuple[bytes, int]], total: int, distinct: int, clas
 # ------------------------------------------------------------------ texts as codes
 
 
-def codes_of(words: list[bytes], known: dict[bytes, int], size: int) -> np.ndarray:
-    """16-bit codes: places in the vocabulary, or ``size`` and up for the ending of another word."""
-    get = known.get
-    found = [get(w, -1) for w in words]
-    out = np.array(found, np.int32)
-    rare = np.flatnonzero(out < 0)
-    if len(rare):
-        out[rare] = [size + zlib.crc32(words[i][-2:]) % ENDINGS for i in rare]
-    return out.astype(np.uint16)
+def ending(word: bytes) -> int:
+    """A hash of the last two bytes."""
+    return zlib.crc32(word[-2:]) % ENDINGS
 
 
 def _encoded(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lookup = sent.value
-        known = {w: i for i, w in enumerate(words)}
-        logs = {w: math.log10(n + 1) for w, n in lookup.items()}
+        size, lookup = sent.value  # the words of the vocabulary come first
+        place = {w: i for i, w in enumerate(lookup)}.get
+        code = np.array([i if i < size else size + ending(w) for i, w in enumerate(lookup)], np.uint16)
+        logs = np.log10(np.array(list(lookup.values()), np.float64) + 1)
         for batch in batches:
             texts = batch.column(0).cast(pa.binary())
             begin = 0
@@ -101,18 +99,14 @@ def _encoded(sent):
                     raw = texts[at].as_py() or b""
                     tokens = raw.lower().split()  # bytes: A-Z only, and the six ASCII white spaces
                     tokens.append(b"")  # the end
-                    n_known, all_logs, rare_logs, rest, times = 0, 0.0, 0.0, [], []
-                    for word, k in Counter(tokens).items():
-                        log = logs.get(word)
-                        if log is None:
-                            rest.append(word)
-                            times.append(k)
-                            continue
-                        n_known += k
-                        all_logs += k * log
-                        if word not in known:
-                            rare_logs += k * log
-                    row = (codes_of(tokens, known, len(words)).tobytes(), len(tokens), n_known, all_logs, rare_logs, rest, times)
+                    found = np.fromiter(map(place, tokens, repeat(-1)), np.int32, len(tokens))
+                    met = found >= 0
+                    own, codes = found[met], np.empty(len(tokens), np.uint16)
+                    codes[met] = code[own]
+                    others = [tokens[i] for i in np.flatnonzero(~met)]
+                    codes[~met] = [size + ending(w) for w in others]
+                    rest = Counter(others)
+                    row = (codes.tobytes(), len(tokens), len(own), float(logs[own].sum()), float(logs[own[own >= size]].sum()), list(rest), list(rest.values()))
                     for column, value in zip(out.values(), row):
                         column.append(value)
                     room -= len(raw)
@@ -277,8 +271,8 @@ def _scores(sent):
             for lo, hi, stream, begins in _streams(batch, 1):
                 before = contexts(stream, begins, blank)
                 logs = np.zeros(len(stream))
-                for a in range(0, len(stream), CHUNK):
-                    learner.step(stream[a : a + CHUNK], before[:, a : a + CHUNK], False, logs[a : a + CHUNK])
+                for a in range(0, len(stream), SPAN):
+                    learner.step(stream[a : a + SPAN], before[:, a : a + SPAN], False, logs[a : a + SPAN])
                 logs /= math.log(10)
                 logs[stream >= size] -= model.rest
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.add.reduceat(logs, begins))], names=["row", "part"])
@@ -287,11 +281,13 @@ def _scores(sent):
 
 
 def trained(model: Model, texts: DataFrame, rounds: int) -> Model:
-    """``model`` after one round over each part of ``texts`` (``part`` from 0 to ``rounds - 1``, ``codes``)."""
+    """``model`` after one round over each part of ``texts`` (``part`` from 0 to ``rounds - 1``, ``codes``, ``n`` tokens)."""
     spark = texts.sparkSession
-    for part in range(rounds):
+    sizes = {r.part: r.tokens for r in texts.where(F.col("part") < rounds).groupBy("part").agg(F.sum("n").alias("tokens")).collect()}
+    for part in sorted(sizes):
         sent = spark.sparkContext.broadcast(model)
-        changes = texts.where(F.col("part") == part).select("codes").mapInArrow(_gradients(sent), "k long, n long, change binary")
+        own = texts.where(F.col("part") == part).select("codes").coalesce(-(-sizes[part] // TASK_TOKENS))
+        changes = own.mapInArrow(_gradients(sent), "k long, n long, change binary")
         rows = changes.repartition("k").mapInArrow(_mixed, "k long, change binary").collect()  # bounded by the model's size
         classes, words = model.class_weights.copy(), model.word_weights.copy()
         for row in rows:
@@ -340,7 +336,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         top = sorted([*top, (b"", ends)], key=lambda x: (-x[1], x[0]))
     model = untrained(top, total, distinct, classes)
 
-    sent = spark.sparkContext.broadcast((model.words, lookup))
+    ordered = dict.fromkeys(model.words) | lookup  # in the order of the codes
+    sent = spark.sparkContext.broadcast((len(model.words), ordered))
     part = F.when(F.col("held_out"), rounds).otherwise(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(rounds))).cast("int")
     plain = rows.select("text", F.monotonically_increasing_id().alias("row"), "id", "held_out", part.alias("part"))
     texts = materialize(plain.mapInArrow(
