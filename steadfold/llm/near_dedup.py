@@ -5,11 +5,15 @@
    sequence of donors picks (optimal densification), so short texts keep an unbiased sketch.
 3. ``rows`` consecutive bins make a bucket key.  A bucket proposes a star: its centre with every
    member, never all pairs.  Proposals are confirmed on the full sets.
-4. Buckets whose members ended in several components are worked on again: once with other centres,
-   then with every remaining pair of different components that may be a link.  Elements that no other
-   remaining set has cannot be shared, so they bound the intersection: a set with too many of its own
-   (a near copy just beyond the similarity) meets nobody.  Nothing that shares a bucket is left
-   untested unless it is already connected or this bound rules the link out.
+4. Buckets whose members ended in several components are worked on again.  Elements that no other
+   remaining set has cannot be shared, so they bound an intersection: a set with too many of its own
+   (a near copy just beyond the similarity) meets nobody.  The set with the fewest of its own becomes
+   the bucket's centre, and every member is laid beside it: what it shares, and bitmaps of what it
+   lacks and of what it has besides.
+5. Two members that are still apart are a candidate only if they can be a link.  By inclusion and
+   exclusion about the centre they share at most ``s + s' - centre + o``, where ``o`` bounds from the
+   bitmaps what both lack or both have besides.  Nothing that shares a bucket is left untested unless
+   it is already connected or these bounds, which never rule out a link, say that it is none.
 """
 
 from __future__ import annotations
@@ -106,6 +110,48 @@ def _linked(num: int, den: int):
     return run
 
 
+WORDS = 8  # 64-bit words of a bitmap
+
+
+def _against(num: int, den: int):
+    """Each set beside its centre: shared elements, whether the two are a link, and bitmaps of the differences.
+
+    ``signs`` holds the bitmap of what the set lacks, then that of what it has besides; ``lost`` counts
+    for both the elements that fell on a bit taken before.
+    """
+
+    def bitmap(values: np.ndarray) -> tuple[np.ndarray, int]:
+        bit = (values >> U(64 - 9)).astype(np.int64)
+        words = np.zeros(WORDS, U)
+        np.bitwise_or.at(words, bit >> 6, U(1) << (bit & 63).astype(U))
+        return words, len(values) - int(np.bitwise_count(words).sum())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, sets = batch.column(2), batch.column(3)
+            shared, linked, signs, lost = [], [], [], []
+            for i in range(batch.num_rows):
+                c, x = np.frombuffer(centres[i].as_buffer(), U), np.frombuffer(sets[i].as_buffer(), U)
+                at = np.minimum(np.searchsorted(c, x), len(c) - 1)  # both are sorted
+                met = c[at] == x
+                lacks = np.ones(len(c), bool)
+                lacks[at[met]] = False
+                both = int(met.sum())
+                (low, low_lost), (more, more_lost) = bitmap(c[lacks]), bitmap(x[~met])
+                shared.append(both)
+                linked.append(den * both >= num * (len(c) + len(x) - both))
+                signs.append(np.concatenate([low, more]).view(np.int64))
+                lost.append([low_lost, more_lost])
+            flat = np.concatenate(signs) if signs else np.zeros(0, np.int64)
+            ends = np.arange(len(signs) + 1, dtype=np.int32) * 2 * WORDS
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(lost, pa.list_(pa.int64()))],
+                names=["a", "b", "shared", "linked", "signs", "lost"])
+
+    return run
+
+
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per element of a set."""
     for batch in batches:
@@ -156,42 +202,53 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(plain.join(wanted, "id", "left_semi").mapInArrow(_set_rows(k), "id long, items binary")
                        .dropDuplicates(["id", "items"]), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def beside(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_linked(num, den), "a long, b long")
+        return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
-    fits = F.lit(den) * F.least("n", "n_centre") >= F.lit(num) * F.greatest("n", "n_centre")
-    links = materialize(confirmed(places.where("rep <> centre").where(fits).select(F.col("centre").alias("a"), F.col("rep").alias("b"))), "links")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return beside(pairs).mapInArrow(_linked(num, den), "a long, b long")
 
-    roots = components(links, "a", "b")
-    for step in ("other centres", "all that is left"):
-        now = places.select("key", "rep", "n").join(
-            roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        split = now.groupBy("key").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"),
-            F.min_by(F.struct("rep", "n", "root"), F.xxhash64("key", "rep")).alias("c")).where("r0 <> r1")
-        if step == "other centres":
-            pairs = now.join(split, "key").where("root <> c.root").select(
-                F.col("rep").alias("b"), "n", F.col("c.rep").alias("a"), F.col("c.n").alias("n_centre"))
-            pairs = pairs.where(fits)
-        else:
-            left = materialize(now.join(split.select("key"), "key", "left_semi"), "remaining")
-            own = own_elements(sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
-            left = left.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
-            smallest = left.groupBy("key").agg(F.min("n").alias("n_least"))
-            able = F.lit(num + den) * F.col("most") >= F.lit(num) * (F.col("n") + F.col("n_least"))
-            left = materialize(left.join(smallest, "key").where(able).drop("own", "n_least"), "remaining")
-            other = left.select("key", F.col("rep").alias("a"), F.col("n").alias("n_centre"),
-                                F.col("root").alias("root_a"), F.col("most").alias("most_a"))
-            enough = F.lit(num + den) * F.least("most", "most_a") >= F.lit(num) * (F.col("n") + F.col("n_centre"))
-            pairs = left.withColumnRenamed("rep", "b").join(other, "key").where("root_a < root").where(fits & enough)
-        more = materialize(confirmed(pairs), "links")
+    def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
         if more.isEmpty():
-            continue
+            return roots
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars: fewer rounds than from the links
-        roots = components(known.unionByName(more), "a", "b")
+        return components(known.unionByName(more), "a", "b")
+
+    def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of buckets whose members are in several components, with their ``root``."""
+        now = rows.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        split = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        return now.join(split.select("key"), "key", "left_semi")
+
+    fits = F.lit(den) * F.least("n", "n_centre") >= F.lit(num) * F.greatest("n", "n_centre")
+    links = materialize(confirmed(places.where("rep <> centre").where(fits).select(F.col("centre").alias("a"), F.col("rep").alias("b"))), "links")
+    roots = components(links, "a", "b")
+
+    left = materialize(apart(places.select("key", "rep", "n"), roots), "remaining")
+    own = own_elements(sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+    left = left.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0)))
+    smallest = left.groupBy("key").agg(F.min("n").alias("n_least"))
+    able = F.lit(num + den) * F.col("most") >= F.lit(num) * (F.col("n") + F.col("n_least"))
+    left = left.join(smallest, "key").where(able).drop("n_least", "own", "root")
+    first = left.groupBy("key").agg(F.min_by(F.struct("rep", "n"), F.struct(F.col("n") - F.col("most"), F.col("rep"))).alias("c"))
+    left = materialize(left.join(first, "key").where("rep <> c.rep").select("key", "rep", "n", "most", F.col("c.rep").alias("centre"), F.col("c.n").alias("n_centre")), "remaining")
+    laid = materialize(beside(left.select(F.col("centre").alias("a"), F.col("rep").alias("b"))).mapInArrow(
+        _against(num, den), "a long, b long, shared long, linked boolean, signs array<long>, lost array<long>"), "beside")
+    roots = joined(roots, laid.where("linked").select("a", "b"))
+
+    signs = [F.col("signs")[i].alias(f"s{i}") for i in range(2 * WORDS)]
+    facts = laid.groupBy(F.col("a").alias("centre"), F.col("b").alias("rep")).agg(
+        (F.count(F.lit(1)) > 1).alias("open"), F.min(F.struct("shared", "signs", "lost")).alias("f"))  # open: an id with several sets, no bound holds
+    facts = facts.select("centre", "rep", "open", "f.*").select("centre", "rep", "open", "shared", *signs, F.col("lost")[0].alias("l0"), F.col("lost")[1].alias("l1"))
+    left = materialize(apart(left, roots).join(facts, ["centre", "rep"]), "remaining")
+    other = left.select("key", *[F.col(c).alias(f"{c}_a") for c in left.columns if c not in ("key", "centre", "n_centre")])
+    alike = sum((F.bit_count(F.col(f"s{i}").bitwiseAND(F.col(f"s{i}_a"))) for i in range(2 * WORDS)), F.least("l0", "l0_a") + F.least("l1", "l1_a"))
+    bound = F.least("most", "most_a", F.col("shared") + F.col("shared_a") - F.col("n_centre") + alike)
+    enough = F.col("open") | F.col("open_a") | (F.lit(num + den) * bound >= F.lit(num) * (F.col("n") + F.col("n_a")))
+    pairs = left.join(other, "key").where((F.col("root_a") < F.col("root")) & enough)
+    roots = joined(roots, materialize(confirmed(pairs.select(F.col("rep_a").alias("a"), F.col("rep").alias("b"))), "links"))
 
     out = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "id", "n", F.coalesce("root", "rep", "id").alias("component"))
