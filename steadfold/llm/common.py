@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steadfold.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+CROWD = 10_000  # rows of one key that one task may number
 
 
 def n_words(text: Column) -> Column:
@@ -23,6 +25,18 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand batches of at most ``rows`` rows to Python: for whole texts, so that a batch stays a few MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Number rows from 0, without gaps, inside each group, in ``order``.
 
@@ -45,3 +59,18 @@ def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name
     joined = rows.join(starts, same)
     return joined.withColumn(name, F.col("__at") - F.col("__first") + F.col("__before")).drop(
         "__at", "__p", "__first", "__n", "__before", *[f"__g{i}" for i in range(len(groups))])
+
+
+def numbered_within(rows: DataFrame, groups: DataFrame, key: str, size: str, name: str) -> DataFrame:
+    """``rows`` joined to ``groups`` on ``key`` and numbered from 0 inside each key, in any order.
+
+    ``groups`` has one row per key with the number ``size`` of its rows; read it from a written
+    table.  Wide rows are shuffled once, by key; keys of more than ``CROWD`` rows are numbered by ranges.
+    """
+    joined = rows.join(groups, key)
+    few = joined.where(F.col(size) <= CROWD).withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(key)) - 1)
+    crowded = groups.where(F.col(size) > CROWD)
+    if crowded.isEmpty():
+        return few
+    many = numbered(joined.where(F.col(size) > CROWD), [key], [F.monotonically_increasing_id()], name)
+    return few.unionByName(many.withColumn(name, F.col(name).cast("int")))

@@ -4,56 +4,50 @@ A pre-token is a run of characters outside 0x20 and 0x09-0x0D.  This needs a tok
 and normalizer never reach over white space, such as ``word_bpe_49k.json``; then the sum over a
 text's pre-tokens is the count of the whole text, and no ids are ever kept.
 
-The pre-tokens that fill most of the corpus are few: a bounded head of the vocabulary (the most
-frequent by count) goes to the tasks, so frequent words never meet in one task of a shuffle.  All
-others are joined by Spark, with one row per text and distinct rare pre-token.
+Spark splits the texts, counts the pre-tokens and spills what does not fit; Python sees distinct
+pre-tokens only, to count their pieces in small batches.  The pre-tokens that fill most of the corpus
+are few: a bounded head of the vocabulary goes to the tasks, so frequent words never meet in one
+task of a shuffle.  All others are joined by Spark, with one row per text and distinct rare pre-token.
 """
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from steadfold.session import materialize
 
-FLUSH = 200_000
-HEAD_BYTES = 64  # longer pre-tokens are never part of the head
+from .common import arrow_rows
+from .vocabulary import frequent, word_counts
 
+WORDS = 500  # pre-tokens given to the tokenizer at once
+ROOM = 4 << 20  # bytes of text whose frequencies are held at once, beside a longer one
 
-def pre_tokens(text: str) -> list[str]:
-    """Runs without ASCII white space (``str.split`` alone would also cut at other separators)."""
-    if text.isascii():
-        words = text.split()
-        if not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):
-            return words
-    for c in "\t\n\v\f\r":
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
 
+def _pieces(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task; each more keeps memory of its own
+        from tokenizers import Tokenizer
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pre-tokens, summed as far as a bounded table allows."""
-    seen: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                                          names=["word", "n"])
+        tok = Tokenizer.from_str(sent.value)
+        tok.no_truncation()
+        tok.no_padding()
+        for batch in batches:
+            counts = [pa.array([], pa.int64())]
+            for lo in range(0, batch.num_rows, WORDS):
+                part = batch.slice(lo, WORDS)
+                done = tok.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)
+                counts.append(pa.array([len(e) for e in done], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.concat_arrays(counts)], names=["word", "n", "pieces"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            if text.is_valid:
-                seen.update(pre_tokens(text.as_py()))
-            if len(seen) > FLUSH:
-                yield out()
-                seen.clear()
-    if seen:
-        yield out()
+    return run
 
 
 def vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -61,24 +55,42 @@ def vocabulary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
 
     ``tokenizer`` is the JSON text of a ``tokenizers`` file.
     """
-    words = docs.select(F.col(text_col).cast("string")).mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    return word_counts(docs, text_col).mapInArrow(_pieces(sent), "word string, n long, pieces long")
 
-    @F.pandas_udf("long")
-    def pieces(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(sent.value)
-        tok.no_truncation()
-        tok.no_padding()
-        for part in parts:
-            counts = np.empty(len(part), np.int64)
-            for i in range(0, len(part), 2000):
-                done = tok.encode_batch_fast(part.iloc[i : i + 2000].tolist(), add_special_tokens=False)
-                counts[i : i + 2000] = [len(e) for e in done]
-            yield pd.Series(counts)
+def _frequencies(sent):
+    """One row per text with the pieces of its head pre-tokens, and one per text and other pre-token."""
 
-    return words.withColumn("pieces", pieces("word"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = sent.value
+        place = dict(zip(words.split(b" "), range(len(counts)))).get
+        for batch in batches:
+            texts, begin = batch.column(2).cast(pa.binary()), 0
+            while begin < batch.num_rows:
+                rows, rare, times, sums, sizes, at, room = [], [], [], [], [], begin, ROOM
+                while at < batch.num_rows and room > 0:
+                    raw = texts[at].as_py() or b""
+                    tokens = raw.split()  # of bytes: at the six ASCII white spaces
+                    found = np.fromiter(map(place, tokens, repeat(-1)), np.int32, len(tokens))
+                    others = Counter([tokens[i] for i in np.flatnonzero(found < 0)])
+                    rows.extend([at] * len(others))
+                    rare.extend(others.keys())
+                    times.extend(others.values())
+                    sums.append(int(counts[found[found >= 0]].sum()))
+                    sizes.append(len(raw))
+                    room -= len(raw)
+                    at += 1
+                where = pa.array([*range(begin, at), *rows], pa.int64())
+                own, more = at - begin, len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(where), batch.column(1).take(where),
+                     pa.array(sizes + [None] * more, pa.int64()), pa.array(sums + [None] * more, pa.int64()),
+                     pa.array([None] * own + rare, pa.binary()).cast(pa.string()), pa.array([None] * own + times, pa.int64())],
+                    names=["row", "id", "n_bytes", "known", "word", "times"])
+                begin = at
+
+    return run
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048,
@@ -92,43 +104,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     vocab = materialize(vocabulary(docs, tokenizer, text_col), "vocabulary")
-    short = vocab.where(F.octet_length("word") <= HEAD_BYTES)
-    known = {r["word"]: r["pieces"] for r in short.orderBy(F.desc("n"), "word").limit(head).select("word", "pieces").collect()}
-    sent = spark.sparkContext.broadcast(known)
+    known = frequent(vocab, head, F.col("pieces"))
+    sent = spark.sparkContext.broadcast((" ".join(r.word for r in known).encode(), np.array([r.pieces for r in known], np.int64)))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sent.value
-        for batch in batches:
-            texts, begin = batch.column(2), 0
-            while begin < batch.num_rows:
-                place, words, times, sums, sizes, at, room = [], [], [], [], [], begin, 4 << 20
-                while at < batch.num_rows and room > 0:
-                    text = texts[at].as_py() or ""
-                    total = 0
-                    for word, n in Counter(pre_tokens(text)).items():
-                        p = pieces.get(word)
-                        if p is None:
-                            place.append(at)
-                            words.append(word)
-                            times.append(n)
-                        else:
-                            total += n * p
-                    sums.append(total)
-                    sizes.append(len(text.encode()))
-                    room -= len(text)
-                    at += 1
-                own = at - begin
-                where = pa.array([*range(begin, at), *place], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(1).take(where),
-                     pa.array(sizes + [None] * len(place), pa.int64()), pa.array(sums + [None] * len(place), pa.int64()),
-                     pa.array([None] * own + words, pa.string()), pa.array([None] * own + times, pa.int64())],
-                    names=["row", "id", "n_bytes", "known", "word", "times"])
-                begin = at
-
-    parts = materialize(rows.mapInArrow(split, f"row long, id {kind}, n_bytes long, known long, word string, times long"), "frequencies")
+    with arrow_rows(spark, 500):
+        parts = materialize(rows.mapInArrow(_frequencies(sent), f"row long, id {kind}, n_bytes long, known long, word string, times long"), "frequencies")
     rare = parts.where("word is not null").join(vocab.select("word", "pieces"), "word").select("row", (F.col("times") * F.col("pieces")).alias("more"))
     texts = parts.where("word is null").select("row", "id", "n_bytes", F.col("known").alias("more"))
     both = texts.unionByName(rare, allowMissingColumns=True)
