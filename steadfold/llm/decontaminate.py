@@ -141,13 +141,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                  block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document and item it contains: ``id_col``, ``item_col``, ``n_shared``, ``n_item``, ``containment``.
 
+    Shingles are compared as 64-bit fingerprints.  If both id columns have one name, the item's gets ``item_`` in front; an id
+    column called like another result is an error.
+
     Null and empty texts contain nothing, and such items are found nowhere.  An item of fewer than
     ``k`` words is one sequence, found in documents that consist of just these words.  Repeated
     documents and items each give their own rows; null ids are passed on; other columns are ignored.
     """
     plain = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = items.select(item_col).schema[0].dataType
-    schema = f"`{id_col}` {plain.schema[0].dataType.simpleString()}, `{item_col}` {kind.simpleString()}, n_shared long, n_item long, containment double"
+    item_name = f"item_{item_col}" if item_col.lower() == id_col.lower() else item_col
+    if clash := {id_col.lower(), item_name.lower()} & {"n_shared", "n_item", "containment"}:
+        raise ValueError(f"{sorted(clash)} are names of results")
+    schema = f"`{id_col}` {plain.schema[0].dataType.simpleString()}, `{item_name}` {kind.simpleString()}, n_shared long, n_item long, containment double"
     found = None
     for rows in item_blocks(items, item_col, item_text_col, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(_plain(rows, k))
@@ -161,7 +167,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     size = np.array([len(block.sets[i]) for i in item], np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(at)), pa.array([block.ids[i] for i in item]), pa.array(shared),
-                         pa.array(size), pa.array(shared / size)], names=[id_col, item_col, "n_shared", "n_item", "containment"])
+                         pa.array(size), pa.array(shared / size)], names=[id_col, item_name, "n_shared", "n_item", "containment"])
 
         part = plain.mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 MOST_LANGUAGES = 1000
+SALTS = 64
 # For ties: the second level, and number and bytes of the pieces that a text is put behind.
 FINE_LEVEL, CONTEXTS, CONTEXT_BYTES = 19, 16, 64
 
@@ -34,8 +35,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", t
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"),
         F.col(text_col).cast("string").alias("text"))
-    first = Window.partitionBy("lang").orderBy("digest")
-    ranked = rows.select("lang", "digest").distinct().withColumn("rank", F.row_number().over(first))
+    first, part = Window.partitionBy("lang").orderBy("digest"), F.pmod("digest", F.lit(SALTS))
+    ranked = rows.select("lang", "digest").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy("digest")))
+    ranked = ranked.where(F.col("rank") <= texts_per_language)  # so that no task ranks all texts of a language
+    ranked = ranked.withColumn("rank", F.row_number().over(first))
     limits = ranked.where(F.col("rank") <= texts_per_language).groupBy("lang").agg(F.max("digest").alias("limit"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -105,18 +108,19 @@ class Model:
 
 
 def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str = "text", keep: list[str] | None = None,
-             level: int = 6, chunk_bytes: int = 4096, least_score: float = 0.001) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``lang_pred``, ``score`` (0 to 1) and ``rejected``.
+             level: int = 6, chunk_bytes: int = 4096, least_score: float = 0.001,
+             names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``lang_pred``, ``score`` (0 to 1) and ``rejected``, or other ``names`` for the three.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text is null, has no letter,
     or nothing was learned.  A row is rejected if it is ``und`` or its score is below
     ``least_score`` by the finer sizes too: no dictionary was better than another.  Columns of the input called like a
     result are replaced; an empty table gives an empty result.
     """
-    made = ["lang_pred", "score", "rejected"]
+    made = list(names)
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
-    out = rows.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")).schema
+    out = rows.select(*keep, *[F.lit(x).alias(name) for x, name in zip(("", 0.0, False), made)]).schema
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

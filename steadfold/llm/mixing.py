@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from steadfold.session import materialize
 
-from .common import n_words, numbered, without
+from .common import n_words, numbered, numbered_within, without
 
 UNIT = 24  # bits after the point of a rate
 
@@ -87,3 +87,20 @@ def repeated(mixed: DataFrame) -> DataFrame:
     """One row for every copy that the mix takes."""
     return mixed.where("copies > 0").withColumn(
         "__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("__copy")
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it (see :func:`systematic_mix`), its columns unchanged.
+
+    The mix is worked out on sizes and digests alone; the documents are shuffled once, to be joined
+    with their copies.  Rows equal in id, text and source are interchangeable: what the mix takes of
+    them is spread over them as evenly as it goes.
+    """
+    digest = tie(id_col, text_col)
+    key = F.md5(F.concat(F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null")), F.lit("|"), digest))
+    slim = docs.select(F.col(source_col).alias("__from"), n_words(F.col(text_col)).alias("__words"), digest.alias("__digest"), key.alias("__key"))
+    mixed = systematic_mix(slim, source_col="__from", size_col="__words", tie_col="__digest", **options)
+    groups = mixed.groupBy("__key").agg(F.count(F.lit(1)).alias("__rows"), F.sum("copies").alias("__copies")).where("__copies > 0")
+    rows = numbered_within(docs.withColumn("__key", key), materialize(groups, "copies"), "__key", "__rows", "__no")
+    copies = F.expr("CAST(__copies DIV __rows AS INT) + CAST(__no < __copies % __rows AS INT)")
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(docs.columns)

@@ -54,8 +54,7 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shard_documents(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

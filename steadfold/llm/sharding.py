@@ -3,12 +3,16 @@ moves only the rows that go into it."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, without
+from steadfold.session import materialize
+
+from .common import numbered, numbered_within, without
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -43,21 +47,36 @@ def stable_key(col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.concat(F.lit("k"), col.cast("string")), F.lit("null"))), 1, 15), 16, 10).cast("long")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``size`` (UTF-8 bytes + 1), ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``size`` (UTF-8 bytes + 1), ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
 
     The law is ``key``: the id and the number of shards alone decide, so equal ids always meet, and
     with one more shard (``grown_shard``) a row stays or goes into the new one.  ``slot`` numbers the
-    rows of a shard without gaps, in the order of a digest of the id.  A null text has size 1 and
+    rows of a shard without gaps, in the order of a digest of the id, then checksum and size; rows that
+    agree in all three have neighbouring slots in any order.  A null text has size 1 and
     the checksum of the empty text; rows with a null id share one shard.  Columns of the input called
     like a result are replaced; an empty table gives an empty result.
+
+    Slots are found on digests, checksums and sizes.  With ``keep``, only its columns travel with them;
+    without, the whole rows are shuffled once, to be joined with their slots.
     """
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    key = stable_key(F.col(id_col))
-    rows = without(docs, [m for m in made if m not in (id_col, text_col)])
-    rows = rows.withColumn("__key", key)
-    rows = rows.withColumn("shard", shard_of(F.col("__key"), shards)).withColumn("grown_shard", shard_of(F.col("__key"), shards + 1))
-    rows = rows.withColumn("size", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1)
-    rows = rows.withColumn("text_crc32", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).withColumn("law", F.lit("key"))
-    rows = numbered(rows, ["shard"], [F.col("__key"), F.col("text_crc32"), F.col("size")], "slot")
-    return rows.drop("__key")
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    own = [] if keep is None else [c for c in keep if c.lower() not in made]
+    facts = docs.select(*[F.col(c) for c in own], stable_key(F.col(id_col)).alias("__key"), size.alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"))
+    facts = facts.withColumn("shard", shard_of(F.col("__key"), shards)).withColumn("grown_shard", shard_of(F.col("__key"), shards + 1))
+    slots = numbered(facts, ["shard"], [F.col("__key"), F.col("text_crc32"), F.col("size")], "slot")
+    if keep is not None:
+        return slots.drop("__key")
+    groups = slots.withColumn("__match", _match(F.col("__key"), F.col("text_crc32"), F.col("size"))).groupBy("__match", "size", "text_crc32", "law", "shard", "grown_shard").agg(
+        F.min("slot").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    match = _match(stable_key(F.col(id_col)), crc, size)
+    rows = docs.withColumn("__match", match)
+    rows = without(rows, made)
+    rows = numbered_within(rows, materialize(groups, "slots"), "__match", "__rows", "__no")
+    return rows.withColumn("slot", F.col("__first") + F.col("__no")).drop("__match", "__first", "__rows", "__no")
+
+
+def _match(key: Column, crc: Column, size: Column) -> Column:
+    return F.concat_ws("-", key, crc, size)
