@@ -1,17 +1,20 @@
 """Line dedup with content-defined chunks, in Spark's own expressions.
 
-1. A text is cut into lines, and the lines into chunks by many boundary laws at once.  A law is one
-   bit of a line's hash: before a line with 0 and after a line with 1 there is a boundary, so a
-   passage's own lines alone decide how it is cut.  Each bit and its complement is a law, and their
-   union of multi-line chunks is every two neighbouring lines that differ: some law tells any two
-   lines apart.  So the lines are compared and no law is computed.  A run of equal lines, which no
-   law cuts out, is one more chunk.
-2. Chunks with at least one word are looked for in the whole corpus by their 64-bit digest.  Only ids,
-   places and digests are shuffled for that, and counts are summed up first.
-3. Of a repeated chunk the first (smallest id, then digest of the text, then place) stays.  The others
-   are compared with its bytes in their own document, and the lines of the equal ones are removed.
-
-Chunks overlap.  Each line that goes has an equal one at an earlier place, and the first of those stays.
+1. A text is cut into lines.  Lines without a word are passed over: they belong to the chunk around them.
+2. A rolling hash over the lines, one line wide, decides where chunks begin and end, by ``LAWS`` laws at
+   once: law k looks at bit k of a line's hash, and cuts before every line that has it not and after every
+   line that has it.  The window of one line makes the cuts shift-resistant: a passage's own lines
+   alone decide, at its ends too.  The chunks of several lines of all laws are kept; a pair of neighbours
+   is one under a law with probability 1/4, so one of 16 laws cuts it out with 99 percent.  All laws are
+   evaluated together on the bits of the hash.  A run of equal lines, which no law cuts out, is one
+   more chunk.
+3. Chunks are looked for in the whole corpus by their 64-bit digest.  Only ids, places and digests are
+   shuffled for that, and counts are summed up first.
+4. Of a repeated chunk the first (smallest id, then digest of the text, then place) stays.  The others
+   are compared with its bytes in their own document, and their lines are removed.
+
+Chunks overlap.  A line of a chunk that stays as the first is never removed for another chunk, so every
+repeated chunk still stands whole in one place.
 
 A chunk that stands in a third of all documents is one row after the partial sums; the joins that
 bring it back to its documents are plain equi-joins, which Spark splits when a key is skewed.
@@ -26,6 +29,8 @@ from steadfold.session import materialize
 
 from .common import without
 
+LAWS = 16  # bits of the rolling hash, four to a digit of the digest it is read from
+
 
 def _with(value: Column, then) -> Column:
     """``then`` of a lambda variable bound to ``value``, so that it is evaluated once per row."""
@@ -41,25 +46,33 @@ def _joined(lines: Column, chunk: Column) -> Column:
 
 
 def _cut(lines: Column) -> Column:
-    """Place and number of lines of every chunk."""
-    starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | (F.get(lines, i - 1) != F.get(lines, i - 2)))
+    """Place and number of lines of every chunk of several lines."""
+    held = F.filter(F.transform(lines, lambda line, i: F.struct(
+        i.alias("no"), line.alias("line"), F.conv(F.substring(F.md5(line.cast("binary")), 1, LAWS // 4), 16, 10).cast("int").alias("bits"))),
+        lambda x: x["line"].rlike(r"[^\x20\x09-\x0D]"))
 
     def chunks(at: Column) -> Column:
-        pairs = F.transform(F.filter(at, lambda i: i > 1), lambda i: F.struct((i - 2).alias("no"), F.lit(2).alias("size")))
-        runs = F.transform(at, lambda i, j: F.struct((i - 1).alias("no"), (F.coalesce(F.get(at, j + 1), F.size(lines) + 1) - i).alias("size")))
-        return F.concat(pairs, F.filter(runs, lambda c: c["size"] > 1))
+        """``at``: the lines with a word."""
+        def span(first: Column, last: Column) -> Column:
+            return F.struct(first["no"].alias("no"), (last["no"] - first["no"] + 1).alias("size"))
 
-    return _with(starts, chunks)
+        def beyond(i: Column, line: Column) -> Column:
+            return F.get(at, i + 1)["line"].isNull() | (F.get(at, i + 1)["line"] != line)
 
+        nexts = F.filter(F.transform(at, lambda x, i: F.struct(x.alias("a"), F.get(at, i + 1).alias("b"))), lambda p: p["b"].isNotNull())
+        pairs = F.filter(nexts, lambda p: F.bitwise_not(p["a"]["bits"]).bitwiseAND(p["b"]["bits"]) != 0)
+        first = F.filter(F.transform(at, lambda x, i: F.when((i == 0) | (F.get(at, i - 1)["line"] != x["line"]), x)), lambda x: x.isNotNull())
+        last = F.filter(F.transform(at, lambda x, i: F.when(beyond(i, x["line"]), x)), lambda x: x.isNotNull())
+        runs = F.filter(F.arrays_zip(first.alias("a"), last.alias("b")), lambda p: p["a"]["no"] < p["b"]["no"])
+        return F.concat(F.transform(pairs, lambda p: span(p["a"], p["b"])), F.transform(runs, lambda p: span(p["a"], p["b"])))
+
+    return _with(held, chunks)
 
-def chunks_of(text: Column) -> Column:
-    """``(no, size, digest)`` of the chunks of a text that hold a word.  None for null."""
-    def word(line: Column) -> Column:
-        return line.rlike(r"[^\x20\x09-\x0D]")
 
+def chunks_of(text: Column) -> Column:
+    """``(no, size, digest)`` of the chunks of a text.  None for null."""
     def named(s: Column) -> Column:
-        worded = F.filter(s["c"], lambda c: word(F.get(s["l"], c["no"])) | word(F.get(s["l"], c["no"] + 1)))
-        return F.transform(worded, lambda c: F.struct(
+        return F.transform(s["c"], lambda c: F.struct(
             c["no"].alias("no"), c["size"].alias("size"), F.xxhash64(_joined(s["l"], c)).alias("digest")))
 
     return _with(_with(_lines(text), lambda l: F.struct(l.alias("l"), _cut(l).alias("c"))), named)
@@ -69,7 +82,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with ``clean_text``, ``n_lines``, ``n_chunks``, ``n_removed`` (chunks) and ``removed_lines``.
 
     ``clean_text`` is the text without the lines of the multi-line chunks of which an earlier one has
-    the same bytes, in this document or another.  A null text stays null with no lines; an empty text is
+    the same bytes, in this document or another; lines of a chunk that is the first of its kind stay.  ``n_removed``
+    counts the chunks found again, ``removed_lines`` the lines that went.  A null text stays null with no lines; an empty text is
     one empty line; a text of one line has no chunk and is never touched; rows equal in id and text are
     one document and get the same result; a null id comes after all others; an empty table gives an
     empty result; columns of the input called like a result are replaced.
@@ -91,16 +105,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select("__id", "__h", text.alias("__text")).join(heads, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__h") == F.col("h")))
     texts = texts.select(F.inline(_with(F.struct(_lines(F.col("__text")).alias("l"), F.col("wanted").alias("w")), lambda s: F.transform(
         s["w"], lambda w: F.struct(w["digest"].alias("digest"), _joined(s["l"], w).alias("chunk")))))).dropDuplicates(["digest"])
-    others = places.join(groups.drop("n"), "digest").where(
-        ~(F.col("__id").eqNullSafe(F.col("f.__id")) & (F.col("__h") == F.col("f.__h")) & (F.col("no") == F.col("f.no")) & (F.col("size") == F.col("f.size"))))
-    marks = others.drop("f").join(materialize(texts, "firsts"), "digest").groupBy(F.col("__id").alias("i"), F.col("__h").alias("h")).agg(
-        F.collect_list(F.struct("no", "size", "chunk")).alias("marks"))
+    is_first = F.col("__id").eqNullSafe(F.col("f.__id")) & (F.col("__h") == F.col("f.__h")) & (F.col("no") == F.col("f.no")) & (F.col("size") == F.col("f.size"))
+    found = places.join(groups.drop("n"), "digest").withColumn("stays", is_first).drop("f")
+    marks = found.join(materialize(texts, "firsts"), "digest").groupBy(F.col("__id").alias("i"), F.col("__h").alias("h")).agg(
+        F.collect_list(F.struct("no", "size", "stays", F.when(~F.col("stays"), F.col("chunk")).alias("chunk"))).alias("marks"))
+
+    def covered(marks: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(marks, lambda m: F.sequence(m["no"], m["no"] + m["size"] - 1))))
 
     def cleaned(s: Column) -> Column:
-        same = F.filter(F.coalesce(s["m"], F.array().cast("array<struct<no:int,size:int,chunk:string>>")), lambda m: _joined(s["l"], m) == m["chunk"])
-        gone = _with(same, lambda d: F.struct(F.size(d).alias("n"), F.array_distinct(F.flatten(F.transform(
-            d, lambda m: F.sequence(m["no"], m["no"] + m["size"] - 1)))).alias("g")))
-        return _with(gone, lambda d: F.struct(
+        every = F.coalesce(s["m"], F.array().cast("array<struct<no:int,size:int,stays:boolean,chunk:string>>"))
+        again = F.filter(every, lambda m: ~m["stays"] & (_joined(s["l"], m) == m["chunk"]))
+        gone = F.array_except(covered(again), covered(F.filter(every, lambda m: m["stays"])))
+        return _with(F.struct(F.size(again).alias("n"), gone.alias("g")), lambda d: F.struct(
             F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["l"]) - 1), d["g"]), lambda i: F.get(s["l"], i)), "\n").alias("text"),
             F.size(s["l"]).alias("lines"), F.size(_cut(s["l"])).alias("chunks"), d["n"].alias("n"), F.size(d["g"]).alias("gone")))
 

@@ -72,23 +72,36 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-h AS (SELECT *, list_transform(l, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM d),
-e AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: i = len(l) OR ((CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 31 + h[i]) % 3 = 0) AS ends FROM h),
-c AS (SELECT *, list_transform(range(1, len(ends) + 1), lambda j: array_to_string(l[(CASE WHEN j = 1 THEN 1 ELSE ends[j - 1] + 1 END) : ends[j]], chr(10))) AS chunks FROM e),
-p AS (SELECT doc_id, unnest(chunks) AS chunk, unnest(range(len(chunks))) AS no FROM c),
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\x20\x09-\x0D]')) AS pos FROM d),
+h AS (SELECT *, list_transform(pos, lambda i: l[i]) AS line, list_transform(pos, lambda i: ('0x' || substr(md5(l[i]), 1, 4))::BIGINT) AS bits FROM w),
+e AS (
+  SELECT *, list_filter(range(1, len(pos)), lambda j: ((65535 - bits[j]) & bits[j + 1]) <> 0) AS pairs,
+         list_filter(range(1, len(pos) + 1), lambda j: j = 1 OR line[j - 1] <> line[j]) AS heads,
+         list_filter(range(1, len(pos) + 1), lambda j: j = len(pos) OR line[j + 1] <> line[j]) AS tails
+  FROM h),
+c AS (
+  SELECT doc_id, l, list_concat(
+    list_transform(pairs, lambda j: {'a': pos[j], 'b': pos[j + 1]}),
+    list_filter(list_transform(range(1, len(heads) + 1), lambda k: {'a': pos[heads[k]], 'b': pos[tails[k]]}), lambda x: x.a < x.b)) AS chunks
+  FROM e),
+u AS (SELECT doc_id, l, unnest(chunks) AS x FROM c),
+p AS (SELECT doc_id, x.a AS a, x.b AS b, array_to_string(l[x.a : x.b], chr(10)) AS chunk FROM u),
 q AS (
-  SELECT *, contains(chunk, chr(10)) AND regexp_matches(chunk, '[^\x20\x09-\x0D]')
-            AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, no) > 1 AS gone
-  FROM p),
-g AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(sum(len(string_split(chunk, chr(10)))) FILTER (gone), 0) AS removed_lines,
-         coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') AS clean
-  FROM q GROUP BY doc_id)
-SELECT c.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(chunks), 0)::BIGINT AS n_chunks,
-       coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed_lines, 0)::BIGINT AS removed_lines,
-       strlen(clean)::BIGINT AS clean_bytes, md5(clean) AS clean_md5
-FROM c LEFT JOIN g ON c.doc_id = g.doc_id
+  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS place, count(*) OVER (PARTITION BY chunk) AS times FROM p),
+r AS (SELECT doc_id, unnest(range(a, b + 1)) AS no, place > 1 AS again FROM q WHERE times > 1),
+g AS (SELECT doc_id, no FROM r GROUP BY ALL HAVING bool_and(again)),
+s AS (SELECT doc_id, list(no) AS gone FROM g GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) FILTER (place > 1) AS n_removed FROM q GROUP BY doc_id),
+o AS (
+  SELECT c.doc_id, len(c.l) AS n_lines, len(chunks) AS n_chunks, coalesce(n_removed, 0) AS n_removed, coalesce(len(gone), 0) AS removed_lines,
+         array_to_string(list_transform(list_filter(range(1, len(c.l) + 1), lambda i: NOT coalesce(list_contains(gone, i), false)), lambda i: c.l[i]), chr(10)) AS clean,
+         c.l IS NULL AS no_text
+  FROM c LEFT JOIN s ON s.doc_id = c.doc_id LEFT JOIN n ON n.doc_id = c.doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_chunks, 0)::BIGINT AS n_chunks, n_removed::BIGINT AS n_removed,
+       removed_lines::BIGINT AS removed_lines, CASE WHEN NOT no_text THEN strlen(coalesce(clean, ''))::BIGINT END AS clean_bytes,
+       CASE WHEN NOT no_text THEN md5(coalesce(clean, '')) END AS clean_md5
+FROM o
 """
 
 
