@@ -70,12 +70,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     if keep is not None:
         return slots.drop("__key")
     groups = slots.withColumn("__match", _match(F.col("__key"), F.col("text_crc32"), F.col("size"))).groupBy("__match", "size", "text_crc32", "law", "shard", "grown_shard").agg(
-        F.min("slot").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+        F.min("slot").alias("__lowest"), F.count(F.lit(1)).alias("__rows"))
     match = _match(stable_key(F.col(id_col)), crc, size)
     rows = docs.withColumn("__match", match)
     rows = without(rows, made)
     rows = numbered_within(rows, materialize(groups, "slots"), "__match", "__rows", "__no")
-    return rows.withColumn("slot", F.col("__first") + F.col("__no")).drop("__match", "__first", "__rows", "__no")
+    return rows.withColumn("slot", F.col("__lowest") + F.col("__no")).drop("__match", "__lowest", "__rows", "__no")
 
 
 def _match(key: Column, crc: Column, size: Column) -> Column:

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, and their behaviour on awkward rows."""
 
+import hashlib
 import itertools
 import re
 import zlib
@@ -108,6 +109,8 @@ def test_decontamination_rows(spark, docs, nothing):
     assert sorted(r.doc_id or 0 for r in decontaminate.clean_documents(docs, items).collect()) == [0, 1, 2, 3, 4, 5, 6, 10, 10]
     assert decontaminate.clean_documents(nothing, items).count() == 0
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
+    alike = decontaminate.contaminated(docs, items.withColumnRenamed("item_id", "doc_id"), item_col="doc_id")
+    assert {(r.doc_id, r.item_doc_id) for r in alike.collect()} == {(9, 1), (7, 4), (8, 4)}
 
 
 def test_mix(docs, nothing):
@@ -234,20 +237,84 @@ def test_html_rows(spark):
     assert html.extract_pages(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def by_hand(docs, items):
+    """Surviving rows as (doc_id, shard) with repeats, by plain Python for every stage but the language's compression."""
+    model = language.Model(language.learn(docs), 6, 4096)
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    rows = [r for r in rows if (p := model.predict(r.text, 0.001))[0] != "und" and p[1] >= 0.001]
+    sets, root = {r.doc_id: shingles(r.text) for r in rows}, {r.doc_id: r.doc_id for r in rows}
+    for a, b in itertools.combinations([i for i in sets if i is not None], 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {i: new if r == old else r for i, r in root.items()}
+    seen = set()
+    rows = [r for r in rows if r.doc_id is None or root[r.doc_id] == r.doc_id and not (r.doc_id in seen or seen.add(r.doc_id))]
+    wanted = [s for s in (shingles(r.text) for r in items.collect()) if s]
+    rows = [r for r in rows if not any(len(s & shingles(r.text)) >= 0.8 * len(s) for s in wanted)]
+    words = [len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in rows]
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s))
+    sizes = {s: sum(w for w, r in zip(words, rows) if r.source == s) for s in sources}
+    weight, goal, open_, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}, {}, set(sources), 1.5 * sum(sizes.values())
+    while over := [s for s in open_ if 2 * sizes[s] <= weight[s] * left / sum(weight[x] for x in open_)]:
+        for s in over:
+            goal[s] = 2.0 * sizes[s]
+        open_ -= set(over)
+        left -= sum(goal[s] for s in over)
+        if not open_:
+            break
+    goal |= {s: weight[s] * left / sum(weight[x] for x in open_) for s in open_}
+    out = []
+    for s in sources:
+        own = sorted(((-w, hashlib.md5(f"{'' if r.doc_id is None else r.doc_id}|{r.text}".encode()).hexdigest(), r.doc_id) for w, r in zip(words, rows) if r.source == s))
+        rate = round(goal[s] / sizes[s] * (1 << 24)) if sizes[s] else 0
+        offset = int(hashlib.md5(f"mix|{'null' if s is None else 's:' + s}".encode()).hexdigest()[:6], 16)
+        for at, (_, _, i) in enumerate(own):
+            out += [i] * ((offset + (at + 1) * rate >> 24) - (offset + at * rate >> 24))
+    key = {i: int(hashlib.md5(("null" if i is None else f"k{i}").encode()).hexdigest()[:15], 16) for i in out}
+    return sorted(((i, int(sharding.jump(np.array([key[i]], np.uint64), 8)[0])) for i in out), key=repr)
+
+
 def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    items = [s for s in (shingles(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()) if s]
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = corpus_pipeline.run(spark, sf_dir)
     assert set(docs.columns) < set(rows.columns)
     got = rows.collect()
-    sets = {r.doc_id: shingles(r.text) for r in got}
-    assert not any(len(s & t) >= 0.8 * len(t) for s in sets.values() for t in items)
-    assert not any(len(a & b) >= 0.8 * len(a | b) for a, b in itertools.combinations(sets.values(), 2))
+    assert sorted(((r.doc_id, r.shard) for r in got), key=repr) == by_hand(docs, items)
+    texts = {r.doc_id: r.text for r in docs.collect()}
     for r in got:
-        assert r.shard == sharding.jump(np.array([sharding_key(r.doc_id)], np.uint64), 8)[0]
-
-
-def sharding_key(doc_id):
-    import hashlib
-
-    return int(hashlib.md5(f"k{doc_id}".encode()).hexdigest()[:15], 16)
+        raw = texts[r.doc_id].encode()
+        assert (r.text, r["size"], r.text_crc32, r.law) == (texts[r.doc_id], len(raw) + 1, zlib.crc32(raw), "key") and r.grown_shard in (r.shard, 8)
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_pipeline_rows(spark, tmp_path, sf_dir):
+    """Nulls, repeated rows and columns called like results; an empty table gives an empty result."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = table.limit(4).select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars").unionByName(
+        table.limit(9)).unionByName(table.limit(2).withColumn("text", F.lit(None).cast("string")))
+    clash = {"score": F.lit(0.5), "size": F.lit("KEEP"), "rejected": F.lit(True), "taken": F.lit(7), "copies": F.lit(9), "kept": F.lit("k"), "lang_pred": F.lit("x")}
+    docs = table.unionByName(odd).withColumns(clash)
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.shard) for r in got), key=repr) == by_hand(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert {(r.score, r.rejected, r.taken, r.copies, r.kept, r.lang_pred) for r in got} == {(0.5, True, 7, 9, "k", "x")}
+    before = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    assert {r["size"] for r in before} == {"KEEP"}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_crowded_keys(spark, monkeypatch):
+    """Equal rows beyond what one task numbers get the copies and slots that any others get."""
+    from steadfold.llm import common
+
+    rows = spark.createDataFrame([(1, "a b c", "en", "a", 5)] * 50 + [(i, f"d{i} e", "en", "a", 4) for i in range(2, 30)], SCHEMA)
+    want = sorted(r.doc_id for r in mixing.mixed_documents(rows).collect())
+    monkeypatch.setattr(common, "CROWD", 3)
+    assert sorted(r.doc_id for r in mixing.mixed_documents(rows).collect()) == want
+    got = sharding.shard_documents(rows).collect()
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
