@@ -8,7 +8,7 @@ from ..functions import hash_mille
 from ..operators import ingest as m
 from ..operators.burden import burden
 from ..session import scratch_path
-from ..sources import SnapshotSource, align, append_report, read_report, read_snapshots
+from ..sources import SnapshotSource, align, append_report, publish, read_published, read_report, read_snapshots
 from .registry import query
 from .shift import SQL_STRESSED, stressed
 from .views import FEATURES, SQL_AREA, area_records, r, sql_hash, sql_long
@@ -82,6 +82,24 @@ def ing3_rejects(t):
     return curated(t)[1].withColumn("failed_rules", F.array_join("failed_rules", "; "))
 
 
+@query("ing3_published", f"""
+WITH {SQL_RAW} SELECT 'r1' AS run_id, 'processed' AS folder, c_mktsegment, COUNT(*) AS n, COUNT(*) - COUNT(CASE WHEN h >= 80 THEN 1 END) AS n_absent
+FROM judged WHERE NOT unreadable AND NOT below AND NOT outside GROUP BY ALL
+UNION ALL SELECT 'r1', 'quarantine', c_mktsegment, COUNT(*), COUNT(CASE WHEN h BETWEEN 40 AND 79 THEN 1 END)
+FROM judged WHERE unreadable OR below OR outside GROUP BY ALL""")
+def ing3_published(t):
+    """Processed and quarantined rows in folders by segment, published together and read through the manifest."""
+    root = scratch_path(t.spark, "curated")
+    clean, rejects = curated(t)
+    folders = {"processed": ["c_mktsegment"], "quarantine": ["c_mktsegment"]}
+    publish(t.spark, {"processed": clean.limit(0), "quarantine": rejects.limit(0)}, root, "r1", folders)
+    publish(t.spark, {"processed": clean, "quarantine": rejects}, root, "r1", folders)  # takes the place of the first attempt
+    tables = [read_published(t.spark, root, name).select("run_id", F.lit(name).alias("folder"), "c_mktsegment", F.col("balance").cast("string").alias("b"))
+              for name in folders]
+    return tables[0].unionByName(tables[1]).groupBy("run_id", "folder", "c_mktsegment").agg(
+        F.count("*").alias("n"), (F.count("*") - F.count("b")).alias("n_absent"))
+
+
 @query("ing4_age_from_dates", """
 WITH pair AS (SELECT CAST(o_orderdate AS DATE) AS b, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 mon AS (SELECT (year(d) - year(b)) * 12 + month(d) - month(b)
