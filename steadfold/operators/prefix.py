@@ -71,7 +71,8 @@ def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequ
         F.expr(f"percentile_approx(`{x}`, array({levels}))").alias("__cuts"),
         *[F.sum(part[m]).alias(f"tot_{m}") for m in measures],
     )
-    keyed = place(join_bounded(packed, cuts, groups, rows=group_bound), x, "__cuts", n_buckets, "__b").drop("__cuts")
+    wide = None if group_bound is None else group_bound * n_buckets  # a row of cuts is as large as that many rows of one number
+    keyed = place(join_bounded(packed, cuts, groups, rows=wide), x, "__cuts", n_buckets, "__b").drop("__cuts")
 
     order = Window.partitionBy(*groups).orderBy("__b")
     rest = order.rowsBetween(0, Window.unboundedFollowing)
@@ -86,8 +87,7 @@ def prefix_sums(counts: DataFrame, groups: Sequence[str], x: str, measures: Sequ
         F.lead("__first").over(order).alias("__next_first"),
         *[(F.col(f"__t_{m}") - F.sum(f"__s_{m}").over(rest)).alias(f"__o_{m}") for m in measures],
     )
-    joined = join_bounded(keyed, offsets, [*groups, "__b"],
-                          rows=None if group_bound is None else group_bound * n_buckets)
+    joined = join_bounded(keyed, offsets, [*groups, "__b"], rows=wide)
     inside = Window.partitionBy(*groups, "__b").orderBy(x)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(
