@@ -318,3 +318,28 @@ def test_crowded_keys(spark, monkeypatch):
     got = sharding.shard_documents(rows).collect()
     for k in range(8):
         assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def jumped(key, shards):
+    """Jump consistent hashing of one key, step by step."""
+    here, ahead = -1, 0
+    while ahead < shards:
+        here = ahead
+        key = (key * 2862933555777941757 + 1) % 2**64
+        ahead = int((here + 1) * (2.0**31 / ((key >> 33) + 1)))
+    return here
+
+
+def test_shard_query_is_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    want, places = {}, {}
+    for r in rows:
+        key, raw = int(hashlib.md5(f"k{r.doc_id}".encode()).hexdigest()[:15], 16), (r.text or "").encode()
+        shard = jumped(key, 8)
+        want[r.doc_id] = (len(raw) + 1, zlib.crc32(raw), "key", shard, jumped(key, 9))
+        places.setdefault(shard, []).append((key, r.doc_id))
+    slots = {i: at for own in places.values() for at, (_, i) in enumerate(sorted(own))}
+    got = driver.queries()["op2_shard"](spark, sf_dir).collect()
+    assert len(got) == len(rows) == len(want)
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in got} == want
+    assert {r.doc_id: r.slot for r in got} == slots
