@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROW_BOUND, cut_lineage, join_bounded
+from ..session import BROADCAST_ROW_BOUND, join_bounded, materialize
+from .paths import relax
 
 
 def feasible_moves(records: DataFrame, features: Sequence[str], policy: DataFrame,
@@ -128,13 +129,13 @@ def density_cells(records: DataFrame, steps: Mapping[str, float], score: Column,
 
 
 def feasible_paths(cells: DataFrame, moves: Mapping[str, Sequence[int]], unit_cost: Mapping[str, float],
-                   max_steps: int | None = None, checkpoint_every: int = 4) -> DataFrame:
+                   max_steps: int | None = None) -> DataFrame:
     """Cheapest path of single-feature steps to a goal cell.
 
     Steps go only to dense cells, in the directions ``moves`` allows, and cost more where
     records are rare: ``unit_cost * -ln(share of the entered cell)``.  Costs are relaxed
-    backwards from all goals at once, so each round is one equi-join on the cell.  Rounds end when
-    one changes no cost; steps cost no less than nothing, so there are never more than cells.
+    backwards from all goals at once; only cells that became cheaper send offers, and rounds end
+    when none did (see :func:`.paths.relax`).
 
     Output: the cells with ``path_cost``, ``path_steps`` and the next cell ``next_<feature>``
     (NULL where no path exists).  With ``max_steps`` also ``limit_reached``: were rounds left when
@@ -143,7 +144,7 @@ def feasible_paths(cells: DataFrame, moves: Mapping[str, Sequence[int]], unit_co
     if min(unit_cost.values()) < 0:
         raise ValueError("steps of negative cost have no cheapest path")
     coords = [c for c in cells.columns if c.startswith("c_")]
-    cells = cut_lineage(cells)
+    cells = materialize(cells, "cells")
     usable = cells.where("dense")
     steps = []
     for f, directions in moves.items():
@@ -154,36 +155,11 @@ def feasible_paths(cells: DataFrame, moves: Mapping[str, Sequence[int]], unit_co
     fan = cells.select(*coords, F.inline(F.array(*steps)))
     target = usable.select(*[F.col(c).alias(f"next_{c[2:]}") for c in coords], F.col("share").alias("__share"))
     nexts = [f"next_{c[2:]}" for c in coords]
-    edges = cut_lineage(fan.join(target, nexts).select(
-        *coords, *nexts, (F.col("__unit") * -F.ln("__share")).alias("w")))
-
-    best = usable.where("goal").select(*coords, F.lit(0.0).alias("path_cost"), F.lit(0).alias("path_steps"),
-                                       *[F.lit(None).cast("int").alias(n) for n in nexts])
-
-    def relaxed(best: DataFrame) -> DataFrame:
-        ahead = best.select(*[F.col(c).alias(f"next_{c[2:]}") for c in coords], "path_cost", "path_steps")
-        longer = edges.join(ahead, nexts).select(
-            *coords, (F.col("path_cost") + F.col("w")).alias("path_cost"), (F.col("path_steps") + 1).alias("path_steps"), *nexts)
-        pick = F.min(F.struct("path_cost", "path_steps", *nexts)).alias("b")
-        return best.unionByName(longer).groupBy(*coords).agg(pick).select(*coords, "b.*")
-
-    def unchanged(old: DataFrame, new: DataFrame) -> bool:
-        was = old.select(*coords, F.col("path_cost").alias("__was"), F.lit(True).alias("__had"))
-        lower = F.col("__had").isNull() | (F.col("path_cost") < F.col("__was"))
-        return new.join(was, coords, "left").where(lower).isEmpty()
-
-    best, settled, done = cut_lineage(best), False, 0
-    while not settled and (max_steps is None or done < max_steps):
-        rounds = checkpoint_every if max_steps is None else min(checkpoint_every, max_steps - done)
-        before = best
-        for _ in range(rounds):
-            best = relaxed(best)
-        best, done = cut_lineage(best), done + rounds
-        settled = unchanged(before, best)
+    edges = materialize(fan.join(target, nexts).select(
+        *coords, *nexts, (F.col("__unit") * -F.ln("__share")).alias("w")), "edges")
+    best, _, left = relax(edges, usable.where("goal"), coords, nexts, max_steps)
     paths = cells.join(best, coords, "left")
-    if max_steps is None:
-        return paths
-    return paths.withColumn("limit_reached", F.lit(not (settled or unchanged(best, relaxed(best)))))
+    return paths if max_steps is None else paths.withColumn("limit_reached", F.lit(left))
 
 
 def record_paths(records: DataFrame, steps: Mapping[str, float], paths: DataFrame,

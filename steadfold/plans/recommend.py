@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_mille
 from ..operators import counterfactual as m
+from ..operators import paths as p
 from ..session import literal_table
 from .registry import query
 from .views import cohorts, r, sql_hash
@@ -164,3 +165,57 @@ def cf3_records(t):
     return m.record_paths(cohorts(t), STEPS, paths).groupBy(r("path_cost")).agg(F.count("*").alias("n_records"))
 
 
+
+
+# ------------------------------------------------------------------ paths over the records themselves
+
+# widths are powers of two, so that cells are exact in any engine
+GRAPH = {"o_totalprice": 65536.0, "c_acctbal": 1024.0}
+GRAPH_DEPTH, GRAPH_LEAF, GRAPH_SHARE, GRAPH_THRESHOLD = 6, 12, 0.0005, 0.5
+GRAPH_WAYS = {"o_totalprice": [-1], "c_acctbal": [-1, 1]}
+
+
+def graph_records(t):
+    return t("orders").select(F.col("o_orderkey").alias("record_id"), "o_custkey", "o_totalprice").join(
+        t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_acctbal"), "o_custkey").drop("o_custkey")
+
+
+def graph_paths(t):
+    score = F.col("o_totalprice") / 131072 - F.col("c_acctbal") / 8192
+    nodes = p.record_nodes(graph_records(t), GRAPH, GRAPH_DEPTH, GRAPH_LEAF, score, GRAPH_THRESHOLD, GRAPH_SHARE, ["c_mktsegment"])
+    return p.record_graph_paths(nodes, GRAPH, GRAPH_DEPTH, GRAPH_WAYS)[0]
+
+
+def sql_graph_nodes(source: str) -> str:
+    """Nodes as ``node(id, g, x, y, lv, rho, dense, goal, factor)``, from all levels counted anew by windows."""
+    (wx, wy), fine = GRAPH.values(), 2**GRAPH_DEPTH
+    return f"""rec AS (SELECT record_id, c_mktsegment AS g, CAST(floor(o_totalprice / {wx / fine}e0) AS BIGINT) AS x,
+   CAST(floor(c_acctbal / {wy / fine}e0) AS BIGINT) AS y FROM ({source})),
+pts AS (SELECT g, x, y, COUNT(*) AS n FROM rec WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+lvls AS (SELECT pts.*, l, COUNT(*) OVER cell AS nodes, SUM(n) OVER cell AS held FROM pts, range({GRAPH_DEPTH + 1}) r(l)
+  WINDOW cell AS (PARTITION BY g, l, x >> CAST({GRAPH_DEPTH} - l AS INTEGER), y >> CAST({GRAPH_DEPTH} - l AS INTEGER))),
+rho AS (SELECT g, x, y, n, l AS lv, CAST(held AS DOUBLE) * pow(2e0, 2 * l) AS rho FROM lvls WHERE nodes <= {GRAPH_LEAF}
+  QUALIFY row_number() OVER (PARTITION BY g, x, y ORDER BY l) = 1),
+node AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY g, x, y) AS id, rho / SUM(n) OVER () >= {GRAPH_SHARE}e0 AS dense,
+   (x + 0.5e0) * {wx / fine}e0 / 131072 - (y + 0.5e0) * {wy / fine}e0 / 8192 < {GRAPH_THRESHOLD}e0 AS goal,
+   ln(1e0 + MAX(rho) OVER () / rho) AS factor FROM rho)"""
+
+
+#: Every pair of nodes of a segment is compared by distance; no cells, no levels of an index.
+SQL_GRAPH = """RECURSIVE """ + sql_graph_nodes(
+    "SELECT o_orderkey AS record_id, o_totalprice, c_acctbal, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey") + f""",
+edges AS MATERIALIZED (SELECT a.id AS u, b.id AS v, sqrt(CAST((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS DOUBLE)) / {2**GRAPH_DEPTH}e0 * b.factor AS w
+  FROM node a JOIN node b ON a.g IS NOT DISTINCT FROM b.g AND b.x <= a.x AND b.x >= a.x - (1 << CAST({GRAPH_DEPTH} - greatest(a.lv, b.lv) AS INTEGER))
+   AND abs(a.y - b.y) <= (1 << CAST({GRAPH_DEPTH} - greatest(a.lv, b.lv) AS INTEGER)) AND a.id <> b.id AND b.dense),
+best(id, cost) USING KEY (id) AS (SELECT id, 0e0 FROM node WHERE goal AND dense
+  UNION SELECT e.u, MIN(b.cost + e.w) FROM best b JOIN edges e ON e.v = b.id LEFT JOIN recurring.best k ON k.id = e.u
+  GROUP BY e.u, k.cost HAVING k.cost IS NULL OR MIN(b.cost + e.w) < k.cost)"""
+
+
+@query("cf3_record_graph", f"""
+WITH {SQL_GRAPH}
+SELECT record_id, CAST(node.lv AS INTEGER) AS level, goal, dense, round(cost, 6) AS path_cost
+FROM rec LEFT JOIN node ON rec.g IS NOT DISTINCT FROM node.g AND rec.x = node.x AND rec.y = node.y LEFT JOIN best ON best.id = node.id""")
+def cf3_graph(t):
+    return p.look_up_records(graph_records(t), graph_paths(t), GRAPH, GRAPH_DEPTH, ["c_mktsegment"]).select(
+        "record_id", "level", "goal", "dense", r("path_cost"))
