@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import join_bounded, materialize, scratch_path
 
 NODE_LIMIT = float(2**53)  # lattice numbers beyond it are no longer exact
+FOLD_EVERY = 8
 
 
 def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequence[str],
@@ -24,8 +25,9 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
     """Cheapest path of every node to a seed, along ``edges (keys, nexts, w)`` with ``w >= 0``.
 
     Only nodes whose path became better in the last round send offers, and a round writes only the
-    nodes it made better, to the shared folder: a lost executor costs a round at most.  Of equally
-    dear paths the one with fewer steps wins, then the smallest next node.
+    nodes it made better, to the shared folder: a lost executor costs a round at most.  Every
+    ``FOLD_EVERY`` rounds what was written is folded to one row per reached node, so a round reads few
+    files.  Of equally dear paths the one with fewer steps wins, then the smallest next node.
 
     Returns the reached nodes ``(keys, path_cost, path_steps, nexts)``, how many nodes each round
     made better (the seeds first), and whether rounds were left when ``max_steps`` ended them.
@@ -38,32 +40,40 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
                          *[F.lit(None).cast(seeds.schema[k].dataType).alias(n) for k, n in zip(keys, nexts)])
     schema = first.schema
 
-    def read(rounds: Sequence[int]) -> DataFrame:
-        return spark.read.schema(schema).parquet(*[f"{folder}/{i}" for i in rounds])
+    def read(*names: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{folder}/{name}" for name in names])
 
     def write(rows: DataFrame, i: int) -> int:
         seen = Observation()
         rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{i}")
+        written.append(str(i))
         return seen.get["n"]
 
+    def folded() -> DataFrame:
+        return read(*written).groupBy(*keys).agg(F.min(F.struct(*value)).alias("b")).select(*keys, "b.*")
+
     def better(i: int) -> DataFrame:
         """Nodes for which an offer of round ``i``'s nodes beats what they have."""
-        ahead = read([i]).select(*[F.col(k).alias(n) for k, n in zip(keys, nexts)], "path_cost", "path_steps")
+        ahead = read(str(i)).select(*[F.col(k).alias(n) for k, n in zip(keys, nexts)], "path_cost", "path_steps")
         offers = edges.join(ahead, nexts).select(
             *keys, (F.col("path_cost") + F.col("w")).alias("path_cost"), (F.col("path_steps") + 1).alias("path_steps"), *nexts)
         both = offers.select(*keys, *value, F.lit(True).alias("new")).unionByName(
-            read(range(i + 1)).select(*keys, *value, F.lit(False).alias("new")))
+            read(*written).select(*keys, *value, F.lit(False).alias("new")))
         pick = lambda new: F.min(F.when(F.col("new") == new, F.struct(*value)))
         best = both.groupBy(*keys).agg(pick(True).alias("offer"), pick(False).alias("known"))
         return best.where(F.col("offer").isNotNull() & (F.col("known").isNull() | (F.col("offer") < F.col("known")))).select(
             *keys, "offer.*")
 
+    written: list[str] = []
     lowered = [write(first, 0)]
     while lowered[-1] and (max_steps is None or len(lowered) <= max_steps):
-        lowered.append(write(better(len(lowered) - 1), len(lowered)))
+        i = len(lowered)
+        if i % FOLD_EVERY == 0:
+            folded().write.parquet(f"{folder}/to-{i}")
+            written[:] = [f"to-{i}"]
+        lowered.append(write(better(i - 1), i))
     left = bool(lowered[-1]) and not better(len(lowered) - 1).isEmpty()
-    reached = read(range(len(lowered))).groupBy(*keys).agg(F.min(F.struct(*value)).alias("b")).select(*keys, "b.*")
-    return reached, lowered, left
+    return folded(), lowered, left
 
 
 # ------------------------------------------------------------------ neighbour graph over records
