@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edge_rank, psi_term, safe_ratio
 from ..session import join_bounded
+from .brackets import bracket_quantiles
 from .prefix import distinct_counts, exact_quantiles, prefix_sums
 
 MISSING = "(missing)"
@@ -65,7 +66,8 @@ def fit_edges(long: DataFrame, groups: Sequence[str] = ("feature",), n_bins: int
     """Interior bin edges per group from the rows given (pass the reference window only).
 
     ``exact`` interpolates quantiles by rank; ``approx`` uses a mergeable sketch, which
-    needs no shuffle of values and is the choice for continuous features at scale.
+    needs no shuffle of values and is the choice for continuous features at scale; ``bracket``
+    gives the exact ones by a few passes that shuffle bins only (see :mod:`.brackets`).
     The method is recorded with the edges.
     """
     probs = [i / n_bins for i in range(1, n_bins)]
@@ -78,6 +80,8 @@ def fit_edges(long: DataFrame, groups: Sequence[str] = ("feature",), n_bins: int
     elif method == "exact":
         counts = distinct_counts(long, groups, "value", {"n": F.lit(1)})
         edges = exact_quantiles(counts, groups, "value", "n", probs, group_bound=group_bound)
+    elif method == "bracket":
+        edges = bracket_quantiles(long, groups, "value", probs, group_bound=group_bound)[0]
     else:
         raise ValueError(f"unknown edge method {method!r}")
     return edges.withColumn("edge_method", F.lit(method))

@@ -72,10 +72,13 @@ psi_only AS (SELECT q.snapshot_year, {", ".join("q." + g.strip() for g in groups
 psi_all AS (SELECT s.*, psi FROM sizes s JOIN psi_only USING (snapshot_year, {groups}))"""
 
 
-@query("mon1_psi_numeric", f"""
+SQL_MON1 = f"""
 WITH {SQL_COHORTS}, long AS ({sql_long("cohorts", FEATURES, Y)}){sql_psi()}
 SELECT snapshot_year AS year, feature, n, round(n_missing / CAST(n AS DOUBLE), 6) AS missing_rate, round(psi, 6) AS psi
-FROM psi_all WHERE snapshot_year <> {REF_YEAR}""")
+FROM psi_all WHERE snapshot_year <> {REF_YEAR}"""
+
+
+@query("mon1_psi_numeric", SQL_MON1)
 def mon1(t):
     long = m.to_long(cohorts(t), FEATURES, Y)
     edges = m.fit_edges(reference(cohorts(t)), group_bound=len(FEATURES))
@@ -83,6 +86,15 @@ def mon1(t):
     return out.select(F.col(Y).alias("year"), "feature", "n", r("missing_rate"), r("psi"))
 
 
+@query("mon1_psi_bracket_edges", SQL_MON1)
+def mon1_bracket(t):
+    """The same report with exact edges found by passes over the rows: bins are shuffled, never values."""
+    long = m.to_long(cohorts(t), FEATURES, Y)
+    edges = m.fit_edges(reference(cohorts(t)), method="bracket", group_bound=len(FEATURES))
+    out = m.psi(long, edges, REF_YEAR, Y, group_bound=len(FEATURES))
+    return out.select(F.col(Y).alias("year"), "feature", "n", r("missing_rate"), r("psi"))
+
+
 @query("mon1_psi_with_faults", f"""
 WITH {SQL_STRESSED}, long AS ({sql_long("stressed", FEATURES, Y)}){sql_psi()},
 ref AS (SELECT feature, n_missing / CAST(n AS DOUBLE) AS ref_rate FROM psi_all WHERE snapshot_year = {REF_YEAR})
