@@ -1,17 +1,18 @@
 """Licence scans with a positional rare-token index, in Spark's own expressions.
 
-1. Every template is a sequence of words with a mandatory key phrase.  The index holds, for each word
-   of a key phrase, its postings: template and position.
-2. How many documents hold each of these words is counted over the whole corpus; few documents means
-   a high IDF.
-3. In a document, the two words of a key phrase with the highest IDF are looked up.  Each place of a
-   word, less its position in the template, says where the template would begin; only beginnings that
-   both words name stay.
-4. The key phrase is verified word by word there.  The share of the template's words that stand in
-   their places is the score.
-
-All of it is one expression per template over the words of the row: no text and no posting is
-shuffled, so a phrase that stands in a third of all documents costs no more than any other.
+1. Every template is a sequence of words with a mandatory key phrase.
+2. How many documents hold each word of a key phrase is counted over the whole corpus; few documents
+   means a high IDF.  The index posts a template once, under the rarest word of its key phrase, with
+   that word's position and the next rarest word at its distance.
+3. A document's held words are taken by falling IDF and looked up.  A template has all its key words in
+   the document or cannot stand there, and then its rarest word is among the held ones: one look-up a
+   held word finds every template that can, and templates that are not hit cost nothing.
+4. Places of the rarest word that have the second one at its distance say where the key phrase would
+   begin; it is verified word by word there.  The share of the template's words that stand in their
+   places is the score.
+
+The index is one map literal next to each row: no text and no posting is shuffled, so a phrase that
+stands in a third of all documents costs no more than any other.
 """
 
 from __future__ import annotations
@@ -54,75 +55,91 @@ BASE = [
     Template("cc-by-nc", "cc by nc", "cc by nc", True),
 ]
 NOTICES = [
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
-             "permission is hereby granted free of charge"),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation",
+             "gnu affero general public license"),
+    Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+             "may not use this file except in compliance with the license"),
+    Template("artistic-2", "this package is distributed under the terms of the artistic license 2 0", "artistic license 2"),
+    Template("boost", "distributed under the boost software license version 1 0", "boost software license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
              "redistribution and use in source and binary forms"),
+    Template("cc-by", "this work is licensed under a creative commons attribution", "creative commons attribution"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike", "creative commons attribution sharealike"),
+    Template("cc0", "the person who associated a work with this deed has dedicated the work to the public domain",
+             "has dedicated the work to the public domain"),
+    Template("epl-2", "are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
     Template("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license",
              "gnu general public license"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+             "permission to use copy modify and or distribute this software"),
     Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
+             "permission is hereby granted free of charge"),
     Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2"),
-    Template("cc-by", "this work is licensed under a creative commons attribution", "creative commons attribution"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable",
+             "in no event will the authors be held liable"),
 ]
 
 
+def spaced(text: Column) -> Column:
+    """The text after lower-casing A-Z, with a space for every character that is no part of a word; empty for null."""
+    between = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + between, LOWER + " " * len(between))
+
+
 def words_of(text: Column) -> Column:
-    """The words of a text after lower-casing A-Z; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), 0)
+    """The words (``WORD``) of a text after lower-casing A-Z; none for null."""
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def _array(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def word_idf(words: DataFrame, templates: Sequence[Template]) -> dict[str, float]:
-    """IDF of every key-phrase word over all rows of ``words`` (column ``__words``).
+def word_idf(docs: DataFrame, templates: Sequence[Template], text_col: str = "text") -> dict[str, float]:
+    """IDF of every key-phrase word over all rows; the texts are searched, not split.
 
-    At most as many rows as the templates have words come back, whatever the corpus.
+    One number for each of the templates' words comes back, whatever the corpus.
     """
     vocabulary = sorted({w for t in templates for w in t.key.split()})
-    n, *held = words.select(F.array_intersect("__words", _array(vocabulary)).alias("held")).agg(
-        F.count(F.lit(1)), *[F.count_if(F.array_contains("held", w)) for w in vocabulary]).first()
+    texts = docs.select(F.concat(F.lit(" "), spaced(F.col(text_col)), F.lit(" ")).alias("__spaced"))
+    n, *held = texts.agg(F.count(F.lit(1)), *[F.count_if(F.contains("__spaced", F.lit(f" {w} "))) for w in vocabulary]).first()
     return {w: math.log((n + 1) / (k + 1)) for w, k in zip(vocabulary, held)}
 
 
-def _back(places: Column, by: int) -> Column:
-    return F.transform(places, lambda i: i - F.lit(by))
-
-
-def _beginnings(template: Template, idf: dict[str, float]) -> Column:
-    """Verified places (of the key phrase) in ``__words``, null where a key word is missing."""
-    words, held = F.col("__words"), F.col("__held")
-    key = template.key.split()
-    rare = sorted(set(key), key=lambda w: (-idf[w], w))[:2]
-
-    def named(word: str) -> Column:
-        """Beginnings that the places of a word name, one list for each of its postings."""
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == F.lit(word))
-        lists = [_back(places, q) for q, w in enumerate(key) if w == word]
-        return lists[0] if len(lists) == 1 else F.array_distinct(F.flatten(F.array(*lists)))
-
-    starts = named(rare[0])
-    for word in rare[1:]:
-        starts = F.array_intersect(starts, named(word))
-    verified = F.filter(starts, lambda s: (s >= 0) & (F.slice(words, F.greatest(s, F.lit(0)) + 1, len(key)) == _array(key)))
-    return F.when(F.size(F.array_intersect(held, _array(sorted(set(key))))) == len(set(key)), verified)
-
-
-def _matched(template: Template, starts: Column) -> Column:
-    """The best share of the template's words in place, over all places of its key phrase."""
-    words, all_words = F.col("__words"), template.words.split()
-    if template.words == template.key:
-        return F.when(F.size(starts) > 0, F.lit(1.0))
-
-    def share(s: Column) -> Column:
-        hits = F.lit(0)
-        for j, w in enumerate(all_words):
-            at = s + F.lit(j - template.key_at)
-            hits = hits + F.when((at >= 0) & F.get(words, F.greatest(at, F.lit(0))).eqNullSafe(F.lit(w)), 1).otherwise(0)
-        return hits / F.lit(float(len(all_words)))
-
-    return F.array_max(F.transform(starts, share))
+def index_of(templates: Sequence[Template], idf: dict[str, float]) -> tuple[list[str], Column]:
+    """The words with postings, and the map from each to its postings."""
+    postings: dict[str, list[Column]] = {}
+    for t in templates:
+        key = t.key.split()
+        rare = sorted(set(key), key=lambda w: (-idf[w], w))
+        first, second = rare[0], rare[min(1, len(rare) - 1)]
+        fields = {"label": F.lit(t.label), "base": F.lit(t.base), "word": F.lit(first), "at": F.lit(key.index(first)),
+                  "second": F.lit(second), "distance": F.lit(key.index(second) - key.index(first)),
+                  "key": _array(key), "words": _array(t.words.split()), "key_at": F.lit(t.key_at)}
+        postings.setdefault(first, []).append(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    entries = [c for word, of in postings.items() for c in (F.lit(word), F.array(*of))]
+    return list(postings), F.create_map(*entries)
+
+
+def _places(posting: Column) -> Column:
+    """Verified places of a posting's key phrase in ``__words``, each with its label and share of words in place."""
+    words = F.col("__words")
+    both = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (
+        (F.get(words, i) == posting["word"]) & (F.get(words, i + posting["distance"]) == posting["second"])))
+    starts = F.transform(both, lambda i: i - posting["at"])
+    verified = F.filter(starts, lambda s: (s >= 0) & (
+        F.slice(words, F.greatest(s, F.lit(0)) + 1, F.size(posting["key"])) == posting["key"]))
+
+    def share(start: Column) -> Column:
+        size = F.size(posting["words"])
+        hits = F.filter(F.sequence(F.lit(0), size - 1), lambda j: (
+            F.get(words, start - posting["key_at"] + j) == F.get(posting["words"], j)))
+        return F.size(hits) / size
+
+    return F.transform(verified, lambda s: F.struct(
+        posting["label"].alias("label"), posting["base"].alias("base"), s.alias("place"), share(s).alias("share")))
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = (*BASE, *NOTICES), text_col: str = "text") -> DataFrame:
@@ -136,26 +153,25 @@ def scan(docs: DataFrame, templates: Sequence[Template] = (*BASE, *NOTICES), tex
     input called like a result are replaced.
     """
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    idf = word_idf(docs, templates, text_col)
+    posted, index = index_of(templates, idf)
     rows = without(docs.withColumn("__words", words_of(F.col(text_col))), made)
-    idf = word_idf(rows, templates)
-    rows = rows.withColumn("__held", F.array_intersect("__words", _array(sorted(idf))))
-    places = [f"__p{i}" for i in range(len(templates))]
-    rows = rows.withColumns({p: _beginnings(t, idf) for p, t in zip(places, templates)})
-    none = F.array().cast("array<int>")
-    base = F.flatten(F.array(*[F.coalesce(F.col(p), none) for p, t in zip(places, templates) if t.base]))
-
-    def labels(of: list) -> Column:
-        found = F.array(*[F.when(F.size(F.col(p)) > 0, F.lit(t.label)) for p, t in of])
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")
-
-    every = list(zip(places, templates))
-    rows = rows.withColumn("__base", base)
+    by_idf = sorted(idf, key=lambda w: (-idf[w], w))
+    rows = rows.withColumn("__held", F.array_intersect(_array(by_idf), "__words"))
+    looked_up = F.flatten(F.transform(F.array_intersect("__held", _array(posted)), lambda w: index[w]))
+    rows = rows.withColumn("__can", F.filter(looked_up, lambda c: F.size(F.array_except(c["key"], "__held")) == 0))
+    rows = rows.withColumn("__hits", F.flatten(F.transform("__can", _places)))
+    rows = rows.withColumn("__base", F.filter("__hits", lambda h: h["base"]))
+
+    def labels(hits: str) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.col(hits)["label"])), ",")
+
     return rows.withColumns({
         "n_words": F.size("__words").cast("long"),
         "n_base": F.size("__base").cast("long"),
-        "first_word": F.array_min("__base").cast("long"),
-        "last_word": F.array_max("__base").cast("long"),
-        "base_labels": labels([(p, t) for p, t in every if t.base]),
-        "labels": labels(every),
-        "score": F.coalesce(F.array_max(F.array(*[_matched(t, F.col(p)) for p, t in every])), F.lit(0.0)),
-    }).drop("__words", "__held", "__base", *places)
+        "first_word": F.array_min(F.col("__base")["place"]).cast("long"),
+        "last_word": F.array_max(F.col("__base")["place"]).cast("long"),
+        "base_labels": labels("__base"),
+        "labels": labels("__hits"),
+        "score": F.coalesce(F.array_max(F.col("__hits")["share"]), F.lit(0.0)),
+    }).drop("__words", "__held", "__can", "__hits", "__base")
