@@ -82,29 +82,25 @@ NOTICES = [
 ]
 
 
-def spaced(text: Column) -> Column:
-    """The text after lower-casing A-Z, with a space for every character that is no part of a word; empty for null."""
-    between = "".join(c for c in map(chr, range(128)) if not c.isalnum())
-    return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + between, LOWER + " " * len(between))
-
-
 def words_of(text: Column) -> Column:
     """The words (``WORD``) of a text after lower-casing A-Z; none for null."""
-    return F.array_remove(F.split(spaced(text), " "), "")
+    between = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+    spaced = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + between, LOWER + " " * len(between))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _array(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def word_idf(docs: DataFrame, templates: Sequence[Template], text_col: str = "text") -> dict[str, float]:
-    """IDF of every key-phrase word over all rows; the texts are searched, not split.
+def word_idf(words: DataFrame, templates: Sequence[Template]) -> dict[str, float]:
+    """IDF of every key-phrase word over all rows of ``words`` (column ``__words``).
 
     One number for each of the templates' words comes back, whatever the corpus.
     """
     vocabulary = sorted({w for t in templates for w in t.key.split()})
-    texts = docs.select(F.concat(F.lit(" "), spaced(F.col(text_col)), F.lit(" ")).alias("__spaced"))
-    n, *held = texts.agg(F.count(F.lit(1)), *[F.count_if(F.contains("__spaced", F.lit(f" {w} "))) for w in vocabulary]).first()
+    n, *held = words.select(F.array_intersect("__words", _array(vocabulary)).alias("held")).agg(
+        F.count(F.lit(1)), *[F.count_if(F.array_contains("held", w)) for w in vocabulary]).first()
     return {w: math.log((n + 1) / (k + 1)) for w, k in zip(vocabulary, held)}
 
 
@@ -153,11 +149,11 @@ def scan(docs: DataFrame, templates: Sequence[Template] = (*BASE, *NOTICES), tex
     input called like a result are replaced.
     """
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    idf = word_idf(docs, templates, text_col)
-    posted, index = index_of(templates, idf)
     rows = without(docs.withColumn("__words", words_of(F.col(text_col))), made)
+    idf = word_idf(rows, templates)
+    posted, index = index_of(templates, idf)
     by_idf = sorted(idf, key=lambda w: (-idf[w], w))
-    rows = rows.withColumn("__held", F.array_intersect(_array(by_idf), "__words"))
+    rows = rows.withColumn("__held", F.array_intersect(_array(by_idf), F.array_intersect("__words", _array(by_idf))))
     looked_up = F.flatten(F.transform(F.array_intersect("__held", _array(posted)), lambda w: index[w]))
     rows = rows.withColumn("__can", F.filter(looked_up, lambda c: F.size(F.array_except(c["key"], "__held")) == 0))
     rows = rows.withColumn("__hits", F.flatten(F.transform("__can", _places)))
