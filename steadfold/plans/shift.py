@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_mille
 from ..operators import shift as m
-from ..session import literal_table
+from ..operators import sketches
+from ..session import literal_table, materialize
 from .registry import query
 from .views import (
     CLASSES, FEATURES, PROBS, REF_YEAR, SQL_COHORTS, SQL_OVR, SQL_QUALITY, SQL_SCORED, cohorts, quality, r,
@@ -369,3 +370,20 @@ def mon1_sketch(t):
     edges = m.fit_edges(reference(cohorts(t)), method="approx", group_bound=len(FEATURES))
     out = m.psi(long, edges, REF_YEAR, Y, group_bound=len(FEATURES))
     return out.select(F.col(Y).alias("year"), "feature", "n", r("missing_rate"), r("psi"))
+
+
+@query("mon1_stored_sketches", f"""
+WITH {SQL_STRESSED}, long AS ({sql_long("stressed", FEATURES, Y)})
+SELECT snapshot_year AS year, feature, COUNT(*) AS n, round(1 - COUNT(value) / CAST(COUNT(*) AS DOUBLE), 6) AS missing_rate,
+       COUNT(value) > 0 AS ranks_hold, COUNT(value) > 0 AS psi_holds
+FROM long WHERE snapshot_year <> {REF_YEAR} GROUP BY ALL""")
+def mon1_stored(t):
+    """Every year against stored summaries; the bounds they state are held against counts of all rows."""
+    long = m.to_long(stressed(t), FEATURES, Y)
+    kept = materialize(sketches.summarize(long, Y), "summaries")
+    report = sketches.stored_psi(kept, REF_YEAR, Y)
+    out = sketches.audit(report, long, REF_YEAR, Y, group_bound=len(FEATURES))
+    within = F.col("counted_psi").between(F.col("psi_low"), F.col("psi_high"))
+    return out.select(F.col(Y).alias("year"), "feature", "n", r("missing_rate"),
+                      F.coalesce(F.col("worst_rank") <= F.col("rank_error"), F.lit(False)).alias("ranks_hold"),
+                      F.coalesce(within, F.lit(False)).alias("psi_holds"))
