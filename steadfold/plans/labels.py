@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import labels as m
-from ..operators import training
+from ..operators import model_tables, training
 from ..operators.ingest import assign_split
 from ..operators.reliability import class_metrics, metrics_long, ranking_metrics
-from ..session import materialize
+from ..session import join_bounded, materialize
 from .registry import query
 from .reliability import AUROC, SQL_RANK
 from .shift import SQL_STRESSED, stressed
@@ -145,6 +145,25 @@ def lab9(t):
         "record_id", "model_version", "predicted", F.round(F.col("probs")["1"], 6).alias("p1"))
 
 
+@query("lab9_table_scores", f"""
+WITH {SQL_SHAPES}, lab AS (SELECT {sql_hash("'frozen|' || s.record_id")} % 1000 AS h FROM shapes s JOIN labels l ON l.doc_id = s.record_id WHERE quality IS NOT NULL),
+c AS (SELECT COUNT(*) FILTER (h < {SPLITS["reference"]}) AS n_fit, COUNT(*) AS n_scored FROM lab)
+SELECT class, feature, n_fit, n_scored, TRUE AS at_optimum, TRUE AS scores_agree
+FROM c, (SELECT unnest(['0', '1']) AS class), (SELECT unnest(['{model_tables.INTERCEPT}', {", ".join(f"'{f}'" for f in MODEL_FEATURES)}]) AS feature)""")
+def lab9_table(t):
+    """The fitted model as a table: every labelled row scored by it as by the model, and the fit is an optimum."""
+    data, classes = materialize(text_data(t), "text"), ["0", "1"]
+    model = training.train(data.where("split = 'reference'"), "logistic", MODEL_FEATURES, classes=classes)
+    own = training.score(data, model, "1.0", classes, keep=["record_id", "label", "split", *MODEL_FEATURES]).withColumnRenamed("probs", "model_probs")
+    table = model_tables.logistic_table(t.spark, model, "1.0", MODEL_FEATURES, classes)
+    scored = materialize(model_tables.score_by_table(own, table, MODEL_FEATURES, n_versions=1), "scored")
+    apart = F.max(F.coalesce(F.abs(F.col("probs")["1"] - F.col("model_probs")["1"]), F.lit(1.0)))  # a missing score agrees with nothing
+    seen = scored.agg(F.count("*").alias("n_scored"), (apart < 1e-9).alias("scores_agree")).withColumn("model_version", F.lit("1.0"))
+    at = model_tables.gradient(scored.where("split = 'reference'"), MODEL_FEATURES).withColumn("model_version", F.lit("1.0"))
+    return join_bounded(at, seen, ["model_version"], rows=1).select(
+        "class", "feature", F.col("n").alias("n_fit"), "n_scored", (F.abs("gradient") < 1e-3).alias("at_optimum"), "scores_agree")
+
+
 @query("lab7_three_class_model")
 def lab7_three(t):
     data = cohorts(t).withColumnRenamed("l_returnflag", "label")
