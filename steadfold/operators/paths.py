@@ -11,6 +11,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -18,10 +20,12 @@ from ..session import join_bounded, materialize, scratch_path
 
 NODE_LIMIT = float(2**53)  # lattice numbers beyond it are no longer exact
 FOLD_EVERY = 8
+STEP_ROUNDS = 8  # after so many rounds of one step each, paths known to be long go on block by block
+BLOCK_NODES = 1 << 14
 
 
 def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequence[str],
-          max_steps: int | None = None) -> tuple[DataFrame, list[int], bool]:
+          max_steps: int | None = None, near: Sequence[Column] = ()) -> tuple[DataFrame, list[int], bool]:
     """Cheapest path of every node to a seed, along ``edges (keys, nexts, w)`` with ``w >= 0``.
 
     Only nodes whose path became better in the last round send offers, and a round writes only the
@@ -29,6 +33,10 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
     ``FOLD_EVERY`` rounds what was written is folded to one row per reached node, so a round reads few
     files.  Of equally dear paths the one with fewer steps wins, then the smallest next node.
 
+    Every round is a job whose plan and tasks the driver keeps track of.  With ``near``, columns of the
+    ``keys`` by whose order nodes close to each other come close, rounds after the first ``STEP_ROUNDS`` take
+    all steps inside a block of nodes at once (see :func:`_by_blocks`); a step limit is kept step by step.
+
     Returns the reached nodes ``(keys, path_cost, path_steps, nexts)``, how many nodes each round
     made better (the seeds first), and whether rounds were left when ``max_steps`` ended them.
     """
@@ -68,6 +76,9 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
     lowered = [write(first, 0)]
     while lowered[-1] and (max_steps is None or len(lowered) <= max_steps):
         i = len(lowered)
+        if near and max_steps is None and i > STEP_ROUNDS:
+            best, more = _by_blocks(edges, folded(), keys, nexts, near)
+            return best, lowered + more, False
         if i % FOLD_EVERY == 0:
             folded().write.parquet(f"{folder}/to-{i}")
             written[:] = [f"to-{i}"]
@@ -76,6 +87,86 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
     return folded(), lowered, left
 
 
+def _settled(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """All steps inside one block: nodes of ``edges.u`` that got a better path than the one in ``known``."""
+    e = edges.sort_values("u", kind="stable")
+    ids = np.unique(np.concatenate([e["u"], e["v"], known["id"]]))
+    u, v, w = np.searchsorted(ids, e["u"]), np.searchsorted(ids, e["v"]), e["w"].to_numpy()
+    cost, steps, ahead = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+    at = np.searchsorted(ids, known["id"])
+    cost[at], steps[at], ahead[at] = known["path_cost"], known["path_steps"], known["ahead"]
+    first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+    mine, many, most = u[first], np.diff(np.append(first, len(u))), np.iinfo(np.int64).max
+    changed = np.zeros(len(ids), bool)
+    while len(mine):
+        offer = cost[v] + w
+        dear = np.minimum.reduceat(offer, first)
+        long = np.where(offer == np.repeat(dear, many), steps[v] + 1, most)
+        short = np.minimum.reduceat(long, first)
+        to = np.minimum.reduceat(np.where(long == np.repeat(short, many), ids[v], most), first)
+        tie = (dear == cost[mine]) & np.isfinite(dear)
+        better = (dear < cost[mine]) | tie & ((short < steps[mine]) | (short == steps[mine]) & (to < ahead[mine]))
+        if not better.any():
+            break
+        own = mine[better]
+        cost[own], steps[own], ahead[own], changed[own] = dear[better], short[better], to[better], True
+    return pd.DataFrame({"id": ids[changed], "path_cost": cost[changed], "path_steps": steps[changed].astype(np.int32), "ahead": ahead[changed]})
+
+
+def _by_blocks(edges: DataFrame, found: DataFrame, keys: Sequence[str], nexts: Sequence[str],
+               near: Sequence[Column]) -> tuple[DataFrame, list[int]]:
+    """:func:`relax` from ``found`` on, to the end, with all steps inside a block of nodes in one round.
+
+    Blocks are ranges of the order ``near``, of about ``BLOCK_NODES`` nodes however many share a region.  A
+    block takes part in a round when a node outside that its edges lead to became better, so rounds are as many as
+    blocks that a path crosses.  Nodes are numbered in the order of their keys, so that the smallest next node is as before.
+    """
+    spark = edges.sparkSession
+    folder = scratch_path(spark, "blocks")
+    every = materialize(edges.select(*keys).unionByName(edges.select(*[F.col(n).alias(k) for k, n in zip(keys, nexts)])).unionByName(
+        found.select(*keys)).distinct(), "path-nodes")
+    blocks = -(-every.count() // BLOCK_NODES)
+    placed = materialize(every.repartitionByRange(blocks, *near).withColumn("block", F.spark_partition_id()), "path-blocks")
+    nodes = materialize(placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id()), "path-ids")
+    ahead = nodes.select(*[F.col(k).alias(n) for k, n in zip(keys, nexts)], F.col("id").alias("ahead"), F.col("block").alias("ahead_block"))
+    steps = materialize(edges.join(nodes, list(keys)).join(ahead, list(nexts)).select(
+        F.col("id").alias("u"), F.col("ahead").alias("v"), "w", "block", "ahead_block"), "path-edges")
+    outside = materialize(steps.where("block <> ahead_block").select(F.col("v").alias("id"), "block").distinct(), "path-borders")
+    seen_by = nodes.select("id", "block").unionByName(outside)
+    first = found.join(nodes, list(keys)).join(ahead.drop("ahead_block"), list(nexts), "left").select("id", "path_cost", "path_steps", "ahead")
+    schema = first.schema
+    written: list[str] = []
+
+    def write(rows: DataFrame) -> int:
+        seen, name = Observation(), str(len(lowered))
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{name}")
+        written.append(name)
+        return seen.get["n"]
+
+    def read(*names: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{folder}/{name}" for name in names])
+
+    def folded() -> DataFrame:
+        return read(*written).groupBy("id").agg(F.min(F.struct("path_cost", "path_steps", "ahead")).alias("b")).select("id", "b.*")
+
+    lowered: list[int] = []
+    write(first)
+    while not lowered or lowered[-1]:
+        taking = steps.select("u", "v", "w", "block")
+        known = seen_by
+        if lowered:  # in the first round all blocks take part
+            active = read(written[-1]).join(outside, "id").select("block").distinct()
+            taking, known = taking.join(active, "block", "left_semi"), known.join(active, "block", "left_semi")
+        known = known.join(folded(), "id").select("block", "id", "path_cost", "path_steps", F.coalesce("ahead", F.lit(-1)).alias("ahead"))
+        lowered.append(0)
+        lowered[-1] = write(taking.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_settled, schema))
+        if len(written) == FOLD_EVERY:
+            folded().write.parquet(f"{folder}/to-{len(lowered)}")
+            written[:] = [f"to-{len(lowered)}", written[-1]]
+    best = folded().join(nodes.select(*keys, "id"), "id").join(ahead.drop("ahead_block"), "ahead", "left")
+    return best.select(*keys, "path_cost", "path_steps", *nexts), lowered
+
+
 # ------------------------------------------------------------------ neighbour graph over records
 
 
@@ -189,6 +280,12 @@ def neighbour_edges(nodes: DataFrame, widths: Mapping[str, float], depth: int,
         "g", "s.*").withColumn("next_g", F.col("g"))
 
 
+def _interleaved(qs: Sequence[str], bits: int = 24) -> Column:
+    """The low ``bits`` bits of all columns, taken in turns from the highest: close values mostly have close results."""
+    taken = [F.substring(F.lpad(F.bin(F.col(q)), 64, "0"), 64 - b, 1) for b in range(bits - 1, -1, -1) for q in qs]
+    return F.concat(*taken)
+
+
 def record_graph_paths(nodes: DataFrame, widths: Mapping[str, float], depth: int, directions: Mapping[str, Sequence[int]],
                        max_steps: int | None = None) -> tuple[DataFrame, list[int], bool]:
     """``nodes`` with the cheapest path to a dense goal; also :func:`relax`'s rounds and limit.
@@ -199,7 +296,7 @@ def record_graph_paths(nodes: DataFrame, widths: Mapping[str, float], depth: int
     edges = materialize(neighbour_edges(nodes, widths, depth, directions), "graph-edges")
     keys = ["g", *[f"q_{f}" for f in widths]]
     nexts = ["next_g", *[f"next_{f}" for f in widths]]
-    best, lowered, left = relax(edges, nodes.where("goal and dense"), keys, nexts, max_steps)
+    best, lowered, left = relax(edges, nodes.where("goal and dense"), keys, nexts, max_steps, [F.col("g"), _interleaved(keys[1:])])
     return nodes.join(best.drop("next_g"), keys, "left"), lowered, left
 
 

@@ -113,3 +113,23 @@ def test_limit_empty_and_wrong(spark):
     assert lowered == [0] and not left
     with pytest.raises(ValueError):
         p.record_nodes(spark.createDataFrame(rows, SCHEMA), WIDTHS, DEPTH, 0, F.col("x"), LIMIT, SHARE)
+
+
+def test_blocks_equal_single_steps(spark, monkeypatch):
+    """Rounds by blocks, many of them small, give the rows of rounds that take one step each."""
+    rows = records(260, 5)
+    want = sorted(map(str, graph(spark, rows, 10**6)[0].collect()))
+    monkeypatch.setattr(p, "BLOCK_NODES", 25)
+    monkeypatch.setattr(p, "STEP_ROUNDS", 1)
+    got, lowered, left = graph(spark, rows)
+    assert sorted(map(str, got.collect())) == want and lowered[-1] == 0 and not left
+
+
+def test_rounds_do_not_grow_with_steps(spark, monkeypatch):
+    """A path of 300 steps crosses a few blocks; every step was a job of its own, which filled the driver's memory."""
+    monkeypatch.setattr(p, "BLOCK_NODES", 100)
+    monkeypatch.setattr(p, "STEP_ROUNDS", 2)
+    edges = spark.range(1, 301).selectExpr("id AS k", "id - 1 AS next_k", "0.5D AS w")
+    best, lowered, left = p.relax(edges, spark.range(1).selectExpr("id AS k"), ["k"], ["next_k"], near=[F.col("k")])
+    assert sorted(map(tuple, best.collect())) == [(i, i / 2, i, i - 1 if i else None) for i in range(301)]
+    assert sum(lowered) == 301 and lowered[-1] == 0 and not left and len(lowered) < 15
