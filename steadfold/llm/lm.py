@@ -36,7 +36,9 @@ from .vocabulary import frequent, word_counts
 ENDINGS = 1024  # codes of words outside the vocabulary, by a hash of their last two bytes; only context
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 10  # hashed feature rows of the two factors
 CHUNK = 16384  # tokens of one gradient step
-SPAN = 1 << 16  # tokens scored at once
+SPAN = 1 << 14  # tokens scored at once
+TILE = 1024  # tokens whose class scores are worked on at once, so that they stay in a core's cache
+TURNS = 16
 TASK_TOKENS = 3_000_000  # a task of a round takes about so many, so changes sent are few beside the texts
 RATE = 0.08
 MIXES = np.array([[1, 0, 0], [1, 3, 0], [0, 1, 0], [0, 0, 1]], np.uint32)  # which words before make a feature
@@ -145,21 +147,54 @@ def features(before: np.ndarray, rows: int, templates: Sequence[int]) -> np.ndar
     return out
 
 
-def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _logits(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``bias`` and the weights of each token's rows, summed up."""
+    z = weights.take(rows[0], axis=0, mode="clip")
+    z += bias
+    for r in rows[1:]:
+        z += weights.take(r, axis=0, mode="clip")
+    return z
+
+
+def _softmax(z: np.ndarray, place: np.ndarray, learn: bool) -> np.ndarray | None:
+    """The log probability of each token's ``place``; with ``learn`` instead ``z`` becomes the gradient by ``z``."""
+    every = np.arange(len(z))
     z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(axis=1, keepdims=True)
-    p /= total
-    return p, z - np.log(total)
+    own = None if learn else z[every, place]
+    np.exp(z, out=z)
+    total = z.sum(axis=1)
+    if not learn:
+        return own - np.log(total)
+    z /= total[:, None]
+    z[every, place] -= 1
+    return None
 
 
 def _row_sums(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct weight rows, how often each is met, and the sum of its tokens' gradients."""
+    """Distinct weight rows by falling number of meetings, that number, and the sum of their tokens' gradients.
+
+    The first ``TURNS`` tokens of all rows are added turn by turn; what rows met more often have left, row by row.
+    """
     flat = rows.reshape(-1)
     order = np.argsort(flat.astype(np.uint16), kind="stable")
-    ranked = flat[order]
+    ranked, token = flat[order], order % len(grad)
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    return ranked[first], np.diff(np.append(first, len(ranked))), np.add.reduceat(grad[order % len(grad)], first, axis=0)
+    met = np.diff(np.append(first, len(ranked)))
+    by = np.argsort(-met, kind="stable")
+    first, met = first[by], met[by]
+    sums = grad.take(token[first], axis=0, mode="clip")
+    for turn in range(1, TURNS):
+        more = np.searchsorted(-met, -turn)  # rows met more than ``turn`` times
+        if not more:
+            break
+        sums[:more] += grad.take(token[first[:more] + turn], axis=0, mode="clip")
+    for i in range(np.searchsorted(-met, -TURNS)):
+        sums[i] += grad.take(token[first[i] + TURNS : first[i] + met[i]], axis=0, mode="clip").sum(axis=0)
+    return ranked[first], met, sums
+
+
+def _squares(grad: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
 
 
 class _Learner:
@@ -167,10 +202,16 @@ class _Learner:
 
     def __init__(self, model: Model):
         self.model, self.class_of = model, model.class_of
-        self.cw, self.ww = model.class_weights.copy(), model.word_weights.copy()
-        self.c_seen, self.w_seen = np.zeros(len(self.cw), np.int64), np.zeros(len(self.ww), np.int64)
+        self.cw = model.class_weights.copy()
+        self.blocks = [np.ascontiguousarray(model.word_weights[:, lo:hi]) for lo, hi in zip(model.starts, model.starts[1:])]  # a class each
+        rows = len(model.word_weights)
+        self.c_seen, self.w_seen = np.zeros(len(self.cw), np.int64), np.zeros(rows, np.int64)
         self.c_past = np.full(len(self.cw), 1e-2, np.float32)
-        self.w_past = np.full((len(self.ww), len(model.starts)), 1e-2, np.float32)
+        self.w_past = np.full((rows, len(model.starts)), 1e-2, np.float32)
+
+    @property
+    def ww(self) -> np.ndarray:
+        return np.concatenate([self.model.word_weights[:, :0], *self.blocks], axis=1)
 
     def step(self, target: np.ndarray, before: np.ndarray, learn: bool, scores: np.ndarray | None = None) -> None:
         """One gradient step, or with ``scores`` the log probability of each token."""
@@ -179,17 +220,18 @@ class _Learner:
         klass = np.zeros(len(target), np.int64)
         klass[inside] = self.class_of[target[inside]]
         rows = features(before, CLASS_ROWS, range(len(MIXES)))
-        z = m.class_bias + self.cw[rows[0]]
-        for r in rows[1:]:
-            z += self.cw[r]
-        p, logs = _softmax(z)
-        every = np.arange(len(target))
-        if scores is not None:
-            scores += logs[every, klass]
+        slopes = []
+        for lo in range(0, len(target), TILE):
+            tile = slice(lo, lo + TILE)
+            z = _logits(m.class_bias, self.cw, rows[:, tile])
+            logs = _softmax(z, klass[tile], learn)
+            if learn:
+                slopes.append(z)
+            else:
+                scores[tile] += logs
         if learn:
-            p[every, klass] -= 1
-            at, met, grad = _row_sums(rows, p)
-            self.c_past[at] += (grad * grad).mean(axis=1)
+            at, met, grad = _row_sums(rows, np.concatenate(slopes))
+            self.c_past[at] += _squares(grad)
             self.cw[at] -= RATE * grad / np.sqrt(self.c_past[at])[:, None]
             self.c_seen[at] += met
         rows = features(before, WORD_ROWS, WORD_FEATURES)
@@ -200,19 +242,16 @@ class _Learner:
             lo, hi = m.starts[k - 1], m.starts[k]
             if not len(own) or hi - lo == 1:
                 continue
-            z = m.word_bias[lo:hi] + self.ww[rows[0, own], lo:hi]
-            for r in rows[1:]:
-                z += self.ww[r[own], lo:hi]
-            p, logs = _softmax(z)
-            place = np.arange(len(own)), target[own] - lo
-            if scores is not None:
-                scores[own] += logs[place]
+            block, met_rows, place = self.blocks[k - 1], rows[:, own], target[own] - lo
+            z = _logits(m.word_bias[lo:hi], block, met_rows)
+            logs = _softmax(z, place, learn)
             if learn:
-                p[place] -= 1
-                at, met, grad = _row_sums(rows[:, own], p)
-                self.w_past[at, k] += (grad * grad).mean(axis=1)
-                self.ww[at, lo:hi] -= RATE * grad / np.sqrt(self.w_past[at, k])[:, None]
+                at, met, grad = _row_sums(met_rows, z)
+                self.w_past[at, k] += _squares(grad)
+                block[at] -= RATE * grad / np.sqrt(self.w_past[at, k])[:, None]
                 self.w_seen[at] += met
+            else:
+                scores[own] += logs
 
 
 def _streams(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
