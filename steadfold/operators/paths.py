@@ -95,7 +95,7 @@ def _settled(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     cost, steps, ahead = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.full(len(ids), -1)
     at = np.searchsorted(ids, known["id"])
     cost[at], steps[at], ahead[at] = known["path_cost"], known["path_steps"], known["ahead"]
-    first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+    first = np.flatnonzero(np.append(True, u[1:] != u[:-1])[: len(u)])  # a block may have no edges
     mine, many, most = u[first], np.diff(np.append(first, len(u))), np.iinfo(np.int64).max
     changed = np.zeros(len(ids), bool)
     while len(mine):

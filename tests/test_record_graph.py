@@ -133,3 +133,13 @@ def test_rounds_do_not_grow_with_steps(spark, monkeypatch):
     best, lowered, left = p.relax(edges, spark.range(1).selectExpr("id AS k"), ["k"], ["next_k"], near=[F.col("k")])
     assert sorted(map(tuple, best.collect())) == [(i, i / 2, i, i - 1 if i else None) for i in range(301)]
     assert sum(lowered) == 301 and lowered[-1] == 0 and not left and len(lowered) < 15
+
+
+def test_block_without_edges(spark, monkeypatch):
+    """The seed is a block of its own, and no edge begins there."""
+    monkeypatch.setattr(p, "BLOCK_NODES", 1)
+    monkeypatch.setattr(p, "STEP_ROUNDS", 1)
+    edges = spark.range(1, 4).selectExpr("id AS k", "id - 1 AS next_k", "0.5D AS w")
+    best, lowered, left = p.relax(edges, spark.range(1).selectExpr("id AS k"), ["k"], ["next_k"], near=[F.col("k")])
+    assert sorted(map(tuple, best.collect())) == [(i, i / 2, i, i - 1 if i else None) for i in range(4)]
+    assert lowered[-1] == 0 and not left
