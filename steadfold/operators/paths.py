@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import join_bounded, materialize, scratch_path
@@ -52,10 +52,9 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
         return spark.read.schema(schema).parquet(*[f"{folder}/{name}" for name in names])
 
     def write(rows: DataFrame, i: int) -> int:
-        seen = Observation()
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{i}")
+        rows.write.parquet(f"{folder}/{i}")
         written.append(str(i))
-        return seen.get["n"]
+        return read(str(i)).count()  # an Observation would stay in the session, and model training could not be sent to tasks
 
     def folded() -> DataFrame:
         return read(*written).groupBy(*keys).agg(F.min(F.struct(*value)).alias("b")).select(*keys, "b.*")
@@ -138,10 +137,10 @@ def _by_blocks(edges: DataFrame, found: DataFrame, keys: Sequence[str], nexts: S
     written: list[str] = []
 
     def write(rows: DataFrame) -> int:
-        seen, name = Observation(), str(len(lowered))
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{name}")
+        name = str(len(lowered))
+        rows.write.parquet(f"{folder}/{name}")
         written.append(name)
-        return seen.get["n"]
+        return read(name).count()
 
     def read(*names: str) -> DataFrame:
         return spark.read.schema(schema).parquet(*[f"{folder}/{name}" for name in names])
