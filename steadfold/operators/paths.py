@@ -8,24 +8,28 @@ records share a region.
 
 from __future__ import annotations
 
+import functools
+import io
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_bounded, materialize, scratch_path
+from ..session import BROADCAST_ROW_BOUND, join_bounded, materialize, scratch_path
 
 NODE_LIMIT = float(2**53)  # lattice numbers beyond it are no longer exact
 FOLD_EVERY = 8
 STEP_ROUNDS = 8  # after so many rounds of one step each, paths known to be long go on block by block
-BLOCK_NODES = 1 << 14
+STEP_NODES = 1 << 10  # and at once where a round made more nodes better
+BLOCK_NODES = 1 << 15
+PIECE = 1 << 22  # bytes of a block's steps in one row
 
 
-def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequence[str],
-          max_steps: int | None = None, near: Sequence[Column] = ()) -> tuple[DataFrame, list[int], bool]:
+def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequence[str], max_steps: int | None = None,
+          near: Sequence[Column] = (), nodes: DataFrame | None = None) -> tuple[DataFrame, list[int], bool]:
     """Cheapest path of every node to a seed, along ``edges (keys, nexts, w)`` with ``w >= 0``.
 
     Only nodes whose path became better in the last round send offers, and a round writes only the
@@ -34,8 +38,9 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
     files.  Of equally dear paths the one with fewer steps wins, then the smallest next node.
 
     Every round is a job whose plan and tasks the driver keeps track of.  With ``near``, columns of the
-    ``keys`` by whose order nodes close to each other come close, rounds after the first ``STEP_ROUNDS`` take
-    all steps inside a block of nodes at once (see :func:`_by_blocks`); a step limit is kept step by step.
+    ``keys`` by whose order nodes close to each other come close, rounds after the first ``STEP_ROUNDS``, or after
+    one that made more than ``STEP_NODES`` nodes better, take all steps inside a block of nodes at once (see
+    :func:`_by_blocks`); a step limit is kept step by step.  ``nodes`` may give the keys of all nodes, if they are at hand.
 
     Returns the reached nodes ``(keys, path_cost, path_steps, nexts)``, how many nodes each round
     made better (the seeds first), and whether rounds were left when ``max_steps`` ended them.
@@ -62,7 +67,7 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
     def better(i: int) -> DataFrame:
         """Nodes for which an offer of round ``i``'s nodes beats what they have."""
         ahead = read(str(i)).select(*[F.col(k).alias(n) for k, n in zip(keys, nexts)], "path_cost", "path_steps")
-        offers = edges.join(ahead, nexts).select(
+        offers = edges.join(_unsent(ahead, lowered[i]), nexts).select(
             *keys, (F.col("path_cost") + F.col("w")).alias("path_cost"), (F.col("path_steps") + 1).alias("path_steps"), *nexts)
         both = offers.select(*keys, *value, F.lit(True).alias("new")).unionByName(
             read(*written).select(*keys, *value, F.lit(False).alias("new")))
@@ -75,8 +80,8 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
     lowered = [write(first, 0)]
     while lowered[-1] and (max_steps is None or len(lowered) <= max_steps):
         i = len(lowered)
-        if near and max_steps is None and i > STEP_ROUNDS:
-            best, more = _by_blocks(edges, folded(), keys, nexts, near)
+        if near and max_steps is None and (i > STEP_ROUNDS or lowered[-1] > STEP_NODES):
+            best, more = _by_blocks(edges, folded(), keys, nexts, near, nodes)
             return best, lowered + more, False
         if i % FOLD_EVERY == 0:
             folded().write.parquet(f"{folder}/to-{i}")
@@ -86,84 +91,125 @@ def relax(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], nexts: Sequen
     return folded(), lowered, left
 
 
-def _settled(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """All steps inside one block: nodes of ``edges.u`` that got a better path than the one in ``known``."""
-    e = edges.sort_values("u", kind="stable")
-    ids = np.unique(np.concatenate([e["u"], e["v"], known["id"]]))
-    u, v, w = np.searchsorted(ids, e["u"]), np.searchsorted(ids, e["v"]), e["w"].to_numpy()
+def _unsent(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` of a join, kept from a broadcast when it has many rows: files are small where values repeat, and Spark would
+    decide by their size."""
+    return side if rows <= BROADCAST_ROW_BOUND else side.hint("merge")
+
+
+def _packed(key: tuple, steps: pd.DataFrame) -> pd.DataFrame:
+    """The steps of a block by the node they lead to, as arrays in a few rows; ``u < 0`` says that block ``-1 - u`` has a step to ``v``."""
+    u, v, w = (steps[c].to_numpy() for c in ("u", "v", "w"))
+    seen, order = u < 0, np.argsort(v, kind="stable")
+    order = order[~seen[order]]
+    ids = np.unique(np.concatenate([u[~seen], v]))
+    by, at = np.unique(np.stack([-1 - u[seen], np.searchsorted(ids, v[seen])]), axis=1)
+    file = io.BytesIO()
+    np.savez(file, ids=ids, start=np.append(np.searchsorted(v[order], ids), len(order)), u=np.searchsorted(ids, u[order]).astype(np.int32),
+             w=w[order], seen_by=by.astype(np.int32), seen_at=at.astype(np.int32))
+    data = file.getvalue()
+    cuts = range(0, len(data), PIECE)
+    return pd.DataFrame({"block": [key[0]] * len(cuts), "piece": range(len(cuts)), "data": [data[i : i + PIECE] for i in cuts]})
+
+
+def _settled(block: int, packed: pd.DataFrame, known: pd.DataFrame, begun: bool) -> pd.DataFrame:
+    """All steps inside one block: its nodes that got a better path than the one in ``known``, and copies of them for the blocks that see them.
+
+    A block that has ``begun`` is settled but for the nodes outside; else all its paths are new to the others.
+    """
+    columns = ["block", "id", "path_cost", "path_steps", "ahead", "own"]
+    if packed.empty or known.empty:
+        return known.reindex(columns=columns)[:0]
+    held = np.load(io.BytesIO(b"".join(packed.sort_values("piece")["data"])))
+    ids, start, tail, weight, seen_by, seen_at = (held[c] for c in ("ids", "start", "u", "w", "seen_by", "seen_at"))
+    known = known[known["id"].isin(ids)].sort_values(["id", "path_cost", "path_steps", "ahead"]).drop_duplicates("id")
     cost, steps, ahead = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64), np.full(len(ids), -1)
-    at = np.searchsorted(ids, known["id"])
-    cost[at], steps[at], ahead[at] = known["path_cost"], known["path_steps"], known["ahead"]
-    first = np.flatnonzero(np.append(True, u[1:] != u[:-1])[: len(u)])  # a block may have no edges
-    mine, many, most = u[first], np.diff(np.append(first, len(u))), np.iinfo(np.int64).max
-    changed = np.zeros(len(ids), bool)
-    while len(mine):
-        offer = cost[v] + w
-        dear = np.minimum.reduceat(offer, first)
-        long = np.where(offer == np.repeat(dear, many), steps[v] + 1, most)
-        short = np.minimum.reduceat(long, first)
-        to = np.minimum.reduceat(np.where(long == np.repeat(short, many), ids[v], most), first)
-        tie = (dear == cost[mine]) & np.isfinite(dear)
-        better = (dear < cost[mine]) | tie & ((short < steps[mine]) | (short == steps[mine]) & (to < ahead[mine]))
-        if not better.any():
-            break
-        own = mine[better]
-        cost[own], steps[own], ahead[own], changed[own] = dear[better], short[better], to[better], True
-    return pd.DataFrame({"id": ids[changed], "path_cost": cost[changed], "path_steps": steps[changed].astype(np.int32), "ahead": ahead[changed]})
-
-
-def _by_blocks(edges: DataFrame, found: DataFrame, keys: Sequence[str], nexts: Sequence[str],
-               near: Sequence[Column]) -> tuple[DataFrame, list[int]]:
+    at, own = np.searchsorted(ids, known["id"]), known["own"].to_numpy(bool)
+    cost[at], steps[at] = known["path_cost"], known["path_steps"]
+    ahead[at] = np.where(known["ahead"] < 0, -1, np.searchsorted(ids, known["ahead"]))
+    better, told = np.zeros((2, len(ids)), bool)
+    told[at[own]] = not begun
+    new = at[~own] if begun else at
+    while len(new):
+        many = start[new + 1] - start[new]
+        edge = np.arange(many.sum()) + np.repeat(start[new] - np.cumsum(many) + many, many)
+        u, to = tail[edge], np.repeat(new, many)
+        c, n = cost[to] + weight[edge], steps[to] + 1
+        wins = (c < cost[u]) | (c == cost[u]) & ((n < steps[u]) | (n == steps[u]) & (to < ahead[u]))
+        u, to, c, n = u[wins], to[wins], c[wins], n[wins]
+        order = np.lexsort((to, n, c, u))
+        first = order[np.append(True, u[order][1:] != u[order][:-1])[: len(order)]]
+        new = u[first]
+        cost[new], steps[new], ahead[new], better[new] = c[first], n[first], to[first], True
+    sent = (better | told)[seen_at]
+    mine = np.flatnonzero(better)
+    node = np.append(mine, seen_at[sent])
+    return pd.DataFrame({
+        "block": np.append(np.full(len(mine), block, np.int32), seen_by[sent]), "id": ids[node], "path_cost": cost[node],
+        "path_steps": steps[node].astype(np.int32), "ahead": np.where(ahead[node] < 0, -1, ids[ahead[node]]),
+        "own": np.arange(len(node)) < len(mine)})
+
+
+def _settling(begun: bool) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    return lambda key, packed, known: _settled(key[0], packed, known, begun)
+
+
+def _by_blocks(edges: DataFrame, found: DataFrame, keys: Sequence[str], nexts: Sequence[str], near: Sequence[Column],
+               nodes: DataFrame | None) -> tuple[DataFrame, list[int]]:
     """:func:`relax` from ``found`` on, to the end, with all steps inside a block of nodes in one round.
 
     Blocks are ranges of the order ``near``, of about ``BLOCK_NODES`` nodes however many share a region.  A
     block takes part in a round when a node outside that its edges lead to became better, so rounds are as many as
-    blocks that a path crosses.  Nodes are numbered in the order of their keys, so that the smallest next node is as before.
+    blocks that a path crosses.  A round writes the nodes it made better for their own block and for each block that
+    sees them, so the next one reads them by block and joins nothing; the steps of a block are packed once.  The driver
+    gets two counts a block.  Nodes are numbered in the order of their keys, so that the smallest next node is as before.
     """
     spark = edges.sparkSession
     folder = scratch_path(spark, "blocks")
-    every = materialize(edges.select(*keys).unionByName(edges.select(*[F.col(n).alias(k) for k, n in zip(keys, nexts)])).unionByName(
-        found.select(*keys)).distinct(), "path-nodes")
-    blocks = -(-every.count() // BLOCK_NODES)
-    placed = materialize(every.repartitionByRange(blocks, *near).withColumn("block", F.spark_partition_id()), "path-blocks")
+    ends = [nodes.select(*keys)] if nodes is not None else [edges.select(*keys), edges.select(*[F.col(n).alias(k) for k, n in zip(keys, nexts)]), found.select(*keys)]
+    every = materialize(functools.reduce(DataFrame.unionByName, ends).distinct(), "path-nodes")
+    total = every.count()
+    placed = materialize(every.repartitionByRange(-(-total // BLOCK_NODES), *near).withColumn("block", F.spark_partition_id()), "path-blocks")
     nodes = materialize(placed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id()), "path-ids")
-    ahead = nodes.select(*[F.col(k).alias(n) for k, n in zip(keys, nexts)], F.col("id").alias("ahead"), F.col("block").alias("ahead_block"))
-    steps = materialize(edges.join(nodes, list(keys)).join(ahead, list(nexts)).select(
-        F.col("id").alias("u"), F.col("ahead").alias("v"), "w", "block", "ahead_block"), "path-edges")
-    outside = materialize(steps.where("block <> ahead_block").select(F.col("v").alias("id"), "block").distinct(), "path-borders")
-    seen_by = nodes.select("id", "block").unionByName(outside)
-    first = found.join(nodes, list(keys)).join(ahead.drop("ahead_block"), list(nexts), "left").select("id", "path_cost", "path_steps", "ahead")
+    here = _unsent(nodes, total)
+    ahead = _unsent(nodes.select(*[F.col(k).alias(n) for k, n in zip(keys, nexts)], F.col("id").alias("ahead"), F.col("block").alias("ahead_block")), total)
+    step, seen = F.struct("block", F.col("id").alias("u"), F.col("ahead").alias("v"), "w"), F.struct(
+        F.col("ahead_block").alias("block"), (-1 - F.col("block")).cast("bigint").alias("u"), F.col("ahead").alias("v"), F.lit(0.0).alias("w"))
+    steps = edges.join(here, list(keys)).join(ahead, list(nexts)).select(
+        F.inline(F.when(F.col("block") == F.col("ahead_block"), F.array(step)).otherwise(F.array(step, seen))))
+    packed = materialize(steps.groupBy("block").applyInPandas(_packed, "block int, piece int, data binary"), "path-edges")
+    first = found.join(here, list(keys)).join(ahead.drop("ahead_block"), list(nexts), "left").select(
+        "block", "id", "path_cost", "path_steps", F.coalesce("ahead", F.lit(-1)).alias("ahead"), F.lit(True).alias("own"))
     schema = first.schema
     written: list[str] = []
 
-    def write(rows: DataFrame) -> int:
+    def write(rows: DataFrame) -> tuple[int, list[int]]:
+        """How many nodes became better, and the blocks that see one of them."""
         name = str(len(lowered))
         rows.write.parquet(f"{folder}/{name}")
         written.append(name)
-        return read(name).count()
+        counts = read(name).groupBy("block", "own").count().collect()
+        return sum(r["count"] for r in counts if r["own"]), sorted({r["block"] for r in counts if not (r["own"] and lowered)})
 
     def read(*names: str) -> DataFrame:
         return spark.read.schema(schema).parquet(*[f"{folder}/{name}" for name in names])
 
     def folded() -> DataFrame:
-        return read(*written).groupBy("id").agg(F.min(F.struct("path_cost", "path_steps", "ahead")).alias("b")).select("id", "b.*")
+        return read(*written).groupBy("block", "id", "own").agg(F.min(F.struct("path_cost", "path_steps", "ahead")).alias("b")).select(
+            "block", "id", "b.*", "own")
 
     lowered: list[int] = []
-    write(first)
-    while not lowered or lowered[-1]:
-        taking = steps.select("u", "v", "w", "block")
-        known = seen_by
-        if lowered:  # in the first round all blocks take part
-            active = read(written[-1]).join(outside, "id").select("block").distinct()
-            taking, known = taking.join(active, "block", "left_semi"), known.join(active, "block", "left_semi")
-        known = known.join(folded(), "id").select("block", "id", "path_cost", "path_steps", F.coalesce("ahead", F.lit(-1)).alias("ahead"))
+    _, active = write(first)
+    while active:
+        taking = F.col("block").isin(active)
+        rows = packed.where(taking).groupBy("block").cogroup(read(*written).where(taking).groupBy("block")).applyInPandas(_settling(bool(lowered)), schema)
         lowered.append(0)
-        lowered[-1] = write(taking.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_settled, schema))
+        lowered[-1], active = write(rows)
         if len(written) == FOLD_EVERY:
             folded().write.parquet(f"{folder}/to-{len(lowered)}")
-            written[:] = [f"to-{len(lowered)}", written[-1]]
-    best = folded().join(nodes.select(*keys, "id"), "id").join(ahead.drop("ahead_block"), "ahead", "left")
-    return best.select(*keys, "path_cost", "path_steps", *nexts), lowered
+            written[:] = [f"to-{len(lowered)}"]
+    best = folded().where("own").drop("block", "own").join(nodes.select(*keys, "id"), "id").join(ahead.drop("ahead_block"), "ahead", "left")
+    return best.select(*keys, "path_cost", "path_steps", *nexts), lowered if lowered and not lowered[-1] else [*lowered, 0]
 
 
 # ------------------------------------------------------------------ neighbour graph over records
@@ -255,7 +301,7 @@ def neighbour_edges(nodes: DataFrame, widths: Mapping[str, float], depth: int,
     for q in qs:
         apart = apart | (gap(q) != 0)
     square = sum((gap(q).cast("double") * gap(q).cast("double") for q in qs), F.lit(0.0))
-    pairs = probe.join(index, ["g", "at", *cs]).where(near & apart).select(
+    pairs = probe.join(index.hint("merge"), ["g", "at", *cs]).where(near & apart).select(
         "g", "a", "b", (F.sqrt(square) / float(2**depth)).alias("d"))
 
     def allowed(src: str, dst: str) -> Column:
@@ -295,7 +341,7 @@ def record_graph_paths(nodes: DataFrame, widths: Mapping[str, float], depth: int
     edges = materialize(neighbour_edges(nodes, widths, depth, directions), "graph-edges")
     keys = ["g", *[f"q_{f}" for f in widths]]
     nexts = ["next_g", *[f"next_{f}" for f in widths]]
-    best, lowered, left = relax(edges, nodes.where("goal and dense"), keys, nexts, max_steps, [F.col("g"), _interleaved(keys[1:])])
+    best, lowered, left = relax(edges, nodes.where("goal and dense"), keys, nexts, max_steps, [F.col("g"), _interleaved(keys[1:])], nodes)
     return nodes.join(best.drop("next_g"), keys, "left"), lowered, left
 
 

@@ -6,6 +6,7 @@ import heapq
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,64 @@ def test_block_without_edges(spark, monkeypatch):
     best, lowered, left = p.relax(edges, spark.range(1).selectExpr("id AS k"), ["k"], ["next_k"], near=[F.col("k")])
     assert sorted(map(tuple, best.collect())) == [(i, i / 2, i, i - 1 if i else None) for i in range(4)]
     assert lowered[-1] == 0 and not left
+
+
+def test_few_jobs_a_round(spark, monkeypatch):
+    """The driver keeps every job's plan and tasks; a round of blocks was ten jobs and a count of two."""
+    monkeypatch.setattr(p, "BLOCK_NODES", 20)
+    monkeypatch.setattr(p, "STEP_ROUNDS", 0)
+    edges = spark.range(1, 301).selectExpr("id AS k", "id - 1 AS next_k", "0.5D AS w")
+    sc, jobs = spark.sparkContext, {}
+    for length in (40, 300):
+        sc.setJobGroup(f"rounds of {length}", "")
+        _, lowered, _ = p.relax(edges.where(F.col("k") <= length), spark.range(1).selectExpr("id AS k"), ["k"], ["next_k"], near=[F.col("k")])
+        jobs[length] = (len(sc.statusTracker().getJobIdsForGroup(f"rounds of {length}")), len(lowered))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    more, rounds = (b - a for a, b in zip(jobs[40], jobs[300]))
+    assert rounds > 8 and more <= 6 * rounds
+
+
+def test_many_equal_seeds_are_not_broadcast(spark, monkeypatch):
+    """Their file is small, as their costs are equal, so Spark would send all of them through the driver."""
+    n = p.BROADCAST_ROW_BOUND + 20_000
+    hints = []
+    monkeypatch.setattr(p, "_unsent", lambda side, rows, f=p._unsent: hints.append((rows, f(side, rows))) or hints[-1][1])
+    edges = spark.range(n).selectExpr("id + 1 AS k", "id AS next_k", "1D AS w")
+    best, lowered, left = p.relax(edges, spark.range(n).selectExpr("id AS k"), ["k"], ["next_k"], max_steps=1)
+    assert best.count() == n + 1 and lowered == [n, 1] and not left
+    plans = [edges.withColumnRenamed("next_k", "j").join(side.select(F.col("next_k").alias("j")), "j")._jdf.queryExecution().executedPlan().toString() for _, side in hints]
+    assert [(rows, "Broadcast" in plan) for (rows, _), plan in zip(hints, plans)] == [(n, False), (1, True)]
+
+
+def test_packed_block_in_pieces(monkeypatch):
+    """A block's steps come in pieces; a settled block starts from the nodes outside only, and tells the blocks that see it."""
+    monkeypatch.setattr(p, "PIECE", 64)
+    r = random.Random(3)
+    links = {(r.randrange(40), r.randrange(46)): r.choice([0.5, 1.0, 2.0]) for _ in range(160)}  # nodes 40 to 45 are block 8's
+    rows = [(7, u, v, w) for (u, v), w in links.items() if u != v] + [(7, -1 - 8, 5, 0.0), (7, -1 - 8, 5, 0.0), (7, -1 - 9, 6, 0.0)]
+    packed = p._packed((7,), pd.DataFrame(rows, columns=["block", "u", "v", "w"])).sample(frac=1, random_state=1)
+    assert len(packed) > 3 and packed["data"].map(len).max() == 64
+
+    def cheapest(seeds):
+        cost = dict(seeds)
+        for _ in range(46):
+            for _, u, v, w in rows[:-3]:
+                if v in cost and cost[v] + w < cost.get(u, math.inf):
+                    cost[u] = cost[v] + w
+        return cost
+
+    columns = ["block", "id", "path_cost", "path_steps", "ahead", "own"]
+    start = pd.DataFrame([(7, 0, 0.0, 0, -1, True), (7, 0, 1.0, 0, -1, True)], columns=columns)
+    out = p._settled(7, packed, start, False)
+    own = out[out["own"]].set_index("id")["path_cost"].to_dict()
+    want = cheapest({0: 0.0})
+    assert own | {0: 0.0} == {k: v for k, v in want.items() if k < 40} and (out.loc[out["own"], "block"] == 7).all()
+    sent = {(a, b): c for a, b, c in out.loc[~out["own"], ["block", "id", "path_cost"]].itertuples(index=False)}
+    assert sent == {(b, i): want[i] for b, i in ((8, 5), (9, 6)) if i in want} and sent
+    state = pd.concat([start, out[out["own"]]])
+    assert p._settled(7, packed, state, True).empty
+    outside = pd.DataFrame([(7, 43, 0.0, 2, 99, False)], columns=columns)
+    then = p._settled(7, packed, pd.concat([state, outside]), True)
+    want = cheapest({0: 0.0, 43: 0.0})
+    assert own | then[then["own"]].set_index("id")["path_cost"].to_dict() | {0: 0.0} == {k: v for k, v in want.items() if k < 40}
+    assert not then.empty and p._settled(7, packed[:0], state, False).empty and p._settled(7, packed, state[:0], False).empty
